@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .functions import paths
+from .operators.query import ancestor_closure
 from .operators.usage import COMPLETED_MARKER
 
 # Drive type by region, event type to audited action, rules per drive.
@@ -16,6 +18,10 @@ RULES = [
     (3, ".*[.]avro", True, "D", "", ""),
     (4, "R/F/p1/.*", False, "C", "ann;bob", ""),
 ]
+ARCHIVE_RULES = [
+    (5, "[AN]/.*", False, "A", "", ""),
+    (6, "(A|R)/F/.*", False, "U", "ann", ""),
+]
 
 
 def _pick(key: Column, choices: dict, default: str) -> Column:
@@ -113,9 +119,10 @@ class Tables:
             .agg(F.sum(F.floor("o_totalprice").cast("bigint")).alias("bytes"))
         )
 
-    def action_audit(self) -> DataFrame:
+    def action_audit(self, events: DataFrame | None = None) -> DataFrame:
         last = F.col("event_id") % 10
-        return self.raw("events").select(
+        source = self.raw("events") if events is None else events
+        return source.select(
             F.col("event_id").alias("action_audit_id"),
             F.concat(F.lit("user"), _text("user_id")).alias("username"),
             _pick(F.col("event_type"), ACTIONS, "delete").alias("action"),
@@ -128,19 +135,19 @@ class Tables:
             .alias("drive_id"),
             F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("string"))
             .when(F.col("event_id") % 7 == 1, "")
-            .otherwise(F.concat_ws(" ", "event_type", "props"))
+            .otherwise(F.concat("event_type", F.lit(" "), "props"))
             .alias("message"),
             (F.col("event_id") % 3 == 0).alias("use_message"),
             F.floor(F.col("value") * 1000).cast("bigint").alias("bytes_transferred"),
             F.col("ts").alias("created"),
         )
 
-    def drive_security_rule(self) -> DataFrame:
+    def drive_security_rule(self, rules: list[tuple] = RULES) -> DataFrame:
         names = ["rule_id", "rule_text", "exclude", "access_level", "users", "role_name"]
-        rules = F.array(
-            *[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, rule)]) for rule in RULES]
+        each = F.array(
+            *[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, rule)]) for rule in rules]
         )
-        return self.drive().select("drive_id", F.inline(rules))
+        return self.drive().select("drive_id", F.inline(each))
 
     def drive_property(self) -> DataFrame:
         """A few stored properties per drive; the rest of the keys are missing."""
@@ -182,40 +189,110 @@ class Tables:
             F.col("text").alias("data"),
         )
 
+    def listing(self) -> DataFrame:
+        """Items together with every folder above them, the root included."""
+        items = self.drive_item()
+        folders = ancestor_closure(items, with_root=True)
+        return items.select("drive_id", "path").unionByName(folders)
+
+    def path_sample(self) -> DataFrame:
+        """Catalog paths in several spellings, and page addresses."""
+        listing = self.listing()
+        path = F.col("path")
+        spelled = F.explode(
+            F.array(
+                path, F.concat(F.lit("/"), path), F.concat(F.lit("C:/"), path),
+                F.concat(F.lit("d:\\"), F.translate(path, "/", "\\")),
+            )
+        )
+        pages = self.raw("pages").select(
+            (F.col("page_id") % 25).cast("int").alias("drive_id"), F.col("url").alias("path")
+        )
+        return listing.select("drive_id", spelled.alias("path")).unionByName(pages).distinct()
+
+    def path_request(self) -> DataFrame:
+        """One requested path per item: its name in capitals, its folder, or something absent."""
+        path = F.col("path")
+        parent = paths.parent_folder_path(path)
+        name = paths.file_name(path)
+        asked = (
+            F.when(path.endswith(".csv"), F.concat(F.lit("/"), parent, F.upper(name)))
+            .when(path.endswith(".parquet"), paths.remove_last_slash(parent))
+            .when(path.endswith(".avro"), F.concat(path, F.lit("/")))
+            .otherwise(F.concat(F.lit("Z/"), path))
+        )
+        return self.drive_item().select(
+            F.regexp_extract(path, "o([0-9]+)-", 1).alias("order_id"),
+            F.concat_ws(":", "drive_id", "path").alias("request_id"),
+            "drive_id",
+            asked.alias("path"),
+        )
+
+    def folder_files(self) -> DataFrame:
+        """First and last file of every folder that holds files, with the folder's number."""
+        path = F.col("path")
+        return (
+            self.drive_item()
+            .groupBy("drive_id", paths.parent_folder_path(path).alias("folder"))
+            .agg(F.min("path").alias("first_path"), F.max("path").alias("last_path"))
+            .withColumn("pn", F.regexp_extract("folder", "p([0-9]+)/", 1).cast("int"))
+        )
+
     def transfer_spec(self) -> DataFrame:
-        """One request per order of the first kind of path, and folder requests per drive.
+        """A transfer of every folder and of the first file of every folder.
 
-        Every order gives a file request over a path that may or may not exist;
-        every drive gives folder requests, some of them invalid on purpose.
+        The folder's number decides on drives, destinations and slashes, so that
+        each kind of refusal and each method occurs.
         """
-        folders = self.drive().select(
-            F.col("drive_id").alias("spec_id"),
-            F.col("drive_id").alias("source_drive_id"),
-            F.when(F.col("drive_id") % 4 == 0, "A/F/p1/")
-            .when(F.col("drive_id") % 4 == 1, "A/F/p2")
-            .when(F.col("drive_id") % 4 == 2, "R/F/p1/")
-            .otherwise("A/F/p3/")
-            .alias("source_path"),
-            F.when(F.col("drive_id") % 5 == 0, F.col("drive_id"))
-            .when(F.col("drive_id") % 5 == 1, F.lit(99))
-            .otherwise((F.col("drive_id") + 1) % 25)
-            .cast("int")
-            .alias("dest_drive_id"),
-            F.when(F.col("drive_id") % 5 == 0, "A/F/p1/")
-            .when(F.col("drive_id") % 5 == 2, "A/O/p1/")
-            .otherwise("A/N/copy/")
-            .alias("dest_path"),
-            (F.col("drive_id") % 2 == 0).alias("remove_source"),
-        )
-        files = self.raw("orders").select(
-            (F.col("o_orderkey") + 100).cast("bigint").alias("spec_id"),
-            (F.col("o_orderkey") % 25).cast("int").alias("source_drive_id"),
-            F.concat(
-                F.lit("A/F/p"), (F.col("o_custkey") % 50).cast("string"),
-                F.lit("/o"), _text("o_orderkey"), F.lit("-1.parquet"),
-            ).alias("source_path"),
-            (F.col("o_custkey") % 25).cast("int").alias("dest_drive_id"),
-            F.concat(F.lit("A/N/in/o"), _text("o_orderkey"), F.lit(".parquet")).alias("dest_path"),
-            (F.col("o_orderkey") % 2 == 0).alias("remove_source"),
-        )
-        return folders.withColumn("spec_id", F.col("spec_id").cast("bigint")).unionByName(files)
+        pn, drive, folder = F.col("pn"), F.col("drive_id"), F.col("folder")
+        number = pn.cast("string")
+        next_drive = (drive + 1) % 25
+        dest_drive = F.when(pn % 5 == 0, drive).when(pn % 5 == 1, F.lit(99)).otherwise(next_drive)
+        slashed = F.when(pn % 4 == 1, paths.remove_last_slash(folder)).otherwise(folder)
+        folder_dest = (
+            F.when(pn % 10 == 0, folder)
+            .when(pn % 15 == 0, F.concat(folder, F.lit("sub/")))
+            .when(pn % 7 == 3, F.lit(None).cast("string"))
+            .when(pn % 11 == 4, F.concat(F.lit("X/in/p"), number, F.lit("/")))
+            .when(pn % 5 == 2, F.concat(F.lit("A/O/p"), number, F.lit("/")))
+            .otherwise(F.concat(F.lit("A/N/in/p"), number, F.lit("/")))
+        )
+        file_dest = F.when(pn % 5 == 2, F.col("last_path")).otherwise(
+            F.concat(F.lit("A/N/files/"), paths.file_name(F.col("first_path")))
+        )
+        base = self.folder_files()
+        folders = base.select(
+            F.concat_ws(":", F.lit("d"), "drive_id", "folder").alias("spec_id"),
+            drive.alias("source_drive_id"),
+            slashed.alias("source_path"),
+            dest_drive.cast("int").alias("dest_drive_id"),
+            folder_dest.alias("dest_path"),
+            (pn % 3 == 0).alias("remove_source"),
+        )
+        files = base.select(
+            F.concat_ws(":", F.lit("f"), "drive_id", "first_path").alias("spec_id"),
+            drive.alias("source_drive_id"),
+            F.col("first_path").alias("source_path"),
+            F.when(pn % 3 == 1, next_drive).otherwise(drive).cast("int").alias("dest_drive_id"),
+            file_dest.alias("dest_path"),
+            (pn % 2 == 0).alias("remove_source"),
+        )
+        return folders.unionByName(files)
+
+    def change_request(self) -> DataFrame:
+        """A request for every folder and for the first file of every folder."""
+        base = self.folder_files()
+        new_class = _pick(
+            F.col("pn") % 4, {0: "GLACIER", 1: "NEARLINE", 2: "COOL"}, "STANDARD_IA"
+        )
+        folders = base.select("drive_id", F.col("folder").alias("path"), new_class.alias("new_class"))
+        files = base.select(
+            "drive_id", F.col("first_path").alias("path"), new_class.alias("new_class")
+        )
+        return folders.unionByName(files).select(
+            F.concat_ws(":", "drive_id", "path").alias("request_id"), "*"
+        )
+
+    def archive_rule(self) -> DataFrame:
+        """The drive rules, and one each for Archive and Restore."""
+        return self.drive_security_rule(RULES + ARCHIVE_RULES)

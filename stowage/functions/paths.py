@@ -1,4 +1,8 @@
-"""Path expressions. Paths use ``/``; a trailing slash marks a folder."""
+"""Path expressions. Paths use ``/``; a trailing slash marks a folder.
+
+The functions mention their argument once wherever they can, so that nesting
+them does not multiply the expression under a derived path column.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +11,12 @@ from pyspark.sql import Column, functions as F
 SLASH = "/"
 
 
-def _without_tail(text: Column, tail: Column) -> Column:
-    """`text` shortened by the length of `tail`."""
-    return F.left(text, F.length(text) - F.length(tail))
-
-
 def add_first_slash(path: Column) -> Column:
-    return F.when(path.startswith(SLASH), path).otherwise(F.concat(F.lit(SLASH), path))
+    return F.concat(F.lit(SLASH), remove_first_slash(path))
 
 
 def add_last_slash(path: Column) -> Column:
-    return F.when(path.endswith(SLASH), path).otherwise(F.concat(path, F.lit(SLASH)))
+    return F.concat(remove_last_slash(path), F.lit(SLASH))
 
 
 def add_both_slashes(path: Column) -> Column:
@@ -25,15 +24,15 @@ def add_both_slashes(path: Column) -> Column:
 
 
 def remove_first_slash(path: Column) -> Column:
-    return F.when(path.startswith(SLASH), F.substring(path, 2, 2147483647)).otherwise(path)
+    return F.regexp_replace(path, r"^/", "")
 
 
 def remove_last_slash(path: Column) -> Column:
-    return F.when(path.endswith(SLASH), _without_tail(path, F.lit(SLASH))).otherwise(path)
+    return F.regexp_replace(path, r"/\z", "")
 
 
 def remove_both_slashes(path: Column) -> Column:
-    return remove_first_slash(remove_last_slash(path))
+    return F.regexp_replace(path, r"^/|/\z", "")
 
 
 def is_directory(path: Column) -> Column:
@@ -47,23 +46,22 @@ def file_name(path: Column) -> Column:
 
 def extension(name: Column) -> Column:
     """Text after the last dot of a file name, empty when there is none."""
-    return F.when(F.instr(name, ".") == 0, F.lit("")).otherwise(F.substring_index(name, ".", -1))
+    return F.regexp_extract(name, r"(?s)\.([^.]*)\z", 1)
+
+
+def _slashed(text: Column, stand_in: str) -> Column:
+    """The text, or `stand_in` when it has no slash (or is null)."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^[^/]*\z", stand_in)
 
 
 def parent_folder(path: Column) -> Column:
     """Everything before the last slash; ``/`` when there is no slash at all."""
-    has_slash = F.instr(F.coalesce(path, F.lit("")), SLASH) > 0
-    last = F.concat(F.lit(SLASH), F.substring_index(path, SLASH, -1))
-    return F.when(has_slash, _without_tail(path, last)).otherwise(F.lit(SLASH))
+    return F.regexp_extract(_slashed(path, "//"), r"(?s)^(.*)/", 1)
 
 
 def parent_folder_path(path: Column) -> Column:
     """Parent with a trailing slash and no leading one; ``/`` at root level."""
-    bare = remove_both_slashes(path)
-    nested = F.instr(F.coalesce(bare, F.lit("")), SLASH) > 0
-    return F.when(nested, _without_tail(bare, F.substring_index(bare, SLASH, -1))).otherwise(
-        F.lit(SLASH)
-    )
+    return F.regexp_extract(_slashed(remove_both_slashes(path), "/"), r"(?s)^(.*/)", 1)
 
 
 def to_unix(path: Column) -> Column:
@@ -118,9 +116,7 @@ def rebase_path(path: Column, source: Column, dest: Column) -> Column:
 
 def base_name(path: Column) -> Column:
     """File name up to its last dot."""
-    name = file_name(path)
-    dotted = F.concat(F.lit("."), extension(name))
-    return F.when(F.instr(name, ".") == 0, name).otherwise(_without_tail(name, dotted))
+    return F.regexp_replace(file_name(path), r"(?s)\.[^.]*\z", "")
 
 
 def avsc_location(path: Column) -> Column:
@@ -131,12 +127,12 @@ def avsc_location(path: Column) -> Column:
 
 def folder_key(path: Column) -> Column:
     """Canonical folder form: no leading slash, one trailing slash, root is ``/``."""
-    return F.when(is_root(path), F.lit(SLASH)).otherwise(add_last_slash(remove_first_slash(path)))
+    return F.concat(remove_both_slashes(F.coalesce(path, F.lit(""))), F.lit(SLASH))
 
 
 def folder_prefix(path: Column) -> Column:
     """What the keys below a folder start with: its folder key, or nothing for the root."""
-    return F.when(is_root(path), F.lit("")).otherwise(folder_key(path))
+    return F.regexp_replace(folder_key(path), r"^/\z", "")
 
 
 def move_below(path: Column, source: Column, dest: Column) -> Column:
@@ -147,21 +143,26 @@ def move_below(path: Column, source: Column, dest: Column) -> Column:
 
 def ancestors(path: Column, with_root: bool = False) -> Column:
     """All folders above `path`, nearest last, as an array of folder keys."""
+
+    def folders_of(segments: Column) -> Column:
+        count = F.size(segments)
+        # sequence(1, 0) would count down, hence the guard
+        depths = F.when(count > 1, F.sequence(F.lit(1), count - 1)).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(
+            depths,
+            lambda depth: F.concat(
+                F.array_join(F.slice(segments, F.lit(1), depth), SLASH), F.lit(SLASH)
+            ),
+        )
+
+    # one-element transform: binds the segments to a name, so they are split once
     segments = F.split(remove_both_slashes(path), SLASH)
-    count = F.size(segments)
-    # sequence(1, 0) would count down, hence the guard
-    depths = F.when(count > 1, F.sequence(F.lit(1), count - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    folders = F.transform(
-        depths,
-        lambda depth: F.concat(F.array_join(F.slice(segments, F.lit(1), depth), SLASH), F.lit(SLASH)),
-    )
+    folders = F.get(F.transform(F.array(segments), folders_of), F.lit(0))
     return F.concat(F.array(F.lit(SLASH)), folders) if with_root else folders
 
 
 def self_and_ancestors_of_folder(folder: Column) -> Column:
     """The folder itself, every folder above it, and the root."""
-    return F.when(is_root(folder), F.array(F.lit(SLASH))).otherwise(
-        F.concat(ancestors(folder, with_root=True), F.array(folder_key(folder)))
-    )
+    return F.array_distinct(F.concat(ancestors(folder, with_root=True), F.array(folder_key(folder))))

@@ -29,7 +29,7 @@ def _full(pattern: Column) -> Column:
 
 def rule_match(path: Column, rule_text: Column, exclude: Column) -> Column:
     """Whether a path passes one rule: a match, inverted for an exclude rule."""
-    return path.rlike(_full(rule_text)) != exclude
+    return F.rlike(path, _full(rule_text)) != exclude
 
 
 def rule_ancestor(path: Column, rule_text: Column) -> Column:
@@ -83,7 +83,7 @@ def _folded_test(path: Column, level: str) -> Column:
         plain = F.col(f"_{side}_re_{level}")
         # regexp_instr keeps the last compiled pattern, rlike would compile per row
         matched = F.coalesce(F.call_function("regexp_instr", path, plain) > 0, F.lit(False))
-        odd = F.exists(F.col(f"_{side}_odd_{level}"), lambda p: path.rlike(p))
+        odd = F.exists(F.col(f"_{side}_odd_{level}"), lambda p: F.rlike(path, p))
         return matched | F.coalesce(odd, F.lit(False))
 
     allowed = hit("in")
@@ -103,7 +103,7 @@ def _held_by_aggregate(items: DataFrame, rules: DataFrame, wanted: list[str]) ->
     """Flags per (drive, path) for rule sets that are too large to fold."""
     path, text = F.col("path"), F.col("rule_text")
     pairs = items.select("drive_id", "path").distinct().join(rules, "drive_id")
-    matched = path.rlike(_full(text))
+    matched = F.rlike(path, _full(text))
     flags = []
     for level in wanted:
         counts = levels.grants(F.col("access_level"), level)

@@ -77,6 +77,11 @@ def _covered(specs: DataFrame, items: DataFrame, small: bool) -> DataFrame:
     )
 
 
+def covered_items(specs: DataFrame, items: DataFrame) -> DataFrame:
+    """Specs that passed validation with the items they move."""
+    return _covered(specs, items, fits_broadcast(specs))
+
+
 def transfer_plan(
     specs: DataFrame,
     items: DataFrame,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,3 +37,19 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="stowage-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session, once."""
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="stowage-"), "stowage")
+        archive = shutil.make_archive(
+            target, "zip", os.path.dirname(package), os.path.basename(package)
+        )
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(application)

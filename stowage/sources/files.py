@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import tarfile
 import time
+import uuid
 import zipfile
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -210,7 +211,7 @@ def _copy_one(source: str, target: str, move: bool) -> int:
     if move and info.type == fs.FileType.NotFound and there.type == fs.FileType.File:
         return there.size  # an earlier attempt of this task got this far
     target_system.create_dir(target_path.rsplit("/", 1)[0], recursive=True)
-    partial = f"{target_path}._copying"
+    partial = f"{target_path}._copying-{uuid.uuid4().hex}"
     copied = 0
     with source_system.open_input_stream(source_path) as reading:
         with target_system.open_output_stream(partial) as writing:
