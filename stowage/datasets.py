@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import paths
 from .operators.query import ancestor_closure
 from .operators.usage import COMPLETED_MARKER
+from .session import shared_folder
+from .sources.files import exists
 
 # Drive type by region, event type to audited action, rules per drive.
 DRIVE_TYPES = {0: "Blob", 1: "GCS", 2: "S3", 3: "SMB"}
@@ -35,6 +40,31 @@ def _text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
+# Where the stored tables of a session are: (application, raw folder, table) -> folder.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Keep a derived table as Parquet in the shared folder, once per session.
+
+    The catalog, the usage snapshots and the audit are tables that exist before
+    anybody queries them; this gives the queries the same footing.
+    """
+
+    @wraps(build)
+    def read(tables: Tables) -> DataFrame:
+        spark = tables.spark
+        key = (spark.sparkContext.applicationId, tables.sf_dir, build.__name__)
+        folder = _STORED.get(key)
+        if folder is None or not exists(f"{folder}/_SUCCESS"):
+            folder = shared_folder(spark, build.__name__)
+            build(tables).write.parquet(folder)
+            _STORED[key] = folder
+        return spark.read.parquet(folder)
+
+    return read
+
+
 class Tables:
     """Named tables over one folder of raw parquet files."""
 
@@ -76,6 +106,7 @@ class Tables:
             .alias("storage_class"),
         )
 
+    @stored
     def drive_item(self) -> DataFrame:
         return (
             self.listed_item()
@@ -91,6 +122,7 @@ class Tables:
             )
         )
 
+    @stored
     def memory_usage(self) -> DataFrame:
         first = F.lit("2024-01-01 00:00:00").cast("timestamp")
         second = F.lit("2024-01-01 01:00:00").cast("timestamp")
@@ -228,6 +260,7 @@ class Tables:
             asked.alias("path"),
         )
 
+    @stored
     def folder_files(self) -> DataFrame:
         """First and last file of every folder that holds files, with the folder's number."""
         path = F.col("path")

@@ -631,7 +631,7 @@ def texts() -> dict[str, str]:
             LATERAL (SELECT unnest(generate_series(1, len(lines))) AS i) u
             WHERE u.i <= 3 OR u.i > len(lines) - 2""",
         "chunk_manifest": with_tables(
-            """, p AS (SELECT drive_id, path, file_size * 5000 AS size FROM drive_item)
+            """, p AS (SELECT drive_id, path, file_size * 1000 AS size FROM drive_item)
             SELECT drive_id, path, CAST(u.i + 1 AS INT) AS part_number, u.i * 10485760 AS start_byte,
               LEAST(10485760, size - u.i * 10485760) AS part_bytes FROM p,
             LATERAL (SELECT unnest(generate_series(0, GREATEST(size - 1, 0) // 10485760)) AS i) u""",

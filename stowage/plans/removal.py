@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import paths
 from ..operators.scale import fits_broadcast, running_position
+from ..session import materialize
 from .requests import expand, hint, with_access
 
 
@@ -24,14 +25,20 @@ def delete_plan(
     takes siblings along that merely share its name as a prefix, such as
     ``dir.zip`` next to ``dir/``.
     """
-    small = fits_broadcast(requests)
-    held = with_access(requests, rules, user, roles, "drive_id", "path", ["D"], "may")
+    held = materialize(
+        with_access(requests, rules, user, roles, "drive_id", "path", ["D"], "may"),
+        "delete-requests",
+    )
     allowed = held.where("may_D").drop("may_D")
-    covered = expand(allowed, items, small=small).select(
-        "request_id",
-        "drive_id",
-        F.col("item_path").alias("path"),
-        (F.col("item_directory") | paths.is_directory(F.col("item_path"))).alias("is_folder"),
+    small = fits_broadcast(allowed)
+    covered = materialize(
+        expand(allowed, items, small=small).select(
+            "request_id",
+            "drive_id",
+            F.col("item_path").alias("path"),
+            (F.col("item_directory") | paths.is_directory(F.col("item_path"))).alias("is_folder"),
+        ),
+        "delete-items",
     )
     placed = running_position(covered, ["request_id", "is_folder"], ["path"], "_place", "_count")
     files = covered.where(~F.col("is_folder")).groupBy("request_id").agg(

@@ -10,6 +10,7 @@ from ..functions import paths
 from ..operators.drives import storage_classes
 from ..operators.lookup import existing_keys
 from ..operators.scale import fits_broadcast, running_position
+from ..session import materialize
 from .requests import expand, hint, reason, with_access
 
 RESOLUTIONS = ("cancel", "overwrite", "skip")
@@ -101,48 +102,38 @@ def transfer_plan(
     """
     if resolution not in RESOLUTIONS:
         raise ValueError(f"unknown resolution: {resolution}")
-    small = fits_broadcast(specs)
-    checked = transfer_validate(specs, drives, rules, user, roles)
+    checked = materialize(transfer_validate(specs, drives, rules, user, roles), "transfer-specs")
     valid = checked.where(F.col("reason").isNull()).drop("reason")
-    covered = _covered(valid, items, small)
+    small = fits_broadcast(valid)
+    covered = materialize(_covered(valid, items, small), "transfer-items")
 
+    # the spec's own destination is looked up along with those of its items
+    whole = valid.select(
+        "spec_id", "dest_drive_id", F.col("dest_path").alias("item_dest"), F.lit(True).alias("is_spec")
+    )
+    asked = covered.withColumn("is_spec", F.lit(False)).unionByName(whole, allowMissingColumns=True)
+    asked = asked.withColumn("dest_key", paths.remove_both_slashes(F.col("item_dest")))
     key = ["dest_drive_id", "dest_key"]
-    dest_key = paths.remove_both_slashes(F.col("item_dest"))
-    keyed = covered.withColumn("dest_key", dest_key)
-    spec_dest = paths.remove_both_slashes(F.col("dest_path")).alias("dest_key")
-    wanted = keyed.select(*key).unionByName(valid.select("dest_drive_id", spec_dest))
-    existing = existing_keys(items, wanted.toDF("drive_id", "key")).toDF(*key)
-    existing = existing.withColumn("exists", F.lit(True))
-    found = keyed.join(existing, key, "left").withColumn(
-        "exists", F.coalesce("exists", F.lit(False))
+    known = existing_keys(items, asked.select(*key).toDF("drive_id", "key")).toDF(*key)
+    found = materialize(
+        asked.join(known.withColumn("exists", F.lit(True)), key, "left").withColumn(
+            "exists", F.coalesce("exists", F.lit(False))
+        ),
+        "transfer-found",
     )
 
-    per_spec = found.groupBy("spec_id").agg(
-        F.bool_or("archived").alias("any_archived"),
-        F.bool_or(F.col("exists") & ~F.col("is_folder")).alias("any_conflict"),
-        F.bool_or("in_folder").alias("is_folder_spec"),
-    )
-    dest_there = (
-        valid.select("spec_id", "dest_drive_id", spec_dest)
-        .join(existing.withColumnRenamed("exists", "dest_exists"), key, "left")
-        .select("spec_id", F.coalesce("dest_exists", F.lit(False)).alias("dest_exists"))
-    )
-    cancelled = F.lit(resolution == "cancel") & (
-        F.col("any_conflict") | (F.col("is_folder_spec") & F.col("dest_exists"))
+    is_item, is_spec = ~F.col("is_spec"), F.col("is_spec")
+    clash = F.bool_or(is_item & F.col("exists") & ~F.col("is_folder")) | (
+        F.bool_or(is_item & F.col("in_folder")) & F.bool_or(is_spec & F.col("exists"))
     )
-    verdict = (
-        valid.select("spec_id")
-        .join(hint(per_spec, small), "spec_id", "left")
-        .join(hint(dest_there, small), "spec_id", "left")
-        .select(
-            "spec_id",
-            reason(
-                (F.col("any_archived").isNull(), "source not found"),
-                (F.col("any_archived"), "archived"),
-                (cancelled, "destination exists"),
-            ).alias("reason"),
-        )
+    verdict = found.groupBy("spec_id").agg(
+        reason(
+            (F.count(F.when(is_item, 1)) == 0, "source not found"),
+            (F.bool_or("archived"), "archived"),
+            (F.lit(resolution == "cancel") & clash, "destination exists"),
+        ).alias("reason")
     )
+    refused_late = verdict.where(F.col("reason").isNotNull())
 
     same_drive = F.col("source_drive_id") == F.col("dest_drive_id")
     alone = F.col("remove_source") & ~F.col("in_folder")
@@ -154,8 +145,8 @@ def transfer_plan(
         .when(same_drive, F.when(alone, "rename").otherwise("copy"))
         .otherwise("chunk")
     )
-    accepted = found.join(
-        hint(verdict.where(F.col("reason").isNull()).select("spec_id"), small), "spec_id", "left_semi"
+    accepted = found.where(is_item).join(
+        hint(refused_late.select("spec_id"), small), "spec_id", "left_anti"
     ).select(
         "spec_id",
         "source_drive_id",
@@ -169,9 +160,7 @@ def transfer_plan(
         F.lit(None).cast("string").alias("reason"),
     )
     refused = checked.where(F.col("reason").isNotNull()).unionByName(
-        checked.drop("reason").join(
-            hint(verdict.where(F.col("reason").isNotNull()), small), "spec_id"
-        )
+        checked.drop("reason").join(hint(refused_late, small), "spec_id")
     )
     rejected = refused.select(
         "spec_id",
@@ -229,10 +218,10 @@ def rename_plan(
     Needs Read on the source and Create on the destination, the same drive, and
     a destination that does not exist yet.
     """
-    small = fits_broadcast(specs)
     typed = _with_drive_types(specs, drives, fits_broadcast(drives))
     held = with_access(typed, rules, user, roles, "source_drive_id", "source_path", ["R"], "source")
     held = with_access(held, rules, user, roles, "dest_drive_id", "dest_path", ["C"], "dest")
+    held = materialize(held, "rename-specs")
     key = ["dest_drive_id", "dest_key"]
     keyed = held.withColumn("dest_key", paths.remove_both_slashes(F.col("dest_path")))
     existing = existing_keys(items, keyed.select(*key).toDF("drive_id", "key")).toDF(*key)
@@ -246,10 +235,13 @@ def rename_plan(
         (F.col("source_drive_id") != F.col("dest_drive_id"), "across drives"),
         (F.col("exists"), "destination exists"),
     )
-    checked = found.select(*specs.columns, why.alias("reason"))
+    checked = materialize(found.select(*specs.columns, why.alias("reason")), "rename-checked")
     valid = checked.where(F.col("reason").isNull()).drop("reason")
+    small = fits_broadcast(valid)
     moved = paths.move_below(F.col("item_path"), F.col("source_path"), F.col("dest_path"))
-    covered = expand(valid, items, "source_drive_id", "source_path", small)
+    covered = materialize(
+        expand(valid, items, "source_drive_id", "source_path", small), "rename-items"
+    )
     renamed = covered.select(
         "spec_id",
         F.col("source_drive_id").alias("drive_id"),

@@ -10,7 +10,7 @@ from .datasets import Tables
 from .functions import levels, paths, scalars
 from .operators import access, audit, content, drives, grid, lookup, query, usage
 from .plans import archive, expiry, removal, transfer
-from .session import shared_folder, ship_package
+from .session import materialize, shared_folder, ship_package
 from .sources import catalog, files, schemas, snapshots
 from .streaming import jobs
 
@@ -270,7 +270,7 @@ def items_by_path(t: Tables) -> DataFrame:
     ).where(F.col("reason").isNull())
     covered = transfer.covered_items(specs.drop("reason"), t.drive_item())
     rows = covered.select("spec_id", F.col("item_path").alias("source_path"))
-    return transfer.items_by_path(rows)
+    return transfer.items_by_path(materialize(rows, "plan-rows"))
 
 
 def delete_order(t: Tables) -> DataFrame:
@@ -513,7 +513,7 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "byte_range": byte_range,
         "extract_archives": extract_archives,
         "chunk_manifest": lambda t: content.chunk_manifest(
-            t.drive_item().withColumn("file_size", F.col("file_size") * 5000)
+            t.drive_item().withColumn("file_size", F.col("file_size") * 1000)
         ),
         "assemble_chunks": lambda t: content.assemble_chunks(t.upload_chunk()).select(
             "file_uid", "segment", "file_bytes", "content"

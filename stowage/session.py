@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
@@ -39,6 +39,17 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a result that is used several times to the shared folder and read it back.
+
+    Lost executors then cost the re-reading of files, not the work behind them,
+    and the planner knows the size from the files.
+    """
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 _SHIPPED: set[str] = set()
 
 
