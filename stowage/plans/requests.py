@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths
 from ..operators.access import with_held
+from ..operators.scale import broadcast_if_small
+from ..session import materialize
 
 
 def with_access(
@@ -33,12 +35,6 @@ def with_access(
     )
 
 
-def covering_keys(path: Column) -> Column:
-    """Every key under which a request can name an item: itself, its folders, the root."""
-    bare = paths.remove_first_slash(path)
-    return F.array_distinct(F.concat(F.array(bare), paths.ancestors(path, with_root=True)))
-
-
 def request_keys(path: Column) -> Column:
     """The keys a requested path stands for: a file of that name, or the folder."""
     bare = paths.remove_first_slash(path)
@@ -48,6 +44,22 @@ def request_keys(path: Column) -> Column:
     )
 
 
+def _folders_below(wanted: DataFrame, items: DataFrame) -> DataFrame:
+    """Wanted rows with every folder at or below theirs that holds items directly.
+
+    Only the distinct parent folders are exploded into their ancestors, so the
+    prefix test becomes an equality join over folders and not over items.
+    """
+    parents = items.select(
+        F.col("drive_id").alias("_drive"),
+        paths.parent_folder_path(F.col("path")).alias("_parent"),
+    ).distinct()
+    chains = parents.select(
+        "*", F.explode(paths.self_and_ancestors_of_folder(F.col("_parent"))).alias("_key")
+    )
+    return chains.join(wanted, ["_drive", "_key"])
+
+
 def expand(
     requests: DataFrame,
     items: DataFrame,
@@ -57,27 +69,36 @@ def expand(
 ) -> DataFrame:
     """Each request with the items it covers, in columns prefixed `item_`.
 
-    An item carries the keys of its folders, which turns the prefix test into an
-    equality join. Requests known to be few are broadcast and the items stay in
-    place; many are joined by (drive, key), where Spark splits skewed keys.
+    A request is joined to the folders it covers first and to the items by
+    (drive, parent folder) and by exact path then. Where requests and folders
+    are few, both are broadcast and the items stay in place; otherwise the
+    joins are on those keys, and Spark splits a skewed one.
     `in_folder` tells descendants from an item named exactly; `is_self` marks the
     stored row of a requested folder.
     """
     wanted = requests.select(
         "*", F.col(drive).alias("_drive"), F.explode(request_keys(F.col(path))).alias("_key")
     )
+    bare = paths.remove_first_slash(F.col("path"))
     keyed = items.select(
         F.col("drive_id").alias("_drive"),
         *[F.col(c).alias(f"item_{c}") for c in items.columns],
-        F.explode(covering_keys(F.col("path"))).alias("_key"),
+        bare.alias("_key"),
+        paths.parent_folder_path(F.col("path")).alias("_parent"),
+    )
+    columns = [*requests.columns, *[f"item_{c}" for c in items.columns]]
+    below = materialize(
+        _folders_below(hint(wanted, small), items).drop("_key"), "request-folders"
+    )
+    inside = keyed.join(broadcast_if_small(below), ["_drive", "_parent"]).select(
+        *columns, F.lit(True).alias("in_folder"), F.lit(False).alias("is_self")
     )
-    bare = paths.remove_first_slash(F.col("item_path"))
-    return keyed.join(F.broadcast(wanted) if small else wanted, ["_drive", "_key"]).select(
-        *requests.columns,
-        *[f"item_{c}" for c in items.columns],
-        (F.col("_key") != bare).alias("in_folder"),
-        ((F.col("_key") == bare) & paths.is_directory(bare)).alias("is_self"),
+    exact = keyed.join(hint(wanted, small), ["_drive", "_key"]).select(
+        *columns,
+        F.lit(False).alias("in_folder"),
+        paths.is_directory(F.col("_key")).alias("is_self"),
     )
+    return inside.unionByName(exact)
 
 
 def hint(df: DataFrame, small: bool) -> DataFrame:
