@@ -12,6 +12,7 @@ from stowage.session import local_session, ship_package  # noqa: E402
 def spark():
     session = local_session(8, 8)
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.maxMetadataStringLength", "2000")  # whole filters in plan checks
     ship_package(session)
     yield session
     session.stop()
