@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import (
+    BinaryType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
 
 from ..functions import paths
+from ..session import materialize
+from .files import resolve, spread
 
 LISTING_SCHEMA = StructType(
     [
@@ -40,24 +54,61 @@ def normalize_items(raw: DataFrame, drive_id: int, root: str) -> DataFrame:
     )
 
 
+LEVEL_SCHEMA = "path string, modificationTime timestamp, length bigint, directory boolean"
+
+
+def _children_of(root: str):
+    """A lister for batches of folders below `root`, given relative to it."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = resolve(root)
+        base = base.rstrip("/")
+        for batch in batches:
+            for folder in batch["folder"]:
+                place = f"{base}/{folder}".rstrip("/") or "/"
+                rows = []
+                for entry in system.get_file_info(fs.FileSelector(place)):
+                    is_folder = entry.type == fs.FileType.Directory
+                    name = f"{folder}{entry.base_name}{'/' if is_folder else ''}"
+                    changed = entry.mtime_ns // 1000 if entry.mtime_ns is not None else None
+                    rows.append((name, changed, 0 if is_folder else entry.size, is_folder))
+                listed = pd.DataFrame(
+                    rows, columns=["path", "modificationTime", "length", "directory"]
+                )
+                listed["modificationTime"] = pd.to_datetime(
+                    listed["modificationTime"], unit="us", utc=True
+                )
+                yield listed
+
+    return read
+
+
 def scan_catalog(spark: SparkSession, root: str, drive_id: int, start: str = "") -> DataFrame:
-    """Recursive listing of a folder on any file system Spark can read.
+    """Every file and folder below a root, empty and hidden ones included.
 
-    Only path, time and length are selected, so file contents are never read.
-    `start` narrows the listing itself to one folder below the root.
+    The tree is listed level by level: the folders found on one level are spread
+    over the cluster and listed by the executors, so the number of rounds is the
+    depth of the tree. `start` narrows the listing to one folder below the root.
     """
-    where = f"{root.rstrip('/')}/{start.strip('/')}" if start.strip("/") else root
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(where)
-        .select("path", "modificationTime", "length")
-    )
-    return normalize_items(listing, drive_id, root)
+    first = f"{start.strip('/')}/" if start.strip("/") else ""
+    frontier = spark.createDataFrame([(first,)], "folder string")
+    levels = []
+    while not levels or not frontier.isEmpty():
+        listed = spread(frontier, "folder").mapInPandas(_children_of(root), LEVEL_SCHEMA)
+        levels.append(materialize(listed, "listing"))
+        frontier = levels[-1].where("directory").select(F.col("path").alias("folder"))
+    whole = reduce(DataFrame.unionByName, levels)
+    base = root.rstrip("/")
+    named = whole.withColumn("path", F.concat(F.lit(f"{base}/"), "path"))
+    return normalize_items(named, drive_id, root)
 
 
 def stream_catalog(spark: SparkSession, root: str, drive_id: int) -> DataFrame:
-    """Files as they appear below `root`, as a stream of catalog rows."""
+    """Files as they appear below `root`, as a stream of catalog rows.
+
+    Only path, time and length are read. Spark's file source passes over empty
+    files and over names that begin with ``_`` or ``.``.
+    """
     listing = (
         spark.readStream.format("binaryFile")
         .schema(LISTING_SCHEMA)

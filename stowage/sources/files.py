@@ -51,7 +51,11 @@ def exists(uri: str) -> bool:
 
 
 def path_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, length) of every file below the given paths, spread over the cluster."""
+    """(path, length) of the files below the given paths, spread over the cluster.
+
+    As in every Spark file source, empty files and names that begin with ``_``
+    or ``.`` are left out.
+    """
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -150,7 +154,7 @@ def _list_zip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 with open_input(path) as source, zipfile.ZipFile(source) as archive:
                     names = [i.filename for i in archive.infolist() if not i.is_dir()]
                 error = None
-            except (OSError, zipfile.BadZipFile) as problem:
+            except (OSError, ValueError, zipfile.BadZipFile) as problem:
                 names, error = [None], str(problem)
             yield pd.DataFrame(
                 {"path": path, "kind": kind, "entry": names, "error": error}, dtype="object"

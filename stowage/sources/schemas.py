@@ -9,7 +9,18 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DataType, StringType, StructField, StructType
+from pyspark.sql.types import (
+    BooleanType,
+    DataType,
+    DateType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
 
 from .files import open_input, path_table, resolve
 
@@ -25,22 +36,22 @@ def hive_columns(schema: StructType) -> list[tuple[int, str, str]]:
 # --- CSV --------------------------------------------------------------------
 
 # Narrowest first, as Spark's own inference tries them.
-CSV_TYPES = ("int", "bigint", "double", "boolean", "date", "timestamp")
+CSV_TYPES = (IntegerType(), LongType(), DoubleType(), BooleanType(), DateType(), TimestampType())
 
 
 def _narrowest(df: DataFrame, names: list[str]) -> list[DataType]:
     """The narrowest type all values of each text column can be cast to."""
     fits = [
-        F.bool_and(F.col(f"`{n}`").isNull() | F.col(f"`{n}`").try_cast(t).isNotNull()).alias(f"{i}_{t}")
-        for i, n in enumerate(names)
-        for t in CSV_TYPES
+        F.bool_and(F.col(f"`{n}`").isNull() | F.col(f"`{n}`").try_cast(kind).isNotNull())
+        for n in names
+        for kind in CSV_TYPES
     ]
     row = df.agg(*fits).first()
-    schema = StructType()
-    for i, name in enumerate(names):
-        kind = next((t for t in CSV_TYPES if row[f"{i}_{t}"]), "string")
-        schema.add(name, kind)
-    return [f.dataType for f in schema.fields]
+    tries = len(CSV_TYPES)
+    return [
+        next((k for k, fit in zip(CSV_TYPES, row[i * tries:(i + 1) * tries]) if fit), StringType())
+        for i in range(len(names))
+    ]
 
 
 def csv_schema(spark: SparkSession, path: str, sep: str = ",", all_strings: bool = False) -> StructType:
@@ -87,18 +98,27 @@ ARROW_NAMES = {
 }
 
 
-def _arrow_to_hive(kind: pa.DataType) -> str:
+# Fixed value: the footer key under which Spark keeps the schema it wrote.
+SPARK_SCHEMA_KEY = b"org.apache.spark.sql.parquet.row.metadata"
+
+
+def _arrow_to_hive(kind: pa.DataType, has_int96: bool) -> str:
+    def inner(part: pa.DataType) -> str:
+        return _arrow_to_hive(part, has_int96)
+
     if pa.types.is_struct(kind):
         fields = [kind.field(i) for i in range(kind.num_fields)]
-        return f"struct<{','.join(f'{f.name}:{_arrow_to_hive(f.type)}' for f in fields)}>"
+        return f"struct<{','.join(f'{f.name}:{inner(f.type)}' for f in fields)}>"
     if pa.types.is_map(kind):
-        return f"map<{_arrow_to_hive(kind.key_type)},{_arrow_to_hive(kind.item_type)}>"
+        return f"map<{inner(kind.key_type)},{inner(kind.item_type)}>"
     if pa.types.is_list(kind) or pa.types.is_large_list(kind):
-        return f"array<{_arrow_to_hive(kind.value_type)}>"
+        return f"array<{inner(kind.value_type)}>"
     if pa.types.is_decimal(kind):
         return f"decimal({kind.precision},{kind.scale})"
     if pa.types.is_timestamp(kind):
-        return "timestamp" if kind.tz else "timestamp_ntz"
+        # the old 96-bit form has no zone mark, but holds instants
+        instant = kind.tz is not None or (has_int96 and kind.unit == "ns")
+        return "timestamp" if instant else "timestamp_ntz"
     if pa.types.is_fixed_size_binary(kind):
         return "binary"
     return ARROW_NAMES.get(str(kind), "string")
@@ -106,8 +126,14 @@ def _arrow_to_hive(kind: pa.DataType) -> str:
 
 def _parquet_rows(path: str) -> list[tuple[str, int, str, str]]:
     with open_input(path) as source:
-        schema = pq.ParquetFile(source).schema_arrow
-    return [(path, i, f.name, _arrow_to_hive(f.type)) for i, f in enumerate(schema)]
+        footer = pq.ParquetFile(source)
+        written_by_spark = (footer.metadata.metadata or {}).get(SPARK_SCHEMA_KEY)
+        leaves = [footer.schema.column(i) for i in range(len(footer.schema))]
+        schema = footer.schema_arrow
+    if written_by_spark:
+        return [(path, *c) for c in hive_columns(StructType.fromJson(json.loads(written_by_spark)))]
+    has_int96 = any(leaf.physical_type == "INT96" for leaf in leaves)
+    return [(path, i, f.name, _arrow_to_hive(f.type, has_int96)) for i, f in enumerate(schema)]
 
 
 # --- Avro -------------------------------------------------------------------
