@@ -360,8 +360,27 @@ def texts() -> dict[str, str]:
     access_rows = f"SELECT i.drive_id, i.path FROM listing i WHERE {held('R', 'i.drive_id', 'i.path')}"
     plain = "SELECT drive_id, path FROM drive_item"
     day = "strftime(created, '%Y-%m-%d %H:%M:%S')"
+    size = "octet_length(encode(text)) + 1"  # each text is written with a line break
+    total = f"SELECT CAST(SUM({size}) AS BIGINT) AS bytes FROM documents"
+    break_count = "string_split_regex(text || chr(10), '\\r\\n|\\n|\\r')"
     out = {
-        # scans and listings
+        # scans, files and tables
+        "scan_catalog": f"""SELECT 1 AS drive_id, source, CAST(SUM({size}) AS BIGINT) AS bytes
+            FROM documents GROUP BY source""",
+        "normalize_items": with_tables(
+            """SELECT 1 AS drive_id, path, file_size, strftime(modified_date, '%Y-%m-%d') AS day,
+              FALSE AS directory, storage_class FROM listed_item""", "listed_item"),
+        "stream_catalog": total,
+        "stream_usage_history": f"SELECT 1 AS drive_id, '/' AS path, d.bytes FROM ({total}) d",
+        "byte_range": total,
+        "extract_archives": total,
+        "bulk_copy": f"SELECT 'S' AS status, d.bytes FROM ({total}) d",
+        "file_lines": f"""SELECT source, CAST(SUM(len(parts) - 1) AS BIGINT) AS lines,
+              CAST(SUM(octet_length(encode(array_to_string(parts, '')))) AS BIGINT) AS bytes
+            FROM (SELECT source, {break_count} AS parts FROM documents) GROUP BY source""",
+        "external_table": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
+            strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders""",
+        "external_table_csv": "SELECT * FROM customer",
         "list_one_level": with_tables(
             f"""SELECT drive_id, path, file_size, FALSE AS directory FROM drive_item
             WHERE regexp_full_match(path, 'A/F/p1/[^/]+')

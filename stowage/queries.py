@@ -60,9 +60,16 @@ def _stored_items(t: Tables, purpose: str) -> str:
     return folder
 
 
+def _total(df: DataFrame, size: Column) -> DataFrame:
+    return df.agg(F.sum(size).cast("bigint").alias("bytes"))
+
+
 def scan_catalog(t: Tables) -> DataFrame:
-    folder = _stored_items(t, "scan")
-    return catalog.scan_catalog(t.spark, folder, 1).where(F.col("path").endswith(".txt"))
+    """Files and bytes below a store; checksum files that lie next to the data are left out."""
+    listed = catalog.scan_catalog(t.spark, _stored_items(t, "scan"), 1)
+    data = listed.where(query.name_matches("part-.*[.]txt"))
+    folder = F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")
+    return data.groupBy("drive_id", folder).agg(F.sum("file_size").alias("bytes"))
 
 
 def normalize_items(t: Tables) -> DataFrame:
@@ -72,7 +79,10 @@ def normalize_items(t: Tables) -> DataFrame:
         F.col("modified_date").alias("modificationTime"),
         "storage_class",
     )
-    return catalog.normalize_items(listing, 1, "/store")
+    items = catalog.normalize_items(listing, 1, "/store")
+    return items.select(
+        "drive_id", "path", "file_size", _day("modified_date", "day"), "directory", "storage_class"
+    )
 
 
 def stream_catalog(t: Tables) -> DataFrame:
@@ -82,7 +92,7 @@ def stream_catalog(t: Tables) -> DataFrame:
     stream.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(
         availableNow=True
     ).format("parquet").start(f"{out}/items").awaitTermination()
-    return t.spark.read.parquet(f"{out}/items")
+    return _total(t.spark.read.parquet(f"{out}/items"), F.col("file_size"))
 
 
 def stream_usage_history(t: Tables) -> DataFrame:
@@ -90,7 +100,8 @@ def stream_usage_history(t: Tables) -> DataFrame:
     out = shared_folder(t.spark, "stream-history")
     stream = jobs.stream_catalog(t.spark, folder, 1)
     jobs.stream_usage_history(stream, f"{out}/history", f"{out}/checkpoint").awaitTermination()
-    return jobs.read_stream_history(t.spark, f"{out}/history")
+    history = jobs.read_stream_history(t.spark, f"{out}/history")
+    return history.groupBy("drive_id", "path").agg(F.sum("bytes").alias("bytes"))
 
 
 def write_usage_snapshot(t: Tables) -> DataFrame:
@@ -133,7 +144,8 @@ def external_table(t: Tables) -> DataFrame:
     name = f"orders_{shared_folder(t.spark, 'x').rsplit('-', 1)[1]}"
     folder = shared_folder(t.spark, "external")
     t.raw("orders").write.parquet(folder)
-    return schemas.register_external(t.spark, "default", name, folder, "parquet")
+    table = schemas.register_external(t.spark, "default", name, folder, "parquet")
+    return table.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
 def external_table_csv(t: Tables) -> DataFrame:
@@ -155,9 +167,9 @@ def infer_parquet_schema(t: Tables) -> DataFrame:
 
 
 def byte_range(t: Tables) -> DataFrame:
+    """All bytes of all files, read as blocks."""
     stored = files.path_table(t.spark, _stored_items(t, "ranges"))
-    texts = stored.where(F.col("path").endswith(".txt"))
-    return files.byte_range(texts, 100, 1_000_000)
+    return _total(files.byte_range(stored, 0, 1 << 40, 100_000), F.length("data"))
 
 
 def bulk_copy(t: Tables) -> DataFrame:
@@ -165,23 +177,33 @@ def bulk_copy(t: Tables) -> DataFrame:
     stored = files.path_table(t.spark, folder)
     out = shared_folder(t.spark, "copied")
     inside = paths.relative_path(F.lit(f"file:{folder}"), F.col("path"))
-    plan = stored.where(F.col("path").endswith(".txt")).select(
+    plan = stored.select(
         F.col("path").alias("source"),
         F.concat(F.lit(f"{out}/files/"), inside).alias("target"),
         F.lit(False).alias("remove_source"),
     )
-    return files.bulk_copy(plan, f"{out}/audit")
+    audit_rows = files.bulk_copy(plan, f"{out}/audit")
+    return audit_rows.groupBy("status").agg(F.sum("bytes_transferred").alias("bytes"))
 
 
 def extract_archives(t: Tables) -> DataFrame:
-    """Documents written as gzip files by Spark, read back entry by entry."""
+    """Documents written as gzip files by Spark, read back from the archives."""
     folder = shared_folder(t.spark, "archives")
     t.raw("documents").select("text").write.option("compression", "gzip").text(folder)
-    return files.extract_archives(t.spark, folder).where(F.col("archive").endswith(".gz"))
+    return _total(files.extract_archives(t.spark, folder), F.length("data"))
+
+
+def file_lines(t: Tables) -> DataFrame:
+    lines = content.file_lines(t.spark, _stored_items(t, "lines"))
+    source = F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")
+    return lines.groupBy(source).agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.sum(F.octet_length("line")).cast("bigint").alias("bytes"),
+    )
 
 
 def file_top_lines(t: Tables) -> DataFrame:
-    return content.file_top_lines(t.spark, _stored_items(t, "lines"), 5)
+    return content.file_top_lines(t.spark, _stored_items(t, "top-lines"), 5)
 
 
 # --- profiles ---------------------------------------------------------------
@@ -509,6 +531,7 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "top_lines": lambda t: content.top_lines(t.raw("documents"), "doc_id", "text", 3),
         "first_line": lambda t: content.first_line(t.raw("documents"), "doc_id", "text"),
         "preview": lambda t: content.preview(t.raw("documents"), "doc_id", "text", 3, 2),
+        "file_lines": file_lines,
         "file_top_lines": file_top_lines,
         "byte_range": byte_range,
         "extract_archives": extract_archives,
