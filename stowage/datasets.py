@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .functions import paths
 from .operators.query import ancestor_closure
 from .operators.usage import COMPLETED_MARKER
-from .session import shared_folder
-from .sources.files import exists
+from .session import folder_exists, shared_folder
 
 # Drive type by region, event type to audited action, rules per drive.
 DRIVE_TYPES = {0: "Blob", 1: "GCS", 2: "S3", 3: "SMB"}
@@ -56,7 +55,7 @@ def stored(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame
         spark = tables.spark
         key = (spark.sparkContext.applicationId, tables.sf_dir, build.__name__)
         folder = _STORED.get(key)
-        if folder is None or not exists(f"{folder}/_SUCCESS"):
+        if folder is None or not folder_exists(spark, f"{folder}/_SUCCESS"):
             folder = shared_folder(spark, build.__name__)
             build(tables).write.parquet(folder)
             _STORED[key] = folder

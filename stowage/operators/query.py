@@ -42,7 +42,14 @@ def not_placeholder(placeholder_name: str = PLACEHOLDER_NAME) -> Column:
 
 
 def inside(start: str | None) -> Column:
-    return paths.is_inside(F.col("path"), F.lit(_start(start)))
+    """Below the start folder, with or without a leading slash.
+
+    Plain prefix tests, so that they reach the scan.
+    """
+    key = _start(start)
+    if key == "/":
+        return F.lit(True)
+    return F.col("path").startswith(key.removeprefix("/")) | F.col("path").startswith(key)
 
 
 def path_matches(pattern: str) -> Column:
@@ -68,12 +75,10 @@ def query_items(
     The pattern has to cover the whole path, or the whole file name when `on`
     is ``"name"``. Placeholder files stay hidden unless asked for.
     """
-    tests = [not_root()]
     rooted = _start(start) == "/"
+    tests = [not_root()] if rooted else [inside(start), not_self(start)]
     if not recursive:
         tests.append(at_level(start))
-    if not rooted:
-        tests += [not_self(start), inside(start)]
     if not placeholder:
         tests.append(not_placeholder(placeholder_name))
     if pattern:
@@ -87,7 +92,7 @@ def prefix_folders(items: DataFrame, start: str | None = None) -> DataFrame:
     bare = paths.remove_first_slash(F.col("path"))
     rest = F.substring(bare, len(prefix) + 1, 2147483647)
     folder = F.concat(F.lit(prefix), F.substring_index(rest, "/", 1), F.lit("/"))
-    below = bare.startswith(prefix) & (F.instr(rest, "/") > 0)
+    below = inside(start) & (F.instr(rest, "/") > 0)
     return items.where(below).select("drive_id", folder.alias("path")).distinct()
 
 

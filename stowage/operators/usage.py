@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths
+from .query import inside
 from .scale import broadcast_if_small, running_position
 
 # The path of the row that closes a run, and how far before that
@@ -74,7 +75,7 @@ def subfolder_usage(usage: DataFrame, drive_id: int, start: str) -> DataFrame:
     folder = F.concat(F.lit(prefix), F.substring_index(rest, "/", 1), F.lit("/"))
     return (
         _run_of_drive(usage, drive_id)
-        .where(bare.startswith(prefix) & (F.instr(rest, "/") > 0))
+        .where(inside(start) & (F.instr(rest, "/") > 0))
         .groupBy(folder.alias("path"))
         .agg(F.sum("bytes").alias("bytes"))
     )

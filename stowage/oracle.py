@@ -381,6 +381,9 @@ def texts() -> dict[str, str]:
         "external_table": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
             strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders""",
         "external_table_csv": "SELECT * FROM customer",
+        "schema_to_hive": """SELECT * FROM (VALUES (0, 'l_orderkey', 'bigint'),
+            (1, 'line', 'struct<l_linenumber:int,l_quantity:double,rates:array<double>>'),
+            (2, 'shipped', 'map<string,timestamp_ntz>')) AS t(ordinal, name, type)""",
         "list_one_level": with_tables(
             f"""SELECT drive_id, path, file_size, FALSE AS directory FROM drive_item
             WHERE regexp_full_match(path, 'A/F/p1/[^/]+')

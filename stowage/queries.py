@@ -155,6 +155,17 @@ def external_table_csv(t: Tables) -> DataFrame:
     return schemas.register_external(t.spark, "default", name, folder, "csv")
 
 
+def schema_to_hive(t: Tables) -> DataFrame:
+    """Hive types of a nested table made of orders and their lines."""
+    folder = shared_folder(t.spark, "nested")
+    line = F.struct("l_linenumber", "l_quantity", F.array("l_discount", "l_tax").alias("rates"))
+    t.raw("lineitem").select(
+        "l_orderkey", line.alias("line"), F.create_map("l_returnflag", "l_shipdate").alias("shipped")
+    ).write.parquet(folder)
+    described = schemas.describe_files(t.spark, folder, "parquet")
+    return described.select("ordinal", "name", "type").distinct()
+
+
 def infer_csv_schema(t: Tables) -> DataFrame:
     folder = shared_folder(t.spark, "csv")
     t.raw("customer").write.option("header", "true").csv(folder)
@@ -176,7 +187,7 @@ def bulk_copy(t: Tables) -> DataFrame:
     folder = _stored_items(t, "copy")
     stored = files.path_table(t.spark, folder)
     out = shared_folder(t.spark, "copied")
-    inside = paths.relative_path(F.lit(f"file:{folder}"), F.col("path"))
+    inside = F.regexp_extract("path", "/copy-[0-9a-f]+/(.*)", 1)
     plan = stored.select(
         F.col("path").alias("source"),
         F.concat(F.lit(f"{out}/files/"), inside).alias("target"),
@@ -381,6 +392,7 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
         .unionByName(query.list_one_level(t.drive_item(), "/A/F"))
         .select("drive_id", "path", "file_size", "directory"),
         "infer_parquet_schema": infer_parquet_schema,
+        "schema_to_hive": schema_to_hive,
         "infer_csv_schema": infer_csv_schema,
         "external_table": external_table,
         "external_table_csv": external_table_csv,
@@ -399,7 +411,7 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "flt_level": _listing(lambda: query.at_level("/A/F")),
         "flt_not_self": _listing(lambda: query.not_self("A/F")),
         "flt_placeholder": _listing(lambda: query.not_placeholder("p7")),
-        "flt_inside": _listing(lambda: query.inside("A/F") & query.not_self("A/F") | (F.col("path") == "A/F/")),
+        "flt_inside": _listing(lambda: query.inside("A/F")),
         "flt_pattern_path": _listing(lambda: query.path_matches("A/[FO]/p1[0-9]?/.*")),
         "flt_pattern_name": _listing(lambda: query.name_matches("o[0-9]+-1.*|p[0-9]")),
         "grid_contains": _grid(f("message", "contains", "lick")),

@@ -25,6 +25,10 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
     )
 
 
+# Scratch folder of each local application that was started without a shared one.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared one named in ``spark.checkpoint.dir``.
 
@@ -34,9 +38,17 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="stowage-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL:
+            _LOCAL[application] = tempfile.mkdtemp(prefix="stowage-")
+        base = _LOCAL[application]
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on whatever file system Spark finds it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:

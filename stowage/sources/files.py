@@ -45,11 +45,6 @@ def open_input(uri: str) -> pa.NativeFile:
     return system.open_input_file(path)
 
 
-def exists(uri: str) -> bool:
-    system, path = resolve(uri)
-    return system.get_file_info(path).type != fs.FileType.NotFound
-
-
 def path_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, length) of the files below the given paths, spread over the cluster.
 

@@ -27,10 +27,13 @@ def append_snapshot(items: DataFrame, drives: DataFrame, run_ts: str, path: str)
 
     The marker is its own append after the data has been committed, so readers
     that go through the last closed run never see half a run. Partitions are
-    (drive_id, run), which lets retention drop whole folders.
+    (drive_id, run), which lets retention drop whole folders; a large drive is
+    spread over several writers, and paths are sorted within a file so that a
+    folder's rows lie together and other row groups are skipped.
     """
     writer = {"mode": "append", "partitionBy": ["drive_id", "run"]}
-    _rows(items, run_ts).write.parquet(path, **writer)
+    rows = _rows(items, run_ts).hint("rebalance", "drive_id")
+    rows.sortWithinPartitions("drive_id", "run", "path").write.parquet(path, **writer)
     markers = drives.select(
         "drive_id",
         F.lit(COMPLETED_MARKER).alias("path"),

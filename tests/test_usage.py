@@ -182,3 +182,20 @@ def test_filter_reaches_the_usage_scan(spark, folder):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(path,a/)" in plan and "EqualTo(drive_id,1)" in plan
     assert "Join" not in plan
+
+
+def test_scratch_folder_without_a_shared_one():
+    from types import SimpleNamespace
+
+    from stowage.session import shared_folder
+
+    def session(master, application, base=None):
+        context = SimpleNamespace(master=master, applicationId=application)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: base or default), sparkContext=context)
+
+    local = session("local[2]", "app-x")
+    one, two = shared_folder(local, "a"), shared_folder(local, "a")
+    assert one != two and one.rsplit("/", 1)[0] == two.rsplit("/", 1)[0]
+    assert shared_folder(session("yarn", "app-y", "s3a://b/c/"), "a").startswith("s3a://b/c/a-")
+    with pytest.raises(ValueError):
+        shared_folder(session("yarn", "app-y"), "a")
