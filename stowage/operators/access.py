@@ -95,6 +95,15 @@ def _folded_test(path: Column, level: str) -> Column:
     return allowed & ~hit("ex")
 
 
+def _compiling(rules: DataFrame) -> DataFrame:
+    """The rules, failing on a pattern that does not compile by itself.
+
+    Wrapped for the full match, a text such as ``a)(b`` would become a pattern
+    that grants something its author never wrote.
+    """
+    return rules.where(F.rlike(F.lit(""), F.col("rule_text")).isNotNull())
+
+
 def _fits_folding(rules: DataFrame) -> bool:
     return fits_broadcast(rules, MAX_FOLDED_RULES)
 
@@ -118,7 +127,7 @@ def with_held(
     items: DataFrame, rules: DataFrame, user: str, roles: Iterable[str], wanted: list[str]
 ) -> DataFrame:
     """Items with a boolean `_held_<level>` for each wanted level."""
-    mine = rules.where(users_and_roles_apply(user, roles))
+    mine = _compiling(rules.where(users_and_roles_apply(user, roles)))
     flags = [f"_held_{level}" for level in wanted]
     if _fits_folding(mine):
         joined = items.join(F.broadcast(_folded(mine, wanted)), "drive_id", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalars
+from ..session import materialize
 from .scale import running_total
 
 LINE_BREAK = r"\r\n|\n|\r"
@@ -121,14 +122,20 @@ def upload_status(chunks: DataFrame) -> DataFrame:
 
 
 def placed_chunks(chunks: DataFrame) -> DataFrame:
-    """The chunks of complete uploads with their byte offset in the assembled file."""
-    once = chunks.groupBy("file_uid", "chunk_index").agg(F.max("data").alias("data"))
-    done = upload_status(chunks).where("complete").select("file_uid")
-    whole = once.join(done, "file_uid", "left_semi")
+    """The chunks of complete uploads with their byte offset in the assembled file.
+
+    Offsets are summed over (upload, index, size) rows; the data itself is
+    shuffled once, by (upload, index). Of copies that differ the longest counts.
+    """
+    key = ["file_uid", "chunk_index"]
     size = F.octet_length("data").cast("bigint")
-    placed = running_total(whole, ["file_uid"], ["chunk_index"], size, "_end", "file_bytes")
-    return placed.select(
-        "file_uid", "chunk_index", (F.col("_end") - size).alias("start_byte"), "data", "file_bytes"
+    done = upload_status(chunks).where("complete").select("file_uid")
+    whole = chunks.join(done, "file_uid", "left_semi")
+    sizes = materialize(whole.groupBy(*key).agg(F.max(size).alias("_size")), "chunk-sizes")
+    placed = running_total(sizes, key[:1], key[1:], F.col("_size"), "_end", "file_bytes")
+    once = whole.groupBy(*key).agg(F.max(F.struct(size.alias("size"), "data")).alias("_chunk"))
+    return once.join(placed, key).select(
+        *key, (F.col("_end") - F.col("_size")).alias("start_byte"), "_chunk.data", "file_bytes"
     )
 
 

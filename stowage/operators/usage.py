@@ -13,6 +13,9 @@ from .scale import broadcast_if_small, running_position
 COMPLETED_MARKER = "///COMPLETED///"
 RUN_SLACK = "INTERVAL 60 SECONDS"
 
+# How the partitions of a stored run are named; sorts like the run's time.
+RUN_FORMAT = "yyyyMMddHHmmss"
+
 
 def is_marker() -> Column:
     return F.col("path") == COMPLETED_MARKER
@@ -35,12 +38,24 @@ def _with_cutoff(usage: DataFrame, how: str) -> DataFrame:
     return usage.join(broadcast_if_small(cutoffs), "drive_id", how)
 
 
+def _runs_since(usage: DataFrame, cutoff: Column) -> DataFrame:
+    """Where the table is partitioned by run, skip the folders of runs before a time."""
+    if "run" not in usage.columns:
+        return usage
+    return usage.where(F.col("run") >= F.date_format(cutoff, RUN_FORMAT))
+
+
 def current_usage(usage: DataFrame) -> DataFrame:
     """Files of the visible run of every drive; drives without a closed run have none.
 
     Rows of a newer run that is still open are visible as well.
     """
     visible = ~is_marker() & (F.col("created") > F.col("_cutoff"))
+    if "run" in usage.columns:
+        oldest = last_completed(usage).agg(
+            (F.min("last_completed") - F.expr(RUN_SLACK)).alias("oldest")
+        )
+        usage = _runs_since(usage, oldest.scalar())
     return _with_cutoff(usage, "inner").where(visible).drop("_cutoff")
 
 
@@ -52,7 +67,7 @@ def _run_of_drive(usage: DataFrame, drive_id: int) -> DataFrame:
         .agg((F.max("created") - F.expr(RUN_SLACK)).alias("cutoff"))
         .scalar()
     )
-    return mine.where(~is_marker() & (F.col("created") > cutoff))
+    return _runs_since(mine, cutoff).where(~is_marker() & (F.col("created") > cutoff))
 
 
 def below(path: str) -> Column:

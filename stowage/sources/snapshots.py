@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.audit import latest_status
-from ..operators.usage import COMPLETED_MARKER, drive_totals, is_marker, last_completed
+from ..operators.usage import (
+    COMPLETED_MARKER,
+    RUN_FORMAT,
+    RUN_SLACK,
+    drive_totals,
+    last_completed,
+)
 
 USAGE_SCHEMA = "path string, bytes bigint, created timestamp, drive_id int, run string"
 HISTORY_SCHEMA = "drive_id int, created timestamp, bytes bigint, path string"
@@ -18,7 +24,7 @@ def _rows(items: DataFrame, run_ts: str) -> DataFrame:
         F.col("file_size").alias("bytes"),
         created.alias("created"),
         F.col("drive_id").cast("int").alias("drive_id"),
-        F.date_format(created, "yyyyMMddHHmmss").alias("run"),
+        F.date_format(created, RUN_FORMAT).alias("run"),
     )
 
 
@@ -64,7 +70,7 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 def expired_runs(usage: DataFrame) -> DataFrame:
     """The (drive_id, run) partitions that lie wholly before the visible run."""
     cutoffs = last_completed(usage).select(
-        "drive_id", (F.col("last_completed") - F.expr("INTERVAL 60 SECONDS")).alias("cutoff")
+        "drive_id", (F.col("last_completed") - F.expr(RUN_SLACK)).alias("cutoff")
     )
     runs = usage.groupBy("drive_id", "run").agg(F.max("created").alias("created"))
     return runs.join(cutoffs, "drive_id").where(F.col("created") < F.col("cutoff")).select(
@@ -96,8 +102,3 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """Current state of every action."""
     return latest_status(spark.read.parquet(path))
 
-
-__all__ = [
-    "append_audit", "append_history", "append_snapshot", "expired_runs", "is_marker",
-    "purge_snapshots", "read_audit", "read_history", "read_usage",
-]

@@ -113,3 +113,10 @@ def test_items_are_not_shuffled(spark, folder):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("folded", [True, False])
+def test_a_broken_pattern_fails_and_grants_nothing(spark, monkeypatch, folded):
+    monkeypatch.setattr(A, "_fits_folding", lambda _: folded)
+    with pytest.raises(Exception, match="a\\)\\(b|REGEX|PATTERN|regexp"):
+        A.access_filter(items(spark, "ab"), rules(spark, ("a)(b", False, "R")), "u").collect()

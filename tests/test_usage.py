@@ -199,3 +199,16 @@ def test_scratch_folder_without_a_shared_one():
     assert shared_folder(session("yarn", "app-y", "s3a://b/c/"), "a").startswith("s3a://b/c/a-")
     with pytest.raises(ValueError):
         shared_folder(session("yarn", "app-y"), "a")
+
+
+def test_old_runs_are_not_read(spark, folder):
+    drives = spark.createDataFrame([(1,), (2,)], "drive_id int")
+    items = spark.createDataFrame([(1, "a", 3), (2, "b", 4)], "drive_id int, path string, file_size bigint")
+    for hour in range(4):
+        S.append_snapshot(items, drives, f"2024-01-01 0{hour}:00:00", f"{folder}/u")
+    usage = S.read_usage(spark, f"{folder}/u")
+    for df, total in ((U.current_usage(usage).agg(F.sum("bytes")), 7), (U.folder_usage_total(usage, 1, "/"), 3)):
+        assert df.first()[0] == total
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert any("PartitionFilters" in line and "run" in line.split("PartitionFilters")[1].split("]")[0]
+                   for line in plan.splitlines() if "FileScan" in line)
