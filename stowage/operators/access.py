@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import levels, scalars
-from .scale import broadcast_if_small, fits_broadcast
+from .scale import fits_broadcast
 
 MAX_FOLDED_RULES = 10_000
 

@@ -153,7 +153,6 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
           ('GCS', 'COLDLINE', 'Cold Line', FALSE, FALSE), ('GCS', 'NEARLINE', 'Near Line', FALSE, FALSE),
           ('GCS', 'STANDARD', 'Standard', FALSE, TRUE))
           AS c(drive_type, storage_class, display_text, restore_required, is_default)"""),
-    "spec_access": (("transfer_spec", "drive_security_rule"), ""),  # filled in below
 }
 
 GIVERS = {"R": "RCMD", "C": "CMD", "M": "MD", "D": "D", "A": "A", "U": "U"}
@@ -178,8 +177,6 @@ TABLES["spec_access"] = (("transfer_spec", "drive_security_rule"), f"""
           {held('C', 's.dest_drive_id', 's.dest_path')} AS dest_c
         FROM transfer_spec s""")
 
-BARE = "ltrim({0}, '/')"
-
 TABLES["spec_checked"] = (("spec_access", "drive"), """
         SELECT s.*, sd.drive_type AS source_type,
           CASE WHEN sd.drive_id IS NULL THEN 'no source drive'

@@ -72,13 +72,13 @@ def byte_range(files: DataFrame, start: int, n: int, block: int = BLOCK_BYTES) -
     short; one that begins past it gives no row. Each block is its own row and
     is read by itself, so a wide range of one file is read by many tasks.
     """
-    end = F.least(F.col("length"), F.lit(start + n))
+    end, step = F.least(F.col("length"), F.lit(start + n)), F.lit(block).cast("bigint")
+    starts = F.sequence(F.lit(start).cast("bigint"), end - 1, step)
     blocks = files.where((F.col("length") > start) & F.lit(n > 0)).select(
-        "path", end.alias("_end"), F.explode(F.sequence(F.lit(start).cast("bigint"), end - 1, F.lit(block).cast("bigint"))).alias("start_byte")
-    )
-    wanted = blocks.select(
-        "path", "start_byte", F.least(F.lit(block), F.col("_end") - F.col("start_byte")).alias("_size")
+        "path", end.alias("_end"), F.explode(starts).alias("start_byte")
     )
+    size = F.least(step, F.col("_end") - F.col("start_byte"))
+    wanted = blocks.select("path", "start_byte", size.alias("_size"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
