@@ -11,7 +11,6 @@ and looks their runs up.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,8 +24,6 @@ from pyspark.sql import DataFrame, functions as F
 from stowage.llm.ranges import running_sum
 from stowage.session import materialize
 
-#: Words whose ids a worker remembers; emptied when full.
-REMEMBERED = 400_000
 PART_ROWS = 50_000
 
 
@@ -42,12 +39,10 @@ def byte_of_sign() -> dict[str, int]:
 
 
 class TokenIds:
-    """Ids of a byte-level BPE tokenizer file as little-endian bytes, by remembered words.
+    """Ids of a byte-level BPE tokenizer file as little-endian bytes.
 
     The file's vocabulary is handed to tiktoken, which merges several times faster than the
-    file's own library and gives the same ids. A blank that other characters follow always begins
-    a new word, so the parts between such blanks are encoded one by one. Texts with a
-    special token's string in them are encoded whole, the special token as itself.
+    file's own library and gives the same ids. A special token's string in a text counts as the token.
     """
 
     def __init__(self, path: str):
@@ -67,33 +62,9 @@ class TokenIds:
         if merged != sorted(merged):
             raise ValueError("the ids of the vocabulary are not in the order of the merges")
         self.model = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=specials)
-        self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)").search
-        self.cut = re.compile(r" (?=\S)").split
-        self.odd = re.compile(r"\s\s|\s\Z").search
-        self.known: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        if self.special(text):
-            return [text]
-        parts = self.cut(text) if self.odd(text) else text.split(" ")
-        return parts[:1] + [" " + p for p in parts[1:]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.words(text) for text in texts]
-        known = self.known
-        for words in cut:
-            for word in words:
-                if word not in known:
-                    known[word] = np.array(self.ids_of(word), "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        if len(known) > REMEMBERED:
-            known.clear()
-        return out
-
-    def ids_of(self, word: str) -> list[int]:
-        if self.special(word):
-            return self.model.encode(word, allowed_special="all")
-        return self.model.encode_ordinary(word)
+
+    def encode(self, text: str) -> bytes:
+        return self.model.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
 PIECES = pa.schema([
@@ -103,7 +74,7 @@ PIECES = pa.schema([
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, block: int = 1_000_000,
+    docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2,
     id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """A row per piece of each text's ids plus the end id; only the first piece may be shorter than
@@ -112,22 +83,15 @@ def token_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = TokenIds(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            numbers, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            low, held, rows = 0, 0, []
-            for i, text in enumerate(texts):
-                held += len(text)
-                if held < block and i < len(texts) - 1:
-                    continue
-                for number, data in zip(numbers[low : i + 1], ids.encode(texts[low : i + 1])):
-                    data += end
-                    total = len(data) // 4
-                    first = (total - 1) % capacity + 1
-                    begin, stop, piece = 0, first, 0
-                    while begin < total:
-                        crc = zlib.crc32(data[4 * begin : 4 * stop])
-                        rows.append((number, piece, begin, stop - begin, crc))
-                        begin, stop, piece = stop, stop + capacity, piece + 1
-                low, held = i + 1, 0
+            rows: list[tuple] = []
+            for number, text in zip(*(batch.column(c).to_pylist() for c in range(2))):
+                data = ids.encode(text) + end
+                total = len(data) // 4
+                begin, stop, piece = 0, (total - 1) % capacity + 1, 0
+                while begin < total:
+                    crc = zlib.crc32(data[4 * begin : 4 * stop])
+                    rows.append((number, piece, begin, stop - begin, crc))
+                    begin, stop, piece = stop, stop + capacity, piece + 1
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES
