@@ -7,9 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm import quality, secret_scan, token_counts
+from stowage.llm import (
+    fingerprints, langid, mixing, neighbours, packing, quality, secret_scan, simhash, token_counts, warc,
+)
 from stowage.session import ship_package
 
+PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship_package(spark)
@@ -18,7 +23,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(
-        table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+        table(spark, folder, "documents"), public_tokenizers.path(PIECE_MODEL)
     )
 
 
@@ -30,9 +35,46 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, folder, "documents"))
+
+
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_pages(table(spark, folder, "pages"))
+
+
+def op6_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, folder, "documents"))
+
+
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"))
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(
+        table(spark, folder, "documents"), public_tokenizers.path(BYTE_MODEL)
+    )
+
+
+def op10_languages(spark: SparkSession, folder: str) -> DataFrame:
+    found = langid.identify_languages(table(spark, folder, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = (
+    op1_token_counts, op2_secret_scan, op3_quality, op4_fingerprints, op5_warc,
+    op6_mix, op7_simhash, op8_neighbours, op9_packing, op10_languages,
+)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_quality)}
+    return {query.__name__: query for query in QUERIES}
 
 
 def texts() -> dict[str, str]:
-    return {}
+    return {"op5_warc": warc.ORACLE}
