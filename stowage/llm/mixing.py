@@ -200,12 +200,15 @@ def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
     are kept once: they use none of the budget.
     """
     _, plan, parts = mix_plan(docs, seed=seed)
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    plan = plan.withColumnRenamed("source", "_source")
-    joined = docs.join(plan, docs["source"].eqNullSafe(plan["_source"]))
-    empty = size_of(F.col("text")) == 0
-    copies = F.when(empty, 1).otherwise(copies_of(place_of("doc_id", "text", seed), parts))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+        F.col("source").alias("_source"),
+        (size_of(F.col("text")) == 0).alias("_empty"),
+        place_of("doc_id", "text", seed).alias("_place"),
+    )
+    copies = F.when(F.col("_empty"), 1).otherwise(copies_of(F.col("_place"), parts))
     return (
-        joined.withColumn("_copies", copies).where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+        rows.join(plan, F.col("_source").eqNullSafe(F.col("source"))).withColumn("_copies", copies)
+        .where("_copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .select("_doc.*")
     )
