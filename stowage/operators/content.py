@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import scalars
 from ..session import materialize
@@ -144,7 +145,7 @@ def assemble_chunks(chunks: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Da
 
     A segment holds the chunks that start within its `segment_bytes` of the
     file, so a file up to that size is one row and a larger one is several rows
-    in order; no row and no group grows with the file.
+    in order; no row and no group grows with the file. The content has the type of `data`.
     """
     placed = placed_chunks(chunks).withColumn(
         "segment", F.floor(F.col("start_byte") / segment_bytes)
@@ -152,7 +153,11 @@ def assemble_chunks(chunks: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Da
     # empty chunks add nothing to the content; an empty file keeps its first one
     kept = placed.where((F.octet_length("data") > 0) | (F.col("chunk_index") == 0))
     in_order = F.sort_array(F.collect_list(F.struct("chunk_index", "data")))
+    if isinstance(chunks.schema["data"].dataType, BinaryType):
+        content = F.unhex(F.array_join(F.transform(in_order, lambda c: F.hex(c["data"])), ""))
+    else:
+        content = F.array_join(F.transform(in_order, lambda c: c["data"]), "")
     return kept.groupBy("file_uid", "segment", "file_bytes").agg(
         F.min("start_byte").alias("start_byte"),
-        F.array_join(F.transform(in_order, lambda c: c["data"]), "").alias("content"),
+        content.alias("content"),
     )

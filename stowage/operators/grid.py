@@ -33,7 +33,8 @@ class GridSpec:
 
 
 def _like(column: Column, pattern: str) -> Column:
-    return column.cast("string").like(pattern)
+    """`%` and `_` of the value are wildcards, backslashes are themselves."""
+    return column.cast("string").like(pattern.replace("\\", "\\\\"))
 
 
 def condition(column: Column, operator: str, value: Any, data_type: str = "string") -> Column:
@@ -57,8 +58,8 @@ def condition(column: Column, operator: str, value: Any, data_type: str = "strin
 
 
 def created_on(day: str) -> Column:
-    """The whole of one day, whatever operator the grid sent."""
-    first = dt.date.fromisoformat(day)
+    """The whole of one day, whatever operator the grid sent; a time after the date is ignored."""
+    first = dt.date.fromisoformat(day.strip()[:10])
     created = F.col(CREATED_FIELD)
     return (created >= F.lit(first)) & (created < F.lit(first + dt.timedelta(days=1)))
 

@@ -70,7 +70,7 @@ def running_total(
     smallest hashes, a sample of fixed size that depends on the data only. Each
     range is summed first; the row window then runs inside one range of one
     group and adds the sums of the ranges before it. (groups, key) has to be
-    unique and the groups non-null.
+    unique; null groups and keys are values like any other.
     """
     spark = df.sparkSession
     if buckets is None:
@@ -102,8 +102,10 @@ def running_total(
     inside = (
         Window.partitionBy(*by_range).orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)
     )
+    renamed = offsets.withColumnsRenamed({c: f"_of_{c}" for c in by_range})
+    same = [cut[c].eqNullSafe(renamed[f"_of_{c}"]) for c in by_range]
     out = (
-        cut.join(offsets, by_range)
+        cut.join(renamed, same).drop(*renamed.columns[: len(by_range)])
         .withColumn(name, F.col("_before") + F.sum("_value").over(inside))
         .withColumn(total_name or "_total", F.col("_total"))
     )

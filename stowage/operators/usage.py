@@ -14,7 +14,6 @@ COMPLETED_MARKER = "///COMPLETED///"
 RUN_SLACK = "INTERVAL 60 SECONDS"
 
 # How the partitions of a stored run are named; sorts like the run's time.
-RUN_FORMAT = "yyyyMMddHHmmss"
 
 
 def is_marker() -> Column:
@@ -42,7 +41,7 @@ def _runs_since(usage: DataFrame, cutoff: Column) -> DataFrame:
     """Where the table is partitioned by run, skip the folders of runs before a time."""
     if "run" not in usage.columns:
         return usage
-    return usage.where(F.col("run") >= F.date_format(cutoff, RUN_FORMAT))
+    return usage.where(F.col("run") >= F.unix_micros(cutoff))
 
 
 def current_usage(usage: DataFrame) -> DataFrame:

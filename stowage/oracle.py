@@ -186,8 +186,9 @@ TABLES["spec_checked"] = (("spec_access", "drive"), """
             WHEN source_drive_id = dest_drive_id
               AND (source_path = dest_path OR source_path = dest_path || '/')
               THEN 'same source and destination'
-            WHEN remove_source AND source_drive_id = dest_drive_id AND ends_with(source_path, '/')
-              AND starts_with(dest_path, source_path) THEN 'moved beneath itself'
+            WHEN remove_source AND source_drive_id = dest_drive_id AND (trim(source_path, '/') = ''
+              OR starts_with(trim(dest_path, '/'), trim(source_path, '/') || '/'))
+              THEN 'moved beneath itself'
             WHEN NOT ((CASE WHEN remove_source THEN source_d ELSE source_r END) AND dest_c)
               THEN 'no permission' END AS reason
         FROM spec_access s LEFT JOIN drive sd ON sd.drive_id = source_drive_id
@@ -218,7 +219,9 @@ TABLES["existing"] = (("drive_item", "folder"), """
         UNION SELECT drive_id, rtrim(path, '/') FROM folder""")
 
 TABLES["spec_found"] = (("spec_covered", "existing"), """
-        SELECT s.*, e.bare IS NOT NULL AS dest_there FROM spec_covered s
+        SELECT s.*, e.bare IS NOT NULL OR ROW_NUMBER() OVER (
+            PARTITION BY s.dest_drive_id, s.item_dest ORDER BY s.spec_id, s.item_path) > 1 AS dest_there
+        FROM spec_covered s
         LEFT JOIN existing e ON e.drive_id = s.dest_drive_id AND e.bare = s.item_dest""")
 
 TABLES["spec_verdict"] = (("spec_checked", "spec_found", "existing"), """
@@ -691,11 +694,14 @@ def texts() -> dict[str, str]:
                 WHEN e.bare IS NOT NULL THEN 'destination exists' END AS why
               FROM spec_access s LEFT JOIN drive sd ON sd.drive_id = source_drive_id
               LEFT JOIN drive dd ON dd.drive_id = dest_drive_id
-              LEFT JOIN existing e ON e.drive_id = dest_drive_id AND e.bare = rtrim(dest_path, '/'))
+              LEFT JOIN existing e ON e.drive_id = dest_drive_id AND e.bare = rtrim(dest_path, '/')),
+            turns AS (SELECT * EXCLUDE (why), CASE WHEN why IS NULL AND ROW_NUMBER() OVER (
+                PARTITION BY why IS NULL, dest_drive_id, trim(dest_path, '/') ORDER BY spec_id) > 1
+                THEN 'destination exists' ELSE why END AS why FROM checked)
             SELECT s.spec_id, s.source_drive_id AS drive_id, i.item_path AS old_path,
               i.item_dest AS new_path, 'rename' AS decision, CAST(NULL AS VARCHAR) AS reason
-            FROM checked s JOIN spec_item i ON i.spec_id = s.spec_id WHERE s.why IS NULL
-            UNION ALL SELECT spec_id, source_drive_id, source_path, dest_path, 'reject', why FROM checked
+            FROM turns s JOIN spec_item i ON i.spec_id = s.spec_id WHERE s.why IS NULL
+            UNION ALL SELECT spec_id, source_drive_id, source_path, dest_path, 'reject', why FROM turns
             WHERE why IS NOT NULL""", "spec_access", "drive", "existing", "spec_item"),
         "delete_plan": _delete_plan(),
         "delete_order": with_tables(
@@ -743,6 +749,7 @@ def texts() -> dict[str, str]:
               COUNT(*) = MAX(total_chunks) AS complete FROM upload_chunk GROUP BY file_uid""",
             "upload_chunk"),
     }
+    out["stored_usage"] = out["usage_rollup"]
     return out
 
 

@@ -44,7 +44,9 @@ def transfer_validate(
     same = paths.same_source_dest(
         F.col("source_drive_id"), source, F.col("dest_drive_id"), dest
     )
-    beneath = move & same_drive & source.endswith("/") & dest.startswith(source)
+    from_key, to_key = paths.remove_both_slashes(source), paths.remove_both_slashes(dest)
+    inside = (from_key == "") | to_key.startswith(F.concat(from_key, F.lit("/")))
+    beneath = move & same_drive & inside
     source_held = F.when(move, F.col("source_D")).otherwise(F.col("source_R"))
     why = reason(
         (F.col("source_type").isNull(), "no source drive"),
@@ -95,7 +97,8 @@ def transfer_plan(
     """One row per item of each accepted spec, one row per rejected spec.
 
     Decision is transfer, skip or reject. An archived file, or under ``cancel``
-    an existing destination, rejects the whole spec. Method is mkdir for a
+    an existing destination, rejects the whole spec; where several files have the
+    same destination it exists for all but the first in order of spec and path. Method is mkdir for a
     folder, empty for an empty file, rename or copy within a drive and chunk
     between drives; files of a moved folder are copied, and the folder is
     removed once they are.
@@ -115,10 +118,17 @@ def transfer_plan(
     asked = asked.withColumn("dest_key", paths.remove_both_slashes(F.col("item_dest")))
     key = ["dest_drive_id", "dest_key"]
     known = existing_keys(items, asked.select(*key).toDF("drive_id", "key")).toDF(*key)
+    # of files with one destination the first finds it free, the others find that one there
+    own = F.struct("spec_id", "item_path")
+    shared = (
+        asked.where(~F.col("is_spec") & ~F.col("is_folder")).groupBy(*key)
+        .agg(F.min(own).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    )
+    later = ~F.col("is_spec") & ~F.col("is_folder") & (F.col("_first") != own)
     found = materialize(
-        asked.join(known.withColumn("exists", F.lit(True)), key, "left").withColumn(
-            "exists", F.coalesce("exists", F.lit(False))
-        ),
+        asked.join(known.withColumn("exists", F.lit(True)), key, "left").join(shared, key, "left")
+        .withColumn("exists", F.coalesce("exists", F.lit(False)) | F.coalesce(later, F.lit(False)))
+        .drop("_first"),
         "transfer-found",
     )
 
@@ -216,7 +226,7 @@ def rename_plan(
     """New key for every key below the old one; one row per refused spec.
 
     Needs Read on the source and Create on the destination, the same drive, and
-    a destination that does not exist yet.
+    a destination that does not exist yet and that no earlier spec takes.
     """
     typed = _with_drive_types(specs, drives, fits_broadcast(drives))
     held = with_access(typed, rules, user, roles, "source_drive_id", "source_path", ["R"], "source")
@@ -237,6 +247,14 @@ def rename_plan(
     )
     checked = materialize(found.select(*specs.columns, why.alias("reason")), "rename-checked")
     valid = checked.where(F.col("reason").isNull()).drop("reason")
+    # of specs with one destination the first takes it
+    to_key = paths.remove_both_slashes(F.col("dest_path"))
+    takers = valid.groupBy("dest_drive_id", to_key.alias("_key")).agg(F.min("spec_id").alias("_taker"))
+    placed = valid.withColumn("_key", to_key).join(takers, ["dest_drive_id", "_key"])
+    late = placed.where(F.col("spec_id") != F.col("_taker")).select(
+        *specs.columns, F.lit("destination exists").alias("reason")
+    )
+    valid = placed.where(F.col("spec_id") == F.col("_taker")).select(*specs.columns)
     small = fits_broadcast(valid)
     moved = paths.move_below(F.col("item_path"), F.col("source_path"), F.col("dest_path"))
     covered = materialize(
@@ -254,7 +272,7 @@ def rename_plan(
     missing = valid.join(
         hint(covered.select("spec_id").distinct(), small), "spec_id", "left_anti"
     ).withColumn("reason", F.lit("source not found"))
-    refused = checked.where(F.col("reason").isNotNull()).unionByName(missing)
+    refused = checked.where(F.col("reason").isNotNull()).unionByName(missing).unionByName(late)
     rejected = refused.select(
         "spec_id",
         F.col("source_drive_id").alias("drive_id"),

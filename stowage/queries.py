@@ -120,6 +120,16 @@ def write_usage_snapshot(t: Tables) -> DataFrame:
     )
 
 
+def stored_usage(t: Tables) -> DataFrame:
+    """Two runs appended to a stored table, the second still open on one drive, then rolled up."""
+    folder = shared_folder(t.spark, "usage")
+    items, drives = t.drive_item(), t.drive()
+    first, closed = items.where("file_size < 20480"), drives.where("drive_id <> 24")
+    snapshots.append_snapshot(first, drives, "2024-01-01 00:00:00", folder)
+    snapshots.append_snapshot(items, closed, "2024-01-01 01:00:00", folder)
+    return usage.usage_rollup(snapshots.read_usage(t.spark, folder))
+
+
 def write_usage_history(t: Tables) -> DataFrame:
     folder = shared_folder(t.spark, "history")
     snapshot = t.drive_item().select("drive_id", "path", F.col("file_size").alias("bytes"))
@@ -400,6 +410,7 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
             t.drive_item(), t.drive(), t.drive_property()
         ).select("drive_id", "path", "location"),
         "write_usage_snapshot": write_usage_snapshot,
+        "stored_usage": stored_usage,
         "write_usage_history": write_usage_history,
         "audit_sink": audit_sink,
         # projections, filters, predicates

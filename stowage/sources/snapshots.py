@@ -7,13 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.audit import latest_status
 from ..operators.usage import (
     COMPLETED_MARKER,
-    RUN_FORMAT,
     RUN_SLACK,
     drive_totals,
     last_completed,
 )
 
-USAGE_SCHEMA = "path string, bytes bigint, created timestamp, drive_id int, run string"
+USAGE_SCHEMA = "path string, bytes bigint, created timestamp, drive_id int, run bigint"
 HISTORY_SCHEMA = "drive_id int, created timestamp, bytes bigint, path string"
 
 
@@ -24,7 +23,7 @@ def _rows(items: DataFrame, run_ts: str) -> DataFrame:
         F.col("file_size").alias("bytes"),
         created.alias("created"),
         F.col("drive_id").cast("int").alias("drive_id"),
-        F.date_format(created, RUN_FORMAT).alias("run"),
+        F.unix_micros(created).alias("run"),
     )
 
 
@@ -33,7 +32,8 @@ def append_snapshot(items: DataFrame, drives: DataFrame, run_ts: str, path: str)
 
     The marker is its own append after the data has been committed, so readers
     that go through the last closed run never see half a run. Partitions are
-    (drive_id, run), which lets retention drop whole folders; a large drive is
+    (drive_id, run), the run as microseconds since 1970 so that sessions in any time
+    zone agree, which lets retention drop whole folders; a large drive is
     spread over several writers, and paths are sorted within a file so that a
     folder's rows lie together and other row groups are skipped.
     """
@@ -72,8 +72,8 @@ def expired_runs(usage: DataFrame) -> DataFrame:
     cutoffs = last_completed(usage).select(
         "drive_id", (F.col("last_completed") - F.expr(RUN_SLACK)).alias("cutoff")
     )
-    runs = usage.groupBy("drive_id", "run").agg(F.max("created").alias("created"))
-    return runs.join(cutoffs, "drive_id").where(F.col("created") < F.col("cutoff")).select(
+    runs = usage.select("drive_id", "run").distinct()
+    return runs.join(cutoffs, "drive_id").where(F.col("run") < F.unix_micros("cutoff")).select(
         "drive_id", "run"
     )
 

@@ -108,3 +108,21 @@ def test_progress(spark):
     for r in df.orderBy("batch_id", "done").collect():
         got[r.batch_id].append(r.percent_complete)
     assert got == {1: [33, 67, 100], 2: [13, 25, 38, 50, 63, 75, 88, 100]}
+
+
+def test_backslashes_are_plain_characters(spark):
+    df = spark.createDataFrame([("C:\\data\\x.csv",), ("C:/data/x.csv",), ("D:\\dat_",)], "path string")
+
+    def found(operator, value):
+        return sorted(r.path for r in df.where(G.condition(F.col("path"), operator, value)).collect())
+
+    assert found("contains", "C:\\data") == ["C:\\data\\x.csv"]
+    assert found("startswith", "C:\\") == ["C:\\data\\x.csv"]
+    assert found("endswith", "\\dat_") == ["D:\\dat_"]
+    assert found("doesnotcontain", "\\") == ["C:/data/x.csv"]
+
+
+def test_created_day_ignores_a_time(spark):
+    day, timed = G.created_on("2024-01-01"), G.created_on("2024-01-01T10:15:00")
+    df = audits(spark)
+    assert df.where(day).count() == df.where(timed).count() == 2

@@ -85,3 +85,12 @@ def test_assembly(spark):
     assert len(parts) > 3 and "".join(p.content for p in parts) == text
     assert all(len(p.content) <= 8 + 4 for p in parts)
     assert [p.start_byte for p in parts] == [sum(len(q.content) for q in parts[:i]) for i in range(len(parts))]
+
+
+def test_binary_chunks_stay_binary(spark):
+    data = bytes(range(256)) * 3
+    rows = [("f", i, 3, bytearray(data[i * 256 : i * 256 + 256])) for i in (2, 0, 1)]
+    chunks = spark.createDataFrame(rows, "file_uid string, chunk_index int, total_chunks int, data binary")
+    whole = C.assemble_chunks(chunks)
+    assert dict(whole.dtypes)["content"] == "binary"
+    assert bytes(whole.first()["content"]) == data

@@ -116,7 +116,7 @@ def test_extract(spark, archives):
     want |= {"g.txt": b"zipped", "c.txt": b"compressed"}
     assert content == want
     assert set(errors) == {"x.rar", "bad.zip"}
-    assert errors["x.rar"].endswith('instead found "rar"')
+    assert errors["x.rar"] == f"{files.ARCHIVE_MESSAGE}: rar"
 
 
 def test_byte_ranges(spark, folder):

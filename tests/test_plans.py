@@ -73,7 +73,7 @@ def test_refusals(spark, world):
 def test_methods_and_expansion(spark, world):
     specs = [
         (1, 1, "a/", 1, "z", False), (2, 1, "/a", 2, "/new/", True), (3, 1, "a/one", 1, "q", True),
-        (4, 1, "a/one", 1, "q", False), (5, 1, "a/one", 3, "q", True), (6, 1, "a/b/two", 3, "q", True),
+        (4, 1, "a/one", 1, "q4", False), (5, 1, "a/one", 3, "q", True), (6, 1, "a/b/two", 3, "q6", True),
         (7, 1, "a.zip", 1, "b.zip", False),
     ]
     assert plan(spark, world, specs) == {
@@ -81,8 +81,8 @@ def test_methods_and_expansion(spark, world):
             ("a/b/two", "z/b/two", "empty", False), ("a/b/three", "z/b/three", "copy", False)},
         2: {("a/one", "new/one", "chunk", False), ("a/b/", "new/b/", "mkdir", False),
             ("a/b/two", "new/b/two", "empty", False), ("a/b/three", "new/b/three", "chunk", False)},
-        3: {("a/one", "q", "rename", False)}, 4: {("a/one", "q", "copy", False)},
-        5: {("a/one", "q", "chunk", False)}, 6: {("a/b/two", "q", "empty", False)},
+        3: {("a/one", "q", "rename", False)}, 4: {("a/one", "q4", "copy", False)},
+        5: {("a/one", "q", "chunk", False)}, 6: {("a/b/two", "q6", "empty", False)},
         7: {("a.zip", "b.zip", "copy", False)},
     }
 
@@ -220,3 +220,25 @@ def test_lookups(spark, world):
     assert got == dict(zip(paths, [True, True, False, True, True, True, False, True, False]))
     found = {r.request_id: r.path for r in lookup.get_items(world["items"], asked).collect()}
     assert found == {0: "a/one", 1: "a/one", 2: "a/one", 3: "a/", 4: "a/", 5: "a/b/"}
+
+
+def test_one_destination_for_two_sources(spark, world):
+    specs = [(1, 1, "a/one", 1, "z/x", False), (2, 1, "ab/four", 1, "/z/x", False)]
+    first = {("a/one", "z/x", "copy", False)}
+    assert plan(spark, world, specs) == {1: first, 2: {("ab/four", "/z/x", "destination exists", False)}}
+    assert plan(spark, world, specs, "skip") == {1: first, 2: {("ab/four", "/z/x", "skip", False)}}
+    assert plan(spark, world, specs, "overwrite") == {1: first, 2: {("ab/four", "/z/x", "copy", True)}}
+    named = transfer.rename_plan(
+        spark.createDataFrame(specs, SPEC), world["items"], world["drives"], world["rules"], "ann"
+    )
+    assert {r.spec_id: (r.decision, r.reason) for r in named.collect()} == {
+        1: ("rename", None), 2: ("reject", "destination exists")
+    }
+
+
+@pytest.mark.parametrize(
+    "source, dest", [("a/", "a/sub/"), ("/a/", "a/sub/"), ("a", "/a/sub"), ("a", "a/sub/"), ("a/", "/a/sub")]
+)
+def test_moved_beneath_itself_in_any_spelling(spark, world, source, dest):
+    got = plan(spark, world, [(1, 1, source, 1, dest, True)])
+    assert {key for _, _, key, _ in got[1]} == {"moved beneath itself"}

@@ -161,7 +161,7 @@ def test_snapshot_runs_history_and_purge(spark, folder):
     assert got == {1: (4, "/"), 2: (0, "/")}
     assert S.purge_snapshots(spark, path) == 2
     left = S.read_usage(spark, path)
-    assert left.count() == 3 and {r.run for r in left.select("run").distinct().collect()} == {"20240101010000"}
+    assert left.count() == 3 and {r.run for r in left.select("run").distinct().collect()} == {1704070800000000}
     assert S.purge_snapshots(spark, path) == 0
 
 
@@ -212,3 +212,33 @@ def test_old_runs_are_not_read(spark, folder):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert any("PartitionFilters" in line and "run" in line.split("PartitionFilters")[1].split("]")[0]
                    for line in plan.splitlines() if "FileScan" in line)
+
+
+def test_reader_and_writer_in_different_zones(spark, folder):
+    drives = spark.createDataFrame([(1,)], "drive_id int")
+    first = spark.createDataFrame([(1, "a", 3)], "drive_id int, path string, file_size bigint")
+    second = spark.createDataFrame([(1, "b", 4)], "drive_id int, path string, file_size bigint")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for n, writer in enumerate(("UTC", "Asia/Tokyo", "America/New_York")):
+            spark.conf.set("spark.sql.session.timeZone", writer)
+            path = f"{folder}/u{n}"
+            # the first of these lies in the hour that New York has twice
+            S.append_snapshot(first, drives, "2024-11-03 01:30:00", path)
+            S.append_snapshot(second, drives, "2024-11-03 02:10:00", path)
+            for reader in ("UTC", "Asia/Tokyo", "America/New_York"):
+                spark.conf.set("spark.sql.session.timeZone", reader)
+                usage = S.read_usage(spark, path)
+                assert [r.path for r in U.current_usage(usage).collect()] == ["b"]
+                assert U.folder_usage_total(usage, 1, "/").first()[0] == 4
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_running_total_keeps_null_groups(spark):
+    rows = [(None, 1, 5), (None, 2, 7), ("a", 1, 1), ("a", None, 2)]
+    df = spark.createDataFrame(rows, "g string, k int, v bigint")
+    got = scale.running_total(df, ["g"], ["k"], F.col("v"), "sum", "all").collect()
+    assert {(r.g, r.k): (r["sum"], r["all"]) for r in got} == {
+        (None, 1): (5, 12), (None, 2): (12, 12), ("a", None): (2, 3), ("a", 1): (3, 3)
+    }
