@@ -765,15 +765,18 @@ def _delete_plan() -> str:
     return with_tables(
         f"""
         , checked AS (SELECT r.*, {may} AS may FROM change_request r),
-        covered AS (SELECT q.request_id, i.drive_id, i.path, ends_with(i.path, '/') AS is_folder
+        reached AS (SELECT q.request_id, i.drive_id, i.path, ends_with(i.path, '/') AS is_folder
           FROM checked q JOIN listing i ON i.drive_id = q.drive_id AND i.path = q.path WHERE q.may
           UNION ALL SELECT q.request_id, i.drive_id, i.path, FALSE
           FROM checked q JOIN item_parent i ON i.drive_id = q.drive_id AND i.parent || '/' = q.path
-          WHERE q.may)
+          WHERE q.may),
+        owned AS (SELECT *, request_id = MIN(request_id) OVER (PARTITION BY drive_id, path) AS own FROM reached),
+        covered AS (SELECT * FROM owned WHERE own)
         SELECT request_id, drive_id, path,
           ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY is_folder,
             CASE WHEN NOT is_folder THEN path END, CASE WHEN is_folder THEN path END DESC) AS ordinal,
           'delete' AS decision, CAST(NULL AS VARCHAR) AS reason FROM covered
+        UNION ALL SELECT request_id, drive_id, path, NULL, 'covered', NULL FROM owned WHERE NOT own
         UNION ALL SELECT request_id, drive_id, path, NULL, 'reject', 'no permission' FROM checked
         WHERE NOT may""",
         "change_request", "drive_security_rule", "listing", "item_parent",

@@ -23,7 +23,8 @@ def delete_plan(
 
     Files come first by path, folders follow from the deepest up. A folder never
     takes siblings along that merely share its name as a prefix, such as
-    ``dir.zip`` next to ``dir/``.
+    ``dir.zip`` next to ``dir/``. An item that several requests cover is deleted by the
+    first of them; for the others it is ``covered`` and has no place.
     """
     held = materialize(
         with_access(requests, rules, user, roles, "drive_id", "path", ["D"], "may"),
@@ -40,8 +41,11 @@ def delete_plan(
         ),
         "delete-items",
     )
-    placed = running_position(covered, ["request_id", "is_folder"], ["path"], "_place", "_count")
-    files = covered.where(~F.col("is_folder")).groupBy("request_id").agg(
+    owners = covered.groupBy("drive_id", "path").agg(F.min("request_id").alias("_owner"))
+    marked = materialize(covered.join(owners, ["drive_id", "path"]), "delete-owners")
+    own = marked.where(F.col("request_id") == F.col("_owner")).drop("_owner")
+    placed = running_position(own, ["request_id", "is_folder"], ["path"], "_place", "_count")
+    files = own.where(~F.col("is_folder")).groupBy("request_id").agg(
         F.count(F.lit(1)).alias("_files")
     )
     from_below = F.coalesce("_files", F.lit(0)) + F.col("_count") - F.col("_place") + 1
@@ -53,6 +57,14 @@ def delete_plan(
         F.lit("delete").alias("decision"),
         F.lit(None).cast("string").alias("reason"),
     )
+    elsewhere = marked.where(F.col("request_id") != F.col("_owner")).select(
+        "request_id",
+        "drive_id",
+        "path",
+        F.lit(None).cast("bigint").alias("ordinal"),
+        F.lit("covered").alias("decision"),
+        F.lit(None).cast("string").alias("reason"),
+    )
     missing = allowed.join(
         hint(covered.select("request_id").distinct(), small), "request_id", "left_anti"
     ).withColumn("reason", F.lit("not found"))
@@ -65,4 +77,4 @@ def delete_plan(
         F.lit("reject").alias("decision"),
         "reason",
     )
-    return ordered.unionByName(refused)
+    return ordered.unionByName(elsewhere).unionByName(refused)

@@ -148,7 +148,7 @@ def test_delete(spark, world):
     for r in sorted(rows, key=lambda r: r.ordinal or 0):
         got.setdefault(r.request_id, []).append(r.path if r.decision == "delete" else r.reason)
     in_order = ["a/b/three", "a/b/two", "a/one", "a/b/", "a/"]
-    assert got == {1: in_order, 2: ["no permission"], 3: ["not found"], 4: ["a.zip"], 5: in_order}
+    assert got == {1: in_order, 2: ["no permission"], 3: ["not found"], 4: ["a.zip"], 5: [None] * 5}
     assert sorted(r.ordinal for r in rows if r.request_id == 1) == [1, 2, 3, 4, 5]
 
 
@@ -242,3 +242,17 @@ def test_one_destination_for_two_sources(spark, world):
 def test_moved_beneath_itself_in_any_spelling(spark, world, source, dest):
     got = plan(spark, world, [(1, 1, source, 1, dest, True)])
     assert {key for _, _, key, _ in got[1]} == {"moved beneath itself"}
+
+
+def test_overlapping_deletes(spark, world):
+    asked = spark.createDataFrame(
+        [(1, 1, "a/b/"), (2, 1, "a/"), (3, 1, "a/b/two"), (4, 1, "a/b/two")],
+        "request_id int, drive_id int, path string",
+    )
+    got = removal.delete_plan(asked, world["items"], world["rules"], "ann").collect()
+    deleted = [r.path for r in got if r.decision == "delete"]
+    assert sorted(deleted) == ["a/", "a/b/", "a/b/three", "a/b/two", "a/one"]
+    assert {(r.request_id, r.path) for r in got if r.decision == "covered"} == {
+        (2, "a/b/"), (2, "a/b/two"), (2, "a/b/three"), (3, "a/b/two"), (4, "a/b/two")
+    }
+    assert {r.request_id: r.ordinal for r in got if r.path == "a/" and r.decision == "delete"} == {2: 2}
