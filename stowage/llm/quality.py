@@ -200,6 +200,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> Da
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows whose predicted quality is good, with the input's columns."""
     net = train_quality(docs, labels)
-    return score_quality(docs, net, name="_score").where(F.col("_score") >= least).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
+    return score_quality(rows, net).where(F.col("score") >= least).select("_doc.*")

@@ -226,13 +226,14 @@ def secret_spans(docs: DataFrame, text_column: str = "text", rate: float = 0.01)
 
     names = [c for c in docs.columns if c != "secrets"]
     own = {"_base": base, "_runs": run_spans(text), "_cuts": cuts}
-    found = docs.select(*[F.col(f"`{c}`") for c in names], *[v.alias(k) for k, v in own.items()])
-    return found.select(
-        *[F.col(f"`{c}`") for c in names],
+    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc")
+    found = docs.select(whole, *[v.alias(k) for k, v in own.items()]).select(
+        "_doc",
         F.array_sort(
             F.concat(F.col("_base"), discovered(F.col("_base"), F.col("_runs"), F.col("_cuts")))
         ).alias("secrets"),
     )
+    return found.select("_doc.*", "secrets")
 
 
 def written(spans: Column) -> Column:

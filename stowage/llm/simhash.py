@@ -236,7 +236,9 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """
     found = near_duplicates(docs, id_column, text_column)
     gone = found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
-    kept = docs.join(gone, id_column, "left_anti")
-    return kept.withColumn("_hash", F.xxhash64(text_column)).dropDuplicates([id_column, "_hash"]).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+        F.col(id_column).alias("_id"), F.xxhash64(text_column).alias("_hash"),
     )
+    kept = rows.join(gone, F.col("_id") == F.col(id_column), "left_anti")
+    return kept.dropDuplicates(["_id", "_hash"]).select("_doc.*")

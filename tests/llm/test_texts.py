@@ -21,7 +21,7 @@ def odd_docs(spark, extra=()):
     rows = [(i, t, None, None) for i, t in enumerate([*ODD, *extra])]
     rows += [(None, "no id", "en", "s"), (3, ODD[3], None, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
-    clash = ("n_tokens", "score", "spans", "secrets", "fingerprint", "languages", "_score", "id", "size")
+    clash = ("n_tokens", "score", "spans", "secrets", "fingerprint", "languages", "_score", "_base", "_doc", "_id", "id", "size")
     return docs.select("*", *[F.lit("x").alias(c) for c in clash])
 
 
@@ -133,6 +133,8 @@ def test_quality_on_held_out_rows(spark):
     assert held[held["quality"] == 1]["predicted"].mean() > 0.95
     odd = quality.quality_scores(odd_docs(spark), labels.limit(0)).collect()
     assert len(odd) == len(ODD) + 2 and all(0 <= r["score"] <= 1 for r in odd)
+    kept = quality.keep_good(odd_docs(spark), labels)
+    assert kept.columns == odd_docs(spark).columns and kept.count() == len(ODD) + 2  # untrained: all stay
     assert quality.keep_good(docs.limit(0), labels).count() == 0
 
 
