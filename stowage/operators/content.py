@@ -1,8 +1,8 @@
-"""Content as data: lines of texts and files, part lists and chunk assembly."""
+"""Content as data: lines of texts, part lists and chunk assembly."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions import scalars
@@ -47,47 +47,6 @@ def preview(texts: DataFrame, key: str, text: str, top: int, bottom: int) -> Dat
     return split.select(key, F.inline(shown))
 
 
-def file_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Every line of every file as (path, line_no, line, line_count).
-
-    Files are read in splits. Lines are numbered inside each split and shifted
-    by the line counts of the file's earlier splits, so one large file is
-    numbered by many tasks.
-    """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    placed = lines.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_row"),
-        F.col("value").alias("line"),
-    )
-    counts = placed.groupBy("path", "_split").agg(F.count(F.lit(1)).alias("_n"))
-    of_file = Window.partitionBy("path")
-    earlier = of_file.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "path",
-        "_split",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(of_file).alias("line_count"),
-    )
-    in_split = Window.partitionBy("path", "_split").orderBy("_row")
-    numbered = placed.join(offsets, ["path", "_split"]).withColumn(
-        "line_no", F.col("_before") + F.row_number().over(in_split) - 1
-    )
-    return numbered.select("path", "line_no", "line", "line_count")
-
-
-def file_top_lines(spark: SparkSession, path: str | list[str], n: int) -> DataFrame:
-    return file_lines(spark, path).where(F.col("line_no") < n).drop("line_count")
-
-
-def file_preview(
-    spark: SparkSession, path: str | list[str], top: int, bottom: int
-) -> DataFrame:
-    shown = (F.col("line_no") < top) | (F.col("line_no") >= F.col("line_count") - bottom)
-    return file_lines(spark, path).where(shown).drop("line_count")
-
-
 def chunk_manifest(items: DataFrame) -> DataFrame:
     """The parts of each file as (part_number, start_byte, part_bytes); an empty file has one."""
     size, part = F.col("file_size"), F.col("_part")

@@ -362,6 +362,11 @@ def texts() -> dict[str, str]:
     day = "strftime(created, '%Y-%m-%d %H:%M:%S')"
     size = "octet_length(encode(text)) + 1"  # each text is written with a line break
     total = f"SELECT CAST(SUM({size}) AS BIGINT) AS bytes FROM documents"
+    per_source = f"SELECT source, CAST(SUM({size}) AS BIGINT) AS bytes FROM documents GROUP BY source"
+    # the body of a file ends with a line break, which opens no other line
+    shelves = """WITH body AS (SELECT doc_id // 100 AS shelf,
+          string_agg(COALESCE(text, '') || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1),
+        shelf AS (SELECT shelf, string_split_regex(body, '\\r\\n|\\n|\\r')[1:-2] AS parts FROM body)"""
     break_count = "string_split_regex(text || chr(10), '\\r\\n|\\n|\\r')"
     out = {
         # scans, files and tables
@@ -370,17 +375,23 @@ def texts() -> dict[str, str]:
         "normalize_items": with_tables(
             """SELECT 1 AS drive_id, path, file_size, strftime(modified_date, '%Y-%m-%d') AS day,
               FALSE AS directory, storage_class FROM listed_item""", "listed_item"),
-        "stream_catalog": total,
+        "stream_catalog": per_source,
         "stream_usage_history": f"SELECT 1 AS drive_id, '/' AS path, d.bytes FROM ({total}) d",
-        "byte_range": total,
-        "extract_archives": total,
-        "bulk_copy": f"SELECT 'S' AS status, d.bytes FROM ({total}) d",
+        "byte_range": per_source,
+        "extract_archives": per_source,
+        "bulk_copy": f"SELECT 'S' AS status, d.* FROM ({per_source}) d",
+        "file_top_lines": f"""{shelves} SELECT shelf, line_no, line FROM (SELECT shelf,
+            UNNEST(range(len(parts))) AS line_no, UNNEST(parts) AS line FROM shelf) WHERE line_no < 5""",
+        "file_preview": f"""{shelves} SELECT shelf, line FROM (SELECT shelf, len(parts) AS n,
+            UNNEST(range(len(parts))) AS line_no, UNNEST(parts) AS line FROM shelf)
+            WHERE line_no < 3 OR line_no >= n - 2""",
         "file_lines": f"""SELECT source, CAST(SUM(len(parts) - 1) AS BIGINT) AS lines,
               CAST(SUM(octet_length(encode(array_to_string(parts, '')))) AS BIGINT) AS bytes
             FROM (SELECT source, {break_count} AS parts FROM documents) GROUP BY source""",
         "external_table": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
             strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders""",
         "external_table_csv": "SELECT * FROM customer",
+        "infer_parquet_schema": _described(),
         "schema_to_hive": """SELECT * FROM (VALUES (0, 'l_orderkey', 'bigint'),
             (1, 'line', 'struct<l_linenumber:int,l_quantity:double,rates:array<double>>'),
             (2, 'shipped', 'map<string,timestamp_ntz>')) AS t(ordinal, name, type)""",
@@ -740,14 +751,24 @@ def texts() -> dict[str, str]:
               - INTERVAL 720 MINUTE GROUP BY 1""", "drive_item"),
         "expiry_plan": _expiry_plan(),
         # streams
+        # append mode: windows and uploads that the watermark has closed
         "stream_audit_statistics": with_tables(
-            """SELECT strftime(date_trunc('hour', created), '%Y-%m-%d %H:%M:%S') AS started, action, status,
-              COUNT(*) AS actions FROM action_audit GROUP BY 1, 2, 3""", "action_audit"),
+            """, n AS (SELECT MAX(created) - INTERVAL 10 MINUTE AS mark FROM action_audit)
+            SELECT strftime(date_trunc('hour', created), '%Y-%m-%d %H:%M:%S') AS started, action, status,
+              COUNT(*) AS actions FROM action_audit, n
+            WHERE date_trunc('hour', created) + INTERVAL 1 HOUR <= mark GROUP BY 1, 2, 3""", "action_audit"),
         "stream_assemble_chunks": with_tables(
-            """SELECT file_uid, COUNT(*) AS chunks_present, MAX(total_chunks) AS total_chunks,
-              CAST(SUM(octet_length(encode(data))) AS BIGINT) AS bytes,
-              COUNT(*) = MAX(total_chunks) AS complete FROM upload_chunk GROUP BY file_uid""",
-            "upload_chunk"),
+            """, a AS (SELECT *, TIMESTAMP '2024-01-01' + to_seconds(CAST((file_uid % 48) * 3600 + chunk_index
+                + CASE WHEN file_uid % 5 = 0 AND chunk_index >= 1 THEN 10800 ELSE 0 END AS BIGINT)) AS arrived
+              FROM upload_chunk),
+            n AS (SELECT MAX(arrived) - INTERVAL 1 HOUR AS mark FROM a),
+            s AS (SELECT file_uid, file_uid % 5 = 0 AND chunk_index >= 1 AS resumed, MIN(arrived) AS started,
+                MAX(arrived) + INTERVAL 1 HOUR AS ended, COUNT(*) AS chunks_present,
+                MAX(total_chunks) AS total_chunks, MAX(chunk_index) AS last_index,
+                CAST(SUM(octet_length(encode(data))) AS BIGINT) AS bytes FROM a GROUP BY 1, 2)
+            SELECT file_uid, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, chunks_present, total_chunks,
+              bytes, chunks_present = total_chunks AND last_index = total_chunks - 1 AS complete
+            FROM s, n WHERE ended <= mark""", "upload_chunk"),
     }
     out["stored_usage"] = out["usage_rollup"]
     return out
@@ -760,6 +781,18 @@ TABLES["listing_sized"] = (("drive_item", "folder"), """
         UNION ALL SELECT drive_id, path, 0 FROM folder""")
 
 
+def _described() -> str:
+    """Columns of the given tables by the types DuckDB reads, in Hive's names."""
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string"}
+    named = " ".join(f"WHEN '{kind}' THEN '{hive}'" for kind, hive in kinds.items())
+    return f"""SELECT table_name, column_index - 1 AS ordinal, column_name AS name,
+          CASE WHEN starts_with(data_type, 'TIMESTAMP') THEN 'timestamp_ntz'
+            ELSE CASE data_type {named} ELSE lower(data_type) END END AS type,
+          CAST(NULL AS VARCHAR) AS error
+        FROM duckdb_columns() WHERE NOT internal
+          AND table_name IN ('nation', 'customer', 'orders', 'lineitem', 'events')"""
+
+
 def _delete_plan() -> str:
     may = held("D", "r.drive_id", "r.path")
     return with_tables(

@@ -11,7 +11,7 @@ from .functions import levels, paths, scalars
 from .operators import access, audit, content, drives, grid, lookup, query, usage
 from .plans import archive, expiry, removal, transfer
 from .session import materialize, shared_folder, ship_package
-from .sources import catalog, files, schemas, snapshots
+from .sources import catalog, files, lines, schemas, snapshots, stores
 from .streaming import jobs
 
 USER = "ann"
@@ -60,16 +60,41 @@ def _stored_items(t: Tables, purpose: str) -> str:
     return folder
 
 
-def _total(df: DataFrame, size: Column) -> DataFrame:
-    return df.agg(F.sum(size).cast("bigint").alias("bytes"))
+def _data_files(t: Tables, folder: str) -> DataFrame:
+    """The data files Spark wrote below a folder, without its checksum and marker files."""
+    name = paths.file_name(F.col("path"))
+    return stores.path_table(t.spark, folder).where(name.startswith("part-"))
+
+
+def _ordered_files(t: Tables, purpose: str) -> DataFrame:
+    """Documents by id in text files of a hundred ids each, one file per folder."""
+    folder = shared_folder(t.spark, purpose)
+    docs = t.raw("documents").select(
+        "doc_id", "text", F.expr("doc_id div 100").alias("shelf")
+    )
+    docs.repartition("shelf").sortWithinPartitions("shelf", "doc_id").select(
+        "text", "shelf"
+    ).write.partitionBy("shelf").text(folder)
+    return _data_files(t, folder)
+
+
+def _shelf() -> Column:
+    return F.regexp_extract("path", "shelf=([0-9]+)/", 1).cast("bigint").alias("shelf")
+
+
+def _source_of(path: str = "path") -> Column:
+    return F.regexp_extract(path, "source=([^/]+)/", 1).alias("source")
+
+
+def _per_source(df: DataFrame, size: Column, path: str = "path") -> DataFrame:
+    return df.groupBy(_source_of(path)).agg(F.sum(size).cast("bigint").alias("bytes"))
 
 
 def scan_catalog(t: Tables) -> DataFrame:
     """Files and bytes below a store; checksum files that lie next to the data are left out."""
     listed = catalog.scan_catalog(t.spark, _stored_items(t, "scan"), 1)
     data = listed.where(query.name_matches("part-.*[.]txt"))
-    folder = F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")
-    return data.groupBy("drive_id", folder).agg(F.sum("file_size").alias("bytes"))
+    return data.groupBy("drive_id", _source_of()).agg(F.sum("file_size").alias("bytes"))
 
 
 def normalize_items(t: Tables) -> DataFrame:
@@ -85,20 +110,24 @@ def normalize_items(t: Tables) -> DataFrame:
     )
 
 
+def _new_files(t: Tables, folder: str, out: str) -> DataFrame:
+    stream = jobs.stream_catalog(t.spark, folder, 1, f"{out}/listed")
+    return stream.where(query.name_matches("part-.*[.]txt"))
+
+
 def stream_catalog(t: Tables) -> DataFrame:
     folder = _stored_items(t, "stream-scan")
     out = shared_folder(t.spark, "stream-catalog")
-    stream = jobs.stream_catalog(t.spark, folder, 1)
-    stream.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(
+    _new_files(t, folder, out).writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(
         availableNow=True
     ).format("parquet").start(f"{out}/items").awaitTermination()
-    return _total(t.spark.read.parquet(f"{out}/items"), F.col("file_size"))
+    return _per_source(t.spark.read.parquet(f"{out}/items"), F.col("file_size"))
 
 
 def stream_usage_history(t: Tables) -> DataFrame:
     folder = _stored_items(t, "stream-usage")
     out = shared_folder(t.spark, "stream-history")
-    stream = jobs.stream_catalog(t.spark, folder, 1)
+    stream = _new_files(t, folder, out)
     jobs.stream_usage_history(stream, f"{out}/history", f"{out}/checkpoint").awaitTermination()
     history = jobs.read_stream_history(t.spark, f"{out}/history")
     return history.groupBy("drive_id", "path").agg(F.sum("bytes").alias("bytes"))
@@ -183,19 +212,21 @@ def infer_csv_schema(t: Tables) -> DataFrame:
 
 
 def infer_parquet_schema(t: Tables) -> DataFrame:
-    described = schemas.describe_files(t.spark, t.sf_dir, "parquet")
-    return described.withColumn("file", paths.file_name(F.col("file")))
+    """Columns of the given tables; a table in several files has them once."""
+    given = [f"{t.sf_dir}/{name}.parquet" for name in ("nation", "customer", "orders", "lineitem", "events")]
+    described = schemas.describe_files(t.spark, given, "parquet")
+    table = F.regexp_extract("file", "/([a-z]+)[.]parquet", 1).alias("table_name")
+    return described.select(table, "ordinal", "name", "type", "error").distinct()
 
 
 def byte_range(t: Tables) -> DataFrame:
     """All bytes of all files, read as blocks."""
-    stored = files.path_table(t.spark, _stored_items(t, "ranges"))
-    return _total(files.byte_range(stored, 0, 1 << 40, 100_000), F.length("data"))
+    stored = _data_files(t, _stored_items(t, "ranges"))
+    return _per_source(files.byte_range(stored, 0, 1 << 40, 100_000), F.length("data"))
 
 
 def bulk_copy(t: Tables) -> DataFrame:
-    folder = _stored_items(t, "copy")
-    stored = files.path_table(t.spark, folder)
+    stored = _data_files(t, _stored_items(t, "copy"))
     out = shared_folder(t.spark, "copied")
     inside = F.regexp_extract("path", "/copy-[0-9a-f]+/(.*)", 1)
     plan = stored.select(
@@ -204,27 +235,35 @@ def bulk_copy(t: Tables) -> DataFrame:
         F.lit(False).alias("remove_source"),
     )
     audit_rows = files.bulk_copy(plan, f"{out}/audit")
-    return audit_rows.groupBy("status").agg(F.sum("bytes_transferred").alias("bytes"))
+    return audit_rows.groupBy("status", _source_of("target")).agg(
+        F.sum("bytes_transferred").alias("bytes")
+    )
 
 
 def extract_archives(t: Tables) -> DataFrame:
     """Documents written as gzip files by Spark, read back from the archives."""
     folder = shared_folder(t.spark, "archives")
-    t.raw("documents").select("text").write.option("compression", "gzip").text(folder)
-    return _total(files.extract_archives(t.spark, folder), F.length("data"))
+    t.raw("documents").select("text", "source").write.partitionBy("source").option(
+        "compression", "gzip"
+    ).text(folder)
+    return _per_source(files.extract_archives(_data_files(t, folder)), F.length("data"), "archive")
 
 
 def file_lines(t: Tables) -> DataFrame:
-    lines = content.file_lines(t.spark, _stored_items(t, "lines"))
-    source = F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")
-    return lines.groupBy(source).agg(
+    found = lines.file_lines(_data_files(t, _stored_items(t, "lines")))
+    return found.groupBy(_source_of()).agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum(F.octet_length("line")).cast("bigint").alias("bytes"),
     )
 
 
 def file_top_lines(t: Tables) -> DataFrame:
-    return content.file_top_lines(t.spark, _stored_items(t, "top-lines"), 5)
+    found = lines.file_top_lines(_ordered_files(t, "top-lines"), 5)
+    return found.select(_shelf(), "line_no", "line")
+
+
+def file_preview(t: Tables) -> DataFrame:
+    return lines.file_preview(_ordered_files(t, "preview"), 3, 2).select(_shelf(), "line")
 
 
 # --- profiles ---------------------------------------------------------------
@@ -380,13 +419,16 @@ def stream_audit_statistics(t: Tables) -> DataFrame:
 
 
 def stream_assemble_chunks(t: Tables) -> DataFrame:
+    """Uploads begin hour by hour; every fifth rests for three hours and so is abandoned once."""
     folder = shared_folder(t.spark, "chunks")
-    arrived = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("chunk_index"))
+    rests = (F.col("file_uid") % 5 == 0) & (F.col("chunk_index") >= 1)
+    second = (F.col("file_uid") % 48) * 3600 + F.col("chunk_index") + F.when(rests, 10_800).otherwise(0)
+    arrived = F.timestamp_seconds(F.lit(1_704_067_200) + second)
     t.upload_chunk().withColumn("arrived", arrived).write.parquet(folder)
     schema = t.spark.read.parquet(folder).schema
     chunks = t.spark.readStream.schema(schema).parquet(folder)
-    status = jobs.stream_upload_status(chunks).drop("started")
-    return jobs.drain_to_table(status, "upload-status")
+    closed = jobs.drain_to_table(jobs.stream_upload_status(chunks), "upload-status")
+    return closed.withColumn("started", F.date_format("started", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
@@ -556,6 +598,7 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "preview": lambda t: content.preview(t.raw("documents"), "doc_id", "text", 3, 2),
         "file_lines": file_lines,
         "file_top_lines": file_top_lines,
+        "file_preview": file_preview,
         "byte_range": byte_range,
         "extract_archives": extract_archives,
         "chunk_manifest": lambda t: content.chunk_manifest(

@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import pandas as pd
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import (
-    BinaryType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-    TimestampType,
-)
 
 from ..functions import paths
-from ..session import materialize
-from .files import resolve, spread
-
-LISTING_SCHEMA = StructType(
-    [
-        StructField("path", StringType()),
-        StructField("modificationTime", TimestampType()),
-        StructField("length", LongType()),
-        StructField("content", BinaryType()),
-    ]
+from ..session import folder_exists
+from .stores import LISTING_ROWS, list_tree
+
+STORED_SCHEMA = (
+    "drive_id int, path string, file_size bigint, modified_date timestamp,"
+    " directory boolean, error string"
 )
 
 
@@ -39,11 +22,11 @@ def _scheme_free(uri: Column) -> Column:
 def normalize_items(raw: DataFrame, drive_id: int, root: str) -> DataFrame:
     """Listing rows (path, modificationTime, length) as catalog rows below `root`.
 
-    Extra columns `storage_class` and `is_restoring` of a listing are kept.
+    Extra columns `storage_class`, `is_restoring` and `error` of a listing are kept.
     """
     base = _scheme_free(F.lit(root.rstrip("/")))
     path = paths.to_unix(paths.relative_path(base, _scheme_free(F.col("path"))))
-    kept = [c for c in ("storage_class", "is_restoring") if c in raw.columns]
+    kept = [c for c in ("storage_class", "is_restoring", "error") if c in raw.columns]
     return raw.select(
         F.lit(drive_id).cast("int").alias("drive_id"),
         path.alias("path"),
@@ -54,66 +37,38 @@ def normalize_items(raw: DataFrame, drive_id: int, root: str) -> DataFrame:
     )
 
 
-LEVEL_SCHEMA = "path string, modificationTime timestamp, length bigint, directory boolean"
-
-
-def _children_of(root: str):
-    """A lister for batches of folders below `root`, given relative to it."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = resolve(root)
-        base = base.rstrip("/")
-        for batch in batches:
-            for folder in batch["folder"]:
-                place = f"{base}/{folder}".rstrip("/") or "/"
-                rows = []
-                for entry in system.get_file_info(fs.FileSelector(place)):
-                    is_folder = entry.type == fs.FileType.Directory
-                    name = f"{folder}{entry.base_name}{'/' if is_folder else ''}"
-                    changed = entry.mtime_ns // 1000 if entry.mtime_ns is not None else None
-                    rows.append((name, changed, 0 if is_folder else entry.size, is_folder))
-                listed = pd.DataFrame(
-                    rows, columns=["path", "modificationTime", "length", "directory"]
-                )
-                listed["modificationTime"] = pd.to_datetime(
-                    listed["modificationTime"], unit="us", utc=True
-                )
-                yield listed
+def scan_catalog(
+    spark: SparkSession, root: str, drive_id: int, start: str = "", batch_rows: int = LISTING_ROWS
+) -> DataFrame:
+    """Every file and folder below a root, empty and hidden ones included.
 
-    return read
+    `start` narrows the listing to one folder below the root. A folder that cannot be
+    listed has one more row with the `error`; the others have none.
+    """
+    base = root.rstrip("/")
+    whole = list_tree(spark, root, start, batch_rows)
+    return normalize_items(whole.withColumn("path", F.concat(F.lit(f"{base}/"), "path")), drive_id, root)
 
 
-def scan_catalog(spark: SparkSession, root: str, drive_id: int, start: str = "") -> DataFrame:
-    """Every file and folder below a root, empty and hidden ones included.
+def record_new_files(spark: SparkSession, root: str, drive_id: int, table: str) -> None:
+    """Append the files below `root` that `table` does not hold yet in this version.
 
-    The tree is listed level by level: the folders found on one level are spread
-    over the cluster and listed by the executors, so the number of rounds is the
-    depth of the tree. `start` narrows the listing to one folder below the root.
+    A version is a path with its size and time. An append that was cut short is made up
+    by the next call, which looks at what the table holds.
     """
-    first = f"{start.strip('/')}/" if start.strip("/") else ""
-    frontier = spark.createDataFrame([(first,)], "folder string")
-    levels = []
-    while not levels or not frontier.isEmpty():
-        listed = spread(frontier, "folder").mapInPandas(_children_of(root), LEVEL_SCHEMA)
-        levels.append(materialize(listed, "listing"))
-        frontier = levels[-1].where("directory").select(F.col("path").alias("folder"))
-    whole = reduce(DataFrame.unionByName, levels)
-    base = root.rstrip("/")
-    named = whole.withColumn("path", F.concat(F.lit(f"{base}/"), "path"))
-    return normalize_items(named, drive_id, root)
+    found = scan_catalog(spark, root, drive_id).where(~F.col("directory"))
+    if folder_exists(spark, table):
+        known = spark.read.schema(STORED_SCHEMA).parquet(table)
+        version = ["drive_id", "path", "file_size", "modified_date"]
+        found = found.join(known.select(version), version, "left_anti")
+    found.write.mode("append").parquet(table)
 
 
-def stream_catalog(spark: SparkSession, root: str, drive_id: int) -> DataFrame:
+def stream_catalog(spark: SparkSession, root: str, drive_id: int, table: str) -> DataFrame:
     """Files as they appear below `root`, as a stream of catalog rows.
 
-    Only path, time and length are read. Spark's file source passes over empty
-    files and over names that begin with ``_`` or ``.``.
+    The store is listed and compared with `table`, which keeps what was found before; the
+    stream reads that table. While it runs, `record_new_files` brings in what came since.
     """
-    listing = (
-        spark.readStream.format("binaryFile")
-        .schema(LISTING_SCHEMA)
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", "modificationTime", "length")
-    )
-    return normalize_items(listing, drive_id, root)
+    record_new_files(spark, root, drive_id, table)
+    return spark.readStream.schema(STORED_SCHEMA).parquet(table).drop("error")

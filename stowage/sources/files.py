@@ -11,12 +11,12 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pandas as pd
-import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths
 from .lzw import open_lzw
+from .stores import open_input, resolve, spread
 
 BLOCK_BYTES = 4 * 1024 * 1024
 
@@ -26,41 +26,7 @@ COPY_PAUSE_SECONDS = 1.0
 
 # Archive extensions; only Z is told apart by case, gz in any case.
 ZIP_EXTENSIONS = ("ear", "jar", "war", "zip", "ZIP")
-ARCHIVE_MESSAGE = "not an archive this job can open, by its extension"
-
-
-def resolve(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a Hadoop-style URI; a bare path is local."""
-    if uri.startswith("s3a://"):
-        uri = "s3://" + uri.removeprefix("s3a://")
-    if uri.startswith("file:"):
-        uri = "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
-def open_input(uri: str) -> pa.NativeFile:
-    system, path = resolve(uri)
-    return system.open_input_file(path)
-
-
-def path_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, length) of the files below the given paths, spread over the cluster.
-
-    As in every Spark file source, empty files and names that begin with ``_``
-    or ``.`` are left out.
-    """
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", "length")
-    )
-    return spread(listing)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over as many tasks as the session shuffles with."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+ARCHIVE_MESSAGE = "left alone, its ending names no kind of archive"
 
 
 def byte_range(files: DataFrame, start: int, n: int, block: int = BLOCK_BYTES) -> DataFrame:
@@ -169,7 +135,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame([(path, entry, None, None, None, str(problem))], columns=columns)
 
 
-def extract_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def extract_archives(files: DataFrame) -> DataFrame:
     """The contents of zip, jar, ear, war, tar, gz and Z files as blocks of bytes.
 
     Entries go below the archive's path without its extension. Zip archives are
@@ -178,7 +144,7 @@ def extract_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
     block come as several rows, ordered by `start_byte`. An archive that cannot
     be read, or of another kind, gives a row with `error`.
     """
-    archives = path_table(spark, path).select("path", _archive_kind(F.col("path")).alias("kind"))
+    archives = files.select("path", _archive_kind(F.col("path")).alias("kind"))
     zipped = archives.where(F.col("kind") == "zip").mapInPandas(
         _list_zip, "path string, kind string, entry string, error string"
     )

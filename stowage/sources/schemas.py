@@ -22,10 +22,11 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from .files import open_input, path_table, resolve
+from ..functions import paths
+from .stores import open_input, path_table, resolve
 
 FORMATS = ("avro", "csv", "parquet")
-DESCRIPTION = "file string, ordinal int, name string, type string"
+DESCRIPTION = "file string, ordinal int, name string, type string, error string"
 
 
 def hive_columns(schema: StructType) -> list[tuple[int, str, str]]:
@@ -219,26 +220,37 @@ def _avro_rows(path: str) -> list[tuple[str, int, str, str]]:
 def describe_files(
     spark: SparkSession, path: str | list[str], fmt: str, sep: str = ","
 ) -> DataFrame:
-    """(file, ordinal, name, Hive type) of every column of every file.
+    """(file, ordinal, name, Hive type, error) of every column of every file.
 
-    Parquet and Avro files are described from their headers by the executors;
+    Parquet and Avro files, told by their extension as external tables are, are described
+    from their headers by the executors; one that cannot be read gives a row with `error`.
     CSV needs the data, so each given path is one inference job.
     """
     if fmt == "csv":
         given = [path] if isinstance(path, str) else path
-        rows = [(p, *column) for p in given for column in hive_columns(csv_schema(spark, p, sep))]
+        rows = [
+            (p, *column, None) for p in given for column in hive_columns(csv_schema(spark, p, sep))
+        ]
         return spark.createDataFrame(rows, DESCRIPTION)
     if fmt not in FORMATS:
         raise ValueError(f"cannot describe {fmt} files, only {', '.join(FORMATS)}")
     of_file = {"parquet": _parquet_rows, "avro": _avro_rows}[fmt]
-    columns = ["file", "ordinal", "name", "type"]
+    columns = ["file", "ordinal", "name", "type", "error"]
+
+    def described(file: str) -> list[tuple]:
+        try:
+            return [(*row, None) for row in of_file(file)]
+        except (OSError, EOFError, ValueError, pa.ArrowException) as problem:
+            return [(file, None, None, None, str(problem))]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file in batch["path"]:
-                yield pd.DataFrame(of_file(file), columns=columns)
+                frame = pd.DataFrame(described(file), columns=columns)
+                yield frame.astype({"ordinal": "Int32"})
 
-    return path_table(spark, path).select("path").mapInPandas(read, DESCRIPTION)
+    ending = paths.extension(paths.file_name(F.col("path")))
+    return path_table(spark, path).where(ending == fmt).select("path").mapInPandas(read, DESCRIPTION)
 
 
 def format_of(path: str) -> str:

@@ -35,19 +35,21 @@ def stream_upload_status(
 
     State per upload is a few numbers, not its bytes: the chunks themselves stay
     in their table, and `assemble_chunks` reads those of complete uploads. A
-    chunk that is sent again within the timeout counts once. An upload that
-    stays silent for the timeout is closed: later chunks start a new row, and
-    the old one, still incomplete, is an abandoned upload.
+    chunk that is sent again within the timeout counts once, one with a negative
+    index not at all. An upload that stays silent for the timeout is closed: it leaves the
+    state, later chunks start a new row, and the old one, still incomplete, is an abandoned
+    upload.
     """
     timed = chunks.withColumn(arrival, F.col(arrival).cast("timestamp"))
     once = timed.withWatermark(arrival, timeout).dropDuplicatesWithinWatermark(
         ["file_uid", "chunk_index"]
     )
+    inside = F.col("chunk_index") >= 0
     sessions = once.groupBy("file_uid", F.session_window(arrival, timeout)).agg(
-        F.count(F.lit(1)).alias("chunks_present"),
+        F.count(F.when(inside, 1)).alias("chunks_present"),
         F.max("total_chunks").alias("total_chunks"),
         F.max("chunk_index").alias("last_index"),
-        F.sum(F.octet_length("data").cast("bigint")).alias("bytes"),
+        F.sum(F.when(inside, F.octet_length("data").cast("bigint"))).alias("bytes"),
     )
     whole = (F.col("chunks_present") == F.col("total_chunks")) & (
         F.col("last_index") == F.col("total_chunks") - 1
@@ -89,24 +91,21 @@ def read_stream_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drain_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over everything available and return its final complete state.
+    """Run a stream over everything available and return the rows it has closed.
 
-    Every micro-batch replaces the result in the shared folder, so the table is
-    the state after the last one.
+    Append mode: a window or an upload is written once, when the watermark has passed it,
+    and its state is dropped then. What is still open at the end stays in the checkpoint
+    for the next run and is not among the rows.
     """
     spark = stream.sparkSession
     folder = shared_folder(spark, name)
     result = f"{folder}/result"
-
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(result)
-
     query = (
-        stream.writeStream.outputMode("complete")
+        stream.writeStream.outputMode("append")
+        .format("parquet")
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .foreachBatch(replace)
         .trigger(availableNow=True)
-        .start()
+        .start(result)
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(result)

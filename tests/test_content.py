@@ -1,7 +1,12 @@
+import gzip
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from stowage.operators import content as C
+from stowage.sources import lines as L
+from stowage.sources.stores import path_table
 
 
 def texts(spark, *values):
@@ -35,27 +40,57 @@ def test_preview(spark):
     assert [n for n, _ in lines(C.preview(df, "id", "text", 0, 1))] == [9]
 
 
-def test_lines_of_files_read_in_splits(spark, folder):
-    wanted = {}
-    for name, count in (("a.txt", 5000), ("b.txt", 3), ("c.txt", 0)):
-        rows = [f"{name} line {i} " + "x" * (i % 50) for i in range(count)]
-        with open(f"{folder}/{name}", "w", newline="") as out:
-            out.write("\r\n".join(rows))
-        wanted[name] = rows
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    try:
-        numbered = C.file_lines(spark, folder)
-        assert numbered.select(F.spark_partition_id()).distinct().count() > 1
-        got = {}
-        for r in numbered.collect():
-            got.setdefault(r.path.rsplit("/", 1)[1], {})[r.line_no] = (r.line, r.line_count)
-        for name, rows in wanted.items():
-            assert got.get(name, {}) == {i: (line, len(rows)) for i, line in enumerate(rows)}
-        assert C.file_top_lines(spark, folder, 4).count() == 4 + 3
-        assert C.file_preview(spark, folder, 2, 2).count() == 4 + 3
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+BODIES = {
+    "a.txt": "\r\n".join(f"line {i} " + "x" * (i % 50) for i in range(3000)).encode(),
+    "b.txt": b"\xef\xbb\xbf1\n2\n3", "c.txt": b"", "_d": b"\r\r\n\n\r", ".e": b"no break \xff",
+    "f": b"\n" * 50, "g": b"x" * 200_000 + b"\r\nlast\r",
+}
+
+
+def lines_of(body):
+    text = body.removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace")
+    parts = re.split(r"\r\n|\n|\r", text)
+    return parts[:-1] if parts[-1] == "" else parts
+
+
+@pytest.fixture
+def stored(spark, folder):
+    for name, body in BODIES.items():
+        with open(f"{folder}/{name}", "wb") as out:
+            out.write(body)
+    with gzip.open(f"{folder}/h.gz", "wb") as out:
+        out.write(BODIES["a.txt"])
+    return path_table(spark, folder), {**BODIES, "h.gz": BODIES["a.txt"]}
+
+
+@pytest.mark.parametrize("block", [1, 7, 5000, 1 << 22])
+def test_lines_of_files_read_in_blocks(stored, block):
+    table, bodies = stored
+    if block < 100:
+        small = [n for n, b in bodies.items() if len(b) < 100]
+        table = table.where(F.element_at(F.split("path", "/"), -1).isin(small))
+        bodies = {n: bodies[n] for n in small}
+    got = {}
+    for r in L.file_lines(table, block).collect():
+        got.setdefault(r.path.rsplit("/", 1)[1], {})[r.line_no] = (r.line, r.line_count)
+    for name, body in bodies.items():
+        want = lines_of(body)
+        assert got.get(name, {}) == {i: (line, len(want)) for i, line in enumerate(want)}
+
+
+@pytest.mark.parametrize("top,bottom", [(3, 2), (0, 1), (40, 40), (1, 0), (0, 2999)])
+def test_ends_of_files(stored, top, bottom):
+    table, bodies = stored
+    heads, ends = {}, {}
+    for r in L.file_top_lines(table, top).collect():
+        heads.setdefault(r.path.rsplit("/", 1)[1], []).append((r.line_no, r.line))
+    for r in L.file_preview(table, top, bottom).collect():
+        ends.setdefault(r.path.rsplit("/", 1)[1], []).append((r.start_byte, r.line))
+    for name, body in bodies.items():
+        whole = lines_of(body)
+        assert sorted(heads.get(name, [])) == list(enumerate(whole[:top]))
+        want = [line for i, line in enumerate(whole) if i < top or i >= len(whole) - bottom]
+        assert [line for _, line in sorted(ends.get(name, []))] == want
 
 
 def test_manifest(spark):

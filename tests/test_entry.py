@@ -19,8 +19,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 
-# the answer depends on how files are cut or on Spark's own inference; see the unit tests
-WITHOUT_SQL = {"infer_parquet_schema", "infer_csv_schema", "file_top_lines"}
+# the answer depends on Spark's own inference; see the unit tests
+WITHOUT_SQL = {"infer_csv_schema"}
 
 
 @pytest.fixture(scope="module")

@@ -7,10 +7,11 @@ import subprocess
 import tarfile
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stowage.sources import catalog, files
+from stowage.sources import catalog, files, stores
 from stowage.sources.lzw import open_lzw
 
 
@@ -102,7 +103,7 @@ def archives(folder):
 
 def test_extract(spark, archives):
     folder, data = archives
-    rows = files.extract_archives(spark, folder).collect()
+    rows = files.extract_archives(stores.path_table(spark, folder)).collect()
     content, errors = {}, {}
     for r in sorted(rows, key=lambda r: (r.archive, r.entry or "", r.start_byte or 0)):
         name = r.archive.rsplit("/", 1)[1]
@@ -121,20 +122,46 @@ def test_extract(spark, archives):
 
 def test_byte_ranges(spark, folder):
     data = sample(100_000)
-    for name, size in (("a", 100_000), ("b", 10), ("c", 0)):
+    for name, size in (("a", 100_000), ("_b", 10), (".c", 0)):
         with open(f"{folder}/{name}", "wb") as out:
             out.write(data[:size])
-    table = files.path_table(spark, folder)
+    table = stores.path_table(spark, folder)
     for start, n in ((0, 5), (3, 7), (8, 50_000), (10, 1), (99_999, 100), (0, 0), (0, 200_000)):
         got = {}
         for r in files.byte_range(table, start, n, block=7_000).orderBy("path", "start_byte").collect():
             held = got.setdefault(r.path.rsplit("/", 1)[1], bytearray())
             assert r.start_byte == start + len(held)
             held += r.data
-        want = {"a": data[start:start + n], "b": data[:10][start:start + n], "c": b""}
+        want = {"a": data[start:start + n], "_b": data[:10][start:start + n], ".c": b""}
         assert {k: bytes(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
 
 
+def test_path_table_sees_every_file(spark, folder):
+    os.makedirs(f"{folder}/a/.b")
+    for name, size in (("_x", 3), ("a/empty", 0), ("a/.b/z", 7)):
+        with open(f"{folder}/{name}", "wb") as out:
+            out.write(b"." * size)
+    got = {(r.path, r.length) for r in stores.path_table(spark, folder).collect()}
+    assert got == {(f"file:{folder}/{n}", s) for n, s in (("_x", 3), ("a/empty", 0), ("a/.b/z", 7))}
+    one = stores.path_table(spark, [f"file:{folder}/_x", f"{folder}/a/.b/"]).collect()
+    assert {r.path for r in one} == {f"file:{folder}/_x", f"file:{folder}/a/.b/z"}
+
+
+def test_a_wide_folder_is_listed_in_batches(spark, folder):
+    os.makedirs(f"{folder}/wide")
+    for i in range(20_000):
+        open(f"{folder}/wide/f{i}", "w").close()
+    listed = catalog.scan_catalog(spark, folder, 1, batch_rows=1000)
+    assert listed.count() == 20_001 and listed.select("path").distinct().count() == 20_001
+    frames = stores._children_of(folder, 1000)(iter([pd.DataFrame({"folder": ["wide/"]})]))
+    assert {len(frame) for frame in frames} == {1000}
+
+
+def test_a_folder_that_cannot_be_listed(spark, folder):
+    rows = list(stores._children_of(folder, 10)(iter([pd.DataFrame({"folder": ["gone/"]})])))
+    assert rows[0]["path"].tolist() == ["gone/"] and "gone" in rows[0]["error"][0]
+
+
 def test_copy_and_move(spark, folder):
     os.makedirs(f"{folder}/in/deep")
     for name in ("a", "b", "deep/c"):

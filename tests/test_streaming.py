@@ -2,6 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from stowage.operators.content import upload_status
 from stowage.streaming import jobs
 
 
@@ -10,22 +11,41 @@ def test_statistics_match_batch(spark, folder):
     batch = spark.createDataFrame(rows, "created string, action string, status string")
     batch = batch.withColumn("created", F.col("created").cast("timestamp_ntz"))
     batch.repartition(3).write.parquet(f"{folder}/events")
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
-    final = jobs.drain_to_table(jobs.stream_audit_statistics(stream, "1 day"), "test-statistics")
-    got = {(str(r.start)[:10], r.action, r.status): r.actions for r in final.collect()}
-    assert got == {(f"2024-01-0{d}", a, s): 5 for d in (1, 2) for a in "xy" for s in "SE"}
+    stream = spark.readStream.schema(batch.schema).parquet(f"{folder}/events")
+    final = jobs.drain_to_table(jobs.stream_audit_statistics(stream, "1 hour"), "test-statistics")
+    got = {(str(r.start)[:13], r.action, r.status): r.actions for r in final.collect()}
+    closed = [(d, h) for d in (1, 2) for h in range(5) if (d, h) != (2, 4)]  # the last hour is open
+    assert got == {(f"2024-01-0{d} 0{h}", a, s): 1 for d, h in closed for a in "xy" for s in "SE"}
+
+
+def test_state_shrinks(spark, folder):
+    schema = "created string, action string, status string"
+
+    def run(hour):
+        rows = [(f"2024-01-01 {hour}:{m:02}:00", f"a{m}", "S") for m in range(60)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/events")
+        query = jobs.stream_audit_statistics(stream).writeStream.outputMode("append").format("parquet").option(
+            "checkpointLocation", f"{folder}/checkpoint"
+        ).trigger(availableNow=True).start(f"{folder}/out")
+        query.awaitTermination()
+        return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]][-1]
+
+    assert [run(hour) for hour in ("01", "05", "09", "13")] == [60] * 4
 
 
 def test_uploads(spark, folder):
     rows = [("whole", i, 3, "ab", "2024-01-01 00:00:00") for i in range(3)]
-    rows += [("again", i, 2, "x", "2024-01-01 00:00:00") for i in (0, 0, 1)]
-    rows += [("left", 0, 3, "x", "2024-01-01 00:00:00")]
+    rows += [("again", i, 2, "x", "2024-01-01 00:00:00") for i in (0, 0, 1, -1)]
+    rows += [("left", 0, 3, "x", "2024-01-01 00:00:00"), ("open", 0, 1, "x", "2024-01-01 09:00:00")]
     df = spark.createDataFrame(rows, "file_uid string, chunk_index bigint, total_chunks bigint, data string, arrived string")
     df.repartition(2).write.parquet(f"{folder}/chunks")
     stream = spark.readStream.schema(df.schema).parquet(f"{folder}/chunks")
     final = jobs.drain_to_table(jobs.stream_upload_status(stream), "test-uploads").collect()
     got = {r.file_uid: (r.chunks_present, r.complete, r.bytes) for r in final}
     assert got == {"whole": (3, True, 6), "again": (2, True, 2), "left": (1, False, 1)}
+    batch = {r.file_uid: (r.chunks_present, r.complete) for r in upload_status(df.drop("arrived")).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {k: v for k, v in batch.items() if k != "open"}
 
 
 def test_abandoned_uploads_are_closed(spark, folder):
@@ -54,12 +74,12 @@ def test_abandoned_uploads_are_closed(spark, folder):
 
 def test_catalog_stream_and_history(spark, folder):
     os.makedirs(f"{folder}/store/a")
-    for name, size in (("x", 3), ("a/y", 4)):
+    for name, size in (("_x", 3), ("a/y", 4), ("a/.none", 0)):
         with open(f"{folder}/store/{name}", "wb") as out:
             out.write(b"." * size)
 
     def run():
-        stream = jobs.stream_catalog(spark, f"{folder}/store", 5)
+        stream = jobs.stream_catalog(spark, f"{folder}/store", 5, f"{folder}/listed")
         jobs.stream_usage_history(stream, f"{folder}/history", f"{folder}/checkpoint").awaitTermination()
         rows = jobs.read_stream_history(spark, f"{folder}/history").collect()
         return sorted((r.batch, r.drive_id, r["bytes"], r.path) for r in rows)
@@ -68,3 +88,5 @@ def test_catalog_stream_and_history(spark, folder):
     with open(f"{folder}/store/a/z", "wb") as out:
         out.write(b"." * 10)
     assert run() == [(0, 5, 7, "/"), (1, 5, 10, "/")]
+    listed = spark.read.parquet(f"{folder}/listed")
+    assert sorted(r.path for r in listed.collect()) == ["_x", "a/.none", "a/y", "a/z"]
