@@ -163,6 +163,21 @@ def ancestors(path: Column, with_root: bool = False) -> Column:
     return F.concat(F.array(F.lit(SLASH)), folders) if with_root else folders
 
 
+def beginnings(text: Column) -> Column:
+    """Every beginning of a text that ends with a slash, as it is spelled, and the empty one."""
+
+    def joined(parts: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.size(parts)),
+            lambda n: F.when(n == 1, F.lit("")).otherwise(
+                F.concat(F.array_join(F.slice(parts, F.lit(1), n - 1), SLASH), F.lit(SLASH))
+            ),
+        )
+
+    # one-element transform: the text is split once
+    return F.get(F.transform(F.array(F.split(text, SLASH, -1)), joined), F.lit(0))
+
+
 def self_and_ancestors_of_folder(folder: Column) -> Column:
     """The folder itself, every folder above it, and the root."""
     return F.array_distinct(F.concat(ancestors(folder, with_root=True), F.array(folder_key(folder))))

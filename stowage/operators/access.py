@@ -1,10 +1,12 @@
 """Rule-based access to drives and items.
 
 A drive's rules grant a path when any include rule matches it and no exclude
-rule does, so rules are evaluated as two sets and not in order. The rules that
-apply to one user are folded into one row per drive and joined to the items on
-`drive_id`, which leaves the items where they are. Rule sets too large to fold
-are joined one by one and aggregated per path instead.
+rule does, so rules are evaluated as two sets and not in order. The rules that apply to one
+user are folded into one row per drive; while those rows were measured to be small they are
+broadcast, which leaves the items where they are. Beyond that each rule is filed under the
+folder its text literally begins with, and a path is held only against the rules filed
+under the folders above it: the distinct folders of the items are joined with the rules by
+(drive, folder), and the items with what came out by (drive, own folder).
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import levels, scalars
+from ..functions import levels, paths, scalars
 from .scale import fits_broadcast
 
-MAX_FOLDED_RULES = 10_000
+# Above this many bytes of folded patterns an alternation is also slow to match.
+FOLDED_BYTES = 512 * 1024
 
 # Regex features that change meaning when patterns are joined into one alternation:
 # groups that are referred to by number or name, open quotes and comment mode.
@@ -76,23 +79,97 @@ def _folded(rules: DataFrame, wanted: Iterable[str]) -> DataFrame:
     return rules.groupBy("drive_id").agg(*columns)
 
 
-def _folded_test(path: Column, level: str) -> Column:
-    """The include and exclude test for one level over the folded columns."""
+def _hit(path: Column, side: str, level: str) -> Column:
+    """Whether the include or exclude patterns of a level match."""
+    plain = F.col(f"_{side}_re_{level}")
+    # regexp_instr keeps the last compiled pattern, rlike would compile per row
+    matched = F.coalesce(F.call_function("regexp_instr", path, plain) > 0, F.lit(False))
+    odd = F.exists(F.col(f"_{side}_odd_{level}"), lambda p: F.rlike(path, p))
+    return matched | F.coalesce(odd, F.lit(False))
 
-    def hit(side: str) -> Column:
-        plain = F.col(f"_{side}_re_{level}")
-        # regexp_instr keeps the last compiled pattern, rlike would compile per row
-        matched = F.coalesce(F.call_function("regexp_instr", path, plain) > 0, F.lit(False))
-        odd = F.exists(F.col(f"_{side}_odd_{level}"), lambda p: F.rlike(path, p))
-        return matched | F.coalesce(odd, F.lit(False))
 
-    allowed = hit("in")
+def _folded_test(path: Column, level: str) -> Column:
+    """The include and exclude test for one level over the patterns of the drive."""
+    allowed = _hit(path, "in", level)
     if level == "R":
         above = F.exists(
             F.col(f"_in_text_{level}"), lambda text: F.coalesce(text.startswith(path), F.lit(False))
         )
         allowed = allowed | (F.coalesce(above, F.lit(False)) & path.endswith("/"))
-    return allowed & ~hit("ex")
+    return allowed & ~_hit(path, "ex", level)
+
+
+# The leading characters of a pattern that stand for themselves, up to a slash no quantifier follows.
+LITERAL_FOLDER = r"^([^\\.\[\](){}*+?|^$]*/)(?![*+?{])"
+
+
+def literal_folder(rule_text: Column) -> Column:
+    """The folder every path that matches the rule lies in; empty when the text does not tell."""
+    told = F.regexp_extract(rule_text, LITERAL_FOLDER, 1)
+    return F.when(rule_text.contains("|"), F.lit("")).otherwise(told)
+
+
+def _own_folder(path: Column) -> Column:
+    """The path up to its last slash; a folder is its own."""
+    return F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)))
+
+
+def _folder_chains(items: DataFrame) -> DataFrame:
+    """The distinct folders of the items, each with every folder it lies in and the empty one."""
+    folders = items.select("drive_id", _own_folder(F.col("path")).alias("_folder")).distinct()
+    return folders.select("*", F.explode(paths.beginnings(F.col("_folder"))).alias("_under"))
+
+
+def _filed(rules: DataFrame, wanted: list[str]) -> DataFrame:
+    """One row per drive and folder with, for each level, its include and exclude patterns.
+
+    `_above` marks the folders that the text of a readable include rule begins with.
+    """
+    text, include = F.col("rule_text"), ~F.col("exclude")
+    filed = rules.select(
+        "drive_id", literal_folder(text).alias("_under"), "rule_text", "exclude", "access_level",
+        F.lit(False).alias("_is_above"),
+    )
+    if "R" in wanted:
+        readable = rules.where(include & levels.grants(F.col("access_level"), "R"))
+        above = readable.select("drive_id", F.explode(paths.beginnings(text)).alias("_under"))
+        filed = filed.unionByName(
+            above.distinct().withColumn("_is_above", F.lit(True)), allowMissingColumns=True
+        )
+    joinable = ~text.rlike(NOT_JOINABLE)
+    grouped = F.concat(F.lit("(?:"), text, F.lit(")"))
+    columns = [F.bool_or("_is_above").alias("_above")]
+    for level in wanted:
+        counts = levels.grants(F.col("access_level"), level)
+        for side, on_side in (("in", include), ("ex", F.col("exclude"))):
+            keep = counts & on_side
+            # one alternation for the plain patterns, so that one regex per folder is compiled
+            columns += [
+                F.collect_list(F.when(keep & joinable, grouped)).alias(f"_{side}_re_{level}"),
+                F.collect_list(F.when(keep & ~joinable, _full(text))).alias(f"_{side}_odd_{level}"),
+            ]
+    return filed.groupBy("drive_id", "_under").agg(*columns)
+
+
+def _rules_of_folders(items: DataFrame, rules: DataFrame, wanted: list[str]) -> DataFrame:
+    """The patterns that can match in each folder of the items."""
+    joined = _folder_chains(items).join(_filed(rules, wanted), ["drive_id", "_under"])
+    itself = F.col("_under") == F.col("_folder")
+    columns = [F.bool_or(F.col("_above") & itself).alias("_above")]
+    for name in (f"_{side}_{kind}_{level}" for level in wanted for side in ("in", "ex") for kind in ("re", "odd")):
+        merged = F.flatten(F.collect_list(name))
+        if "_re_" in name:
+            merged = F.when(F.size(merged) > 0, _full(F.array_join(merged, "|")))
+        columns.append(merged.alias(name))
+    return joined.groupBy("drive_id", "_folder").agg(*columns)
+
+
+def _folder_test(path: Column, level: str) -> Column:
+    """The same test over the patterns of the path's folder."""
+    allowed = _hit(path, "in", level)
+    if level == "R":
+        allowed = allowed | (F.coalesce("_above", F.lit(False)) & path.endswith("/"))
+    return allowed & ~_hit(path, "ex", level)
 
 
 def _compiling(rules: DataFrame) -> DataFrame:
@@ -104,23 +181,8 @@ def _compiling(rules: DataFrame) -> DataFrame:
     return rules.where(F.rlike(F.lit(""), F.col("rule_text")).isNotNull())
 
 
-def _fits_folding(rules: DataFrame) -> bool:
-    return fits_broadcast(rules, MAX_FOLDED_RULES)
-
-
-def _held_by_aggregate(items: DataFrame, rules: DataFrame, wanted: list[str]) -> DataFrame:
-    """Flags per (drive, path) for rule sets that are too large to fold."""
-    path, text = F.col("path"), F.col("rule_text")
-    pairs = items.select("drive_id", "path").distinct().join(rules, "drive_id")
-    matched = F.rlike(path, _full(text))
-    flags = []
-    for level in wanted:
-        counts = levels.grants(F.col("access_level"), level)
-        allowed = matched | rule_ancestor(path, text) if level == "R" else matched
-        grant = F.bool_or(counts & ~F.col("exclude") & allowed)
-        deny = F.bool_or(counts & F.col("exclude") & matched)
-        flags.append((grant & ~deny).alias(f"_held_{level}"))
-    return pairs.groupBy("drive_id", "path").agg(*flags)
+def _fits_folding(folded: DataFrame) -> bool:
+    return fits_broadcast(folded, max_bytes=FOLDED_BYTES)
 
 
 def with_held(
@@ -128,21 +190,51 @@ def with_held(
 ) -> DataFrame:
     """Items with a boolean `_held_<level>` for each wanted level."""
     mine = _compiling(rules.where(users_and_roles_apply(user, roles)))
-    flags = [f"_held_{level}" for level in wanted]
-    if _fits_folding(mine):
-        joined = items.join(F.broadcast(_folded(mine, wanted)), "drive_id", "left")
-        tests = [
-            F.coalesce(_folded_test(F.col("path"), level), F.lit(False)).alias(f"_held_{level}")
-            for level in wanted
-        ]
-        return joined.select(*[F.col(c) for c in items.columns], *tests)
-    held = _held_by_aggregate(items, mine, wanted)
-    joined = items.join(held, ["drive_id", "path"], "left")
-    return joined.select(
-        *[F.col(c) for c in items.columns], *[F.coalesce(F.col(f), F.lit(False)).alias(f) for f in flags]
+    folded = _folded(mine, wanted)
+    if _fits_folding(folded):
+        joined, test = items.join(F.broadcast(folded), "drive_id", "left"), _folded_test
+    else:
+        keyed = items.withColumn("_folder", _own_folder(F.col("path")))
+        found = _rules_of_folders(items, mine, wanted)
+        joined, test = keyed.join(found, ["drive_id", "_folder"], "left"), _folder_test
+    tests = [
+        F.coalesce(test(F.col("path"), level), F.lit(False)).alias(f"_held_{level}")
+        for level in wanted
+    ]
+    return joined.select(*[F.col(c) for c in items.columns], *tests)
+
+
+def matching_rules(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """(drive_id, path, rule_ids): the rules, in order of id, whose text each item matches.
+
+    Items that no rule matches have no row.
+    """
+    filed = _compiling(rules).select(
+        "drive_id", literal_folder(F.col("rule_text")).alias("_under"),
+        F.struct("rule_id", _full(F.col("rule_text")).alias("pattern")).alias("_rule"),
+    )
+    of_folder = (
+        _folder_chains(items).join(filed, ["drive_id", "_under"])
+        .groupBy("drive_id", "_folder").agg(F.sort_array(F.collect_list("_rule")).alias("_rules"))
+    )
+    path = F.col("path")
+    hits = F.filter("_rules", lambda rule: F.rlike(path, rule["pattern"]))
+    return (
+        items.select("drive_id", "path", _own_folder(path).alias("_folder"))
+        .join(of_folder, ["drive_id", "_folder"])
+        .select("drive_id", "path", F.transform(hits, lambda rule: rule["rule_id"]).alias("rule_ids"))
+        .where(F.size("rule_ids") > 0)
     )
 
 
+def folders_above_rules(folders: DataFrame, rules: DataFrame) -> DataFrame:
+    """(drive_id, path, rule_id) for every folder that a rule's text begins with."""
+    above = rules.select(
+        "drive_id", "rule_id", F.explode(paths.beginnings(F.col("rule_text"))).alias("path")
+    ).where("path <> ''")
+    return folders.select("drive_id", "path").join(above, ["drive_id", "path"])
+
+
 def access_filter(
     items: DataFrame, rules: DataFrame, user: str, roles: Iterable[str] = (), level: str = "R"
 ) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -11,11 +11,15 @@ SAMPLE_PER_BUCKET = 16
 
 
 def _row_bytes(df: DataFrame) -> Column:
-    """Rough width of a row: text by its bytes, everything else at 16."""
+    """Rough width of a row: text and lists of text by their bytes, everything else at 16."""
     width = F.lit(0)
     for field in df.schema.fields:
-        if isinstance(field.dataType, StringType):
-            width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+        column = F.col(f"`{field.name}`")
+        kind = field.dataType
+        if isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType):
+            width = width + F.coalesce(F.octet_length(F.array_join(column, "")), F.lit(0)) + F.size(column) * 16
+        elif isinstance(kind, StringType):
+            width = width + F.coalesce(F.octet_length(column), F.lit(0))
         else:
             width = width + F.lit(16)
     return width

@@ -472,9 +472,9 @@ def texts() -> dict[str, str]:
         # access
         "access_filter": with_tables(access_rows, "listing", "drive_security_rule"),
         "rule_match": with_tables(
-            """SELECT i.drive_id, i.path, r.rule_id,
-              regexp_full_match(i.path, r.rule_text) <> r.exclude AS passes
-            FROM drive_item i JOIN drive_security_rule r ON r.drive_id = i.drive_id""",
+            """SELECT i.drive_id, i.path, string_agg(CAST(r.rule_id AS VARCHAR), ',' ORDER BY r.rule_id) AS rule_ids
+            FROM drive_item i JOIN drive_security_rule r ON r.drive_id = i.drive_id
+              AND regexp_full_match(i.path, r.rule_text) GROUP BY i.drive_id, i.path""",
             "drive_item", "drive_security_rule"),
         "rule_ancestor": with_tables(
             """SELECT f.drive_id, f.path, r.rule_id FROM listing f JOIN drive_security_rule r

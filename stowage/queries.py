@@ -297,15 +297,12 @@ def access_levels(t: Tables) -> DataFrame:
 
 
 def rule_match(t: Tables) -> DataFrame:
-    pairs = t.drive_item().select("drive_id", "path").join(t.drive_security_rule(), "drive_id")
-    passes = access.rule_match(F.col("path"), F.col("rule_text"), F.col("exclude"))
-    return pairs.select("drive_id", "path", "rule_id", passes.alias("passes"))
+    matched = access.matching_rules(t.drive_item(), t.drive_security_rule())
+    return matched.withColumn("rule_ids", F.array_join("rule_ids", ","))
 
 
 def rule_ancestor(t: Tables) -> DataFrame:
-    pairs = t.listing().join(t.drive_security_rule(), "drive_id")
-    above = access.rule_ancestor(F.col("path"), F.col("rule_text"))
-    return pairs.where(above).select("drive_id", "path", "rule_id")
+    return access.folders_above_rules(t.listing(), t.drive_security_rule())
 
 
 def drives_for_role(t: Tables) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from stowage.operators import access as A
 
@@ -85,8 +86,9 @@ def in_order(path, given, level):
 def test_sets_of_rules_equal_rules_in_order(spark, monkeypatch, folded):
     monkeypatch.setattr(A, "_fits_folding", lambda _: folded)
     pool = [("a/.*", False, "D"), (".*x", True, "C"), ("a/b/.*", False, "R"), ("b/.*", False, "M"),
-            ("a/y", True, "R"), ("b/(x|y)", False, "A"), (".*", False, "U")]
-    paths = ["a/", "a/b/", "a/x", "a/y", "a/b/x", "a/b/z", "b/x", "b/y", "b/", "c"]
+            ("a/y", True, "R"), ("b/(x|y)", False, "A"), (".*", False, "U"), ("a/b/?z?", False, "D"),
+            ("a/x|b/y", False, "M"), ("/c/.*", False, "R")]
+    paths = ["a/", "a/b/", "a/x", "a/y", "a/b/x", "a/b/z", "b/x", "b/y", "b/", "c", "a/b", "/", "/c/d", "/c/", ""]
     chance = random.Random(3)
     rows, cases = [], {}
     for drive in range(40):
@@ -107,6 +109,30 @@ def test_sets_of_rules_equal_rules_in_order(spark, monkeypatch, folded):
     assert readable == {(d, p) for d, p in itertools.product(cases, paths) if in_order(p, cases[d], "R")}
 
 
+def test_literal_folders(spark):
+    given = ["A/.*", "N/O/x[.]csv", ".*x", "a/b/?", "a/b/*c", "a|b/c", "/a/b/.*", "a/b", "(?i)a/b", r"a/\Qb/c\E"]
+    rows = spark.createDataFrame([(g,) for g in given], "t string").select("t", A.literal_folder(F.col("t")).alias("f"))
+    assert [r.f for r in rows.collect()] == ["A/", "N/O/", "", "a/", "a/", "", "/a/b/", "a/", "", "a/"]
+
+
+def test_many_rules_on_one_drive(spark):
+    text = F.concat(F.lit("d"), F.col("id").cast("string"), F.lit("/.*"))
+    given = spark.range(50_000).select(
+        (F.col("id") % 1 + 1).alias("drive_id"), F.col("id").cast("int").alias("rule_id"), text.alias("rule_text"),
+        (F.col("id") % 2 == 1).alias("exclude"), F.lit("R").alias("access_level"),
+        F.lit("").alias("users"), F.lit("").alias("role_name"),
+    )
+    df = spark.range(2_000).select(
+        (F.col("id") % 1 + 1).alias("drive_id"), F.concat(F.lit("d"), F.col("id").cast("string"), F.lit("/x")).alias("path")
+    )
+    held = A.access_filter(df, given, "u")
+    assert held.count() == 1_000
+    joins = re.findall(r"Join \[(.*?)\], \[", held._jdf.queryExecution().executedPlan().toString())
+    assert joins and all("," in keys for keys in joins)
+    ids = {r.path: r.rule_ids for r in A.matching_rules(df, given).collect()}
+    assert len(ids) == 2_000 and ids["d7/x"] == [7]
+
+
 def test_items_are_not_shuffled(spark, folder):
     items(spark, "a", "b").write.parquet(f"{folder}/i")
     df = A.access_filter(spark.read.parquet(f"{folder}/i"), rules(spark, ("a", False, "R")), "u")
