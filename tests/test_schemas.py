@@ -181,3 +181,17 @@ def test_parquet_of_another_writer(spark, folder):
         path = f"{folder}/{name}.parquet"
         want = S.hive_columns(spark.read.parquet(path).schema)
         assert described(S.describe_files(spark, path, "parquet")) == want
+
+
+def test_every_given_table_is_described(spark):
+    contract = pytest.importorskip("__spark_entry__")
+    if not os.path.isdir(contract.SMOKE_DIR):
+        pytest.skip("no test tables")
+    want = {}
+    for file in os.listdir(contract.SMOKE_DIR):
+        if file.endswith(".parquet"):
+            schema = spark.read.parquet(f"{contract.SMOKE_DIR}/{file}").schema
+            want |= {(file.removesuffix(".parquet"), i): (n, t, None) for i, n, t in S.hive_columns(schema)}
+    got = contract.queries()["infer_parquet_schema"](spark, contract.SMOKE_DIR).collect()
+    assert {(r.table_name, r.ordinal): (r["name"], r.type, r.error) for r in got} == want
+    assert len(got) == len(want) and want[("embeddings", 1)][1].startswith("array<")
