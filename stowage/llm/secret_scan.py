@@ -8,11 +8,13 @@ ordinary writing (words, names, numbers), which is their null hypothesis:
   repeats its favourite symbols, so the statistic of a run of n characters has a mean
   of k - 1 + (n - 1) * `excess` under the null; secrets stay near k - 1.
 * runs: how often the character class changes between neighbours. Writing keeps
-  letters and digits in blocks and changes class at a rate of `CLASS_CHANGE`.
+  letters and digits in blocks and changes class at a rate of `CLASS_CHANGE`. In an alphabet
+  of one class the halves are vowels and consonants, which writing alternates more often than
+  chance does, or digits below and from 5.
 * serial correlation of neighbouring symbol numbers, `SERIAL` under the null.
 
-Runs and serial correlation say nothing about an alphabet of one class and are left
-out there. Stouffer's sum of the scores gives one p-value. Discoveries are controlled by
+The null of digits alone is chance itself, since ordinary numbers look like it: a decimal secret
+cannot be told from them. Stouffer's sum of the scores gives one p-value. Discoveries are controlled by
 the Benjamini-Hochberg rule over all candidates of the input, within strata of encoding
 and length, so that the many short runs neither hide nor excuse the long ones.
 """
@@ -35,21 +37,26 @@ KINDS = [*SHAPES, "random"]
 MIN_RUN = 20
 RUN = rf"[A-Za-z0-9+/_-]{{{MIN_RUN},}}={{0,2}}"
 SYMBOLS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_="
-#: Encoding: pattern, symbols, several classes, excess of the chi-squared mean per character.
+CLASS_CHANGE = 0.15
+SERIAL = 0.5
+#: Changes between vowels and consonants, and serial correlation, of joined words in four languages.
+VOWEL_CHANGE, LETTER_SERIAL = 0.57, -0.1
+#: Encoding: pattern, symbols, several classes, excess of the chi-squared mean per character,
+#: changes of class (or half) per neighbour, serial correlation.
 #: The excess is symbols * (sum of squared frequencies) - 1 of English letters or of digits.
 ENCODINGS = {
-    "decimal": ("[0-9]+", 10, False, 0.0),
-    "lower": ("[a-z]+", 26, False, 0.7),
-    "upper": ("[A-Z]+", 26, False, 0.7),
-    "hex": ("[0-9a-f]+|[0-9A-F]+", 16, True, 0.6),
-    "base32": ("[A-Z2-7]+", 32, True, 1.1),
-    "base36": ("[0-9a-z]+|[0-9A-Z]+", 36, True, 1.4),
-    "letters": ("[A-Za-z]+", 52, True, 2.4),
-    "base62": ("[0-9A-Za-z]+", 62, True, 3.1),
-    "base64": (".+", 64, True, 3.2),
+    "decimal": ("[0-9]+", 10, False, 0.0, 0.5, 0.0),
+    "lower": ("[a-z]+", 26, False, 0.7, VOWEL_CHANGE, LETTER_SERIAL),
+    "upper": ("[A-Z]+", 26, False, 0.7, VOWEL_CHANGE, LETTER_SERIAL),
+    "hex": ("[0-9a-f]+|[0-9A-F]+", 16, True, 0.6, CLASS_CHANGE, SERIAL),
+    "base32": ("[A-Z2-7]+", 32, True, 1.1, CLASS_CHANGE, SERIAL),
+    "base36": ("[0-9a-z]+|[0-9A-Z]+", 36, True, 1.4, CLASS_CHANGE, SERIAL),
+    "letters": ("[A-Za-z]+", 52, True, 2.4, CLASS_CHANGE, SERIAL),
+    "base62": ("[0-9A-Za-z]+", 62, True, 3.1, CLASS_CHANGE, SERIAL),
+    "base64": (".+", 64, True, 3.2, CLASS_CHANGE, SERIAL),
 }
-CLASS_CHANGE = 0.15
-SERIAL = 0.5
+CLASSES = (("[0-9]+", "0"), ("[a-z]+", "a"), ("[A-Z]+", "A"), ("[^0aA]+", "+"))
+HALVES = (("[0-4]+", "0"), ("[5-9]+", "5"), ("(?i)[aeiou]+", "a"), ("(?i)[b-df-hj-np-tv-z]+", "b"))
 #: p-values are held as whole tenths of a decade, rounded towards 1.
 DEEPEST = 400
 SPAN = "array<struct<start:int,end:int>>"
@@ -114,16 +121,21 @@ def uniformity(run: Column, characters: Column, n: Column, symbols: Column, exce
     return (symbols - 1 + shift - (symbols * squares / n - n)) / F.sqrt(2 * (symbols - 1) + 4 * shift)
 
 
-def class_runs(run: Column, n: Column) -> Column:
-    """How far the changes of character class exceed those of writing."""
-    blocks = run
-    for some, one in (("[0-9]+", "0"), ("[a-z]+", "a"), ("[A-Z]+", "A"), ("[^0aA]+", "+")):
-        blocks = F.regexp_replace(blocks, some, one)
-    expected = (n - 1) * CLASS_CHANGE
-    return (F.char_length(blocks) - 1 - expected) / F.sqrt(expected * (1 - CLASS_CHANGE))
+def changes(run: Column, classes: tuple[tuple[str, str], ...]) -> Column:
+    """Number of neighbours of different classes."""
+    for some, one in classes:
+        run = F.regexp_replace(run, some, one)
+    return F.char_length(run) - 1
+
+
+def class_runs(run: Column, n: Column, several: Column, rate: Column) -> Column:
+    """How far the changes of character class exceed those of writing, or those of half fall short."""
+    expected = (n - 1) * rate
+    excess = F.when(several, changes(run, CLASSES) - expected).otherwise(expected - changes(run, HALVES))
+    return excess / F.sqrt(expected * (1 - rate))
 
 
-def serial_correlation(characters: Column, n: Column) -> Column:
+def serial_correlation(characters: Column, n: Column, usual: Column) -> Column:
     """How far the correlation of neighbouring symbol numbers stays below that of writing."""
     numbers = F.transform(characters, lambda c: F.instr(F.lit(SYMBOLS), c).cast("double"))
 
@@ -139,24 +151,25 @@ def serial_correlation(characters: Column, n: Column) -> Column:
         mean = F.aggregate(x, F.lit(0.0), lambda total, a: total + a) / n
         return let(let(mean, lambda m: F.transform(x, lambda a: a - m)), of_centred)
 
-    return (SERIAL - let(numbers, of_numbers)) * F.sqrt(n) / F.sqrt(F.lit(1 - SERIAL * SERIAL))
+    return (usual - let(numbers, of_numbers)) * F.sqrt(n) / F.sqrt(1 - usual * usual)
 
 
 def battery(run: Column) -> Column:
     """Struct (stratum, depth) of a run: depth is the p-value in tenths of decades, 0 to DEEPEST."""
     inferred = None
-    for name, (pattern, symbols, several, excess) in ENCODINGS.items():
+    for name, (pattern, symbols, several, excess, change, serial) in ENCODINGS.items():
         value = F.struct(
             F.lit(name).alias("name"), F.lit(float(symbols)).alias("symbols"),
             F.lit(several).alias("several"), F.lit(excess).alias("excess"),
+            F.lit(change).alias("change"), F.lit(serial).alias("serial"),
         )
         fits = run.rlike(f"^(?:{pattern})$")
         inferred = F.when(fits, value) if inferred is None else inferred.when(fits, value)
 
     def tested(e: Column, characters: Column, n: Column) -> Column:
         uniform = uniformity(run, characters, n, e["symbols"], e["excess"])
-        all_three = uniform + class_runs(run, n) + serial_correlation(characters, n)
-        score = F.when(e["several"], all_three / F.sqrt(F.lit(3.0))).otherwise(uniform)
+        blocks = class_runs(run, n, e["several"], e["change"])
+        score = (uniform + blocks + serial_correlation(characters, n, e["serial"])) / F.sqrt(F.lit(3.0))
         band = F.least(F.floor(F.log2(n / MIN_RUN) * 2), F.lit(20)).cast("string")
         return F.struct(F.concat_ws(":", e["name"], band).alias("stratum"), depth_of(score).alias("depth"))
 

@@ -107,6 +107,22 @@ def test_tail_depths(spark):
         assert abs(row["d"] - int(exact)) <= 1 + 0.05 * exact
 
 
+def test_one_class_secrets(spark):
+    """Shares of runs with p at most 0.01: secrets of letters, joined words, and orderly letters."""
+    rng = random.Random(11)
+    texts = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").collect()
+    words = "".join(w.lower() for r in texts for w in re.findall("[A-Za-z]+", (r["text"] or "")[:500]))
+    runs = [("words", words[i : i + 40]) for i in range(0, len(words) - 40, 40)]
+    for kind, letters in (("lower", "abcdefghijklmnopqrstuvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digits", "0123456789")):
+        runs += [(kind, "".join(rng.choice(letters) for _ in range(40))) for _ in range(300)]
+    runs += [("orderly", "abcdefghijklmnopqrstuvwxyz"), ("orderly", "X" * 40), ("orderly", "thisisaverylonglowercasewordindeed")]
+    df = spark.createDataFrame(runs, "kind string, run string")
+    found = df.withColumn("depth", secret_scan.battery(F.col("run"))["depth"])
+    share = {r["kind"]: r["share"] for r in found.groupBy("kind").agg(F.avg((F.col("depth") >= 20).cast("int")).alias("share")).collect()}
+    assert share["lower"] > 0.6 and share["upper"] > 0.6
+    assert share["words"] < 0.02 and share["digits"] < 0.03 and share["orderly"] == 0
+
+
 def test_quality_answers_in_pieces():
     rng = np.random.default_rng(0)
     texts = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (0, 1, 17, 900, 40)]
