@@ -2,7 +2,9 @@
 
 A paragraph ends at a line break. A section ends at a blank line, or after a paragraph whose
 digest says so, so that an edit moves no later border. Long paragraphs are cut into
-pieces after words whose last three bytes say so. Every node is the digest of its children;
+pieces after spaces whose eight preceding bytes say so; far behind the last border any four bytes
+may say so, and no piece is longer than `MOST`. The first line of a text is also cut at `HEAD`, so
+that short texts have several pieces too. What lies behind a border never moves it. Every node is the digest of its children;
 two texts are equal when the roots are, and the branches that differ hold the edits.
 """
 
@@ -22,6 +24,10 @@ from stowage.llm.ranges import range_of
 
 #: A piece ends after one word in PIECE, a section after one paragraph in SECTION.
 PIECE, SECTION = 8, 8
+#: A piece may end after one byte in ANY once it is FAR long, and does after MOST bytes.
+ANY, FAR, MOST = 64, 128, 256
+#: Places in the first line that are borders whatever it says.
+HEAD = np.array([2, 4, 8, 16, 32, 64, 128])
 
 
 def digest(data: bytes) -> bytes:
@@ -50,15 +56,33 @@ class Tree:
         return [piece for section in self.sections for paragraph in section for piece in paragraph]
 
 
+def chosen(padded: np.ndarray, ends: np.ndarray, window: int, one_in: int) -> np.ndarray:
+    """The ends whose last `window` bytes hash to one in `one_in`; the text has 8 bytes of padding before it."""
+    mixed = np.zeros(len(ends), np.uint64)
+    for k in range(window, 0, -1):
+        mixed = mixed * np.uint64(257) + padded[ends + (8 - k)]
+    mixed *= np.uint64(11400714819323198485)
+    return ends[(mixed >> np.uint64(40)) % np.uint64(one_in) == 0]
+
+
+def inside(ends: np.ndarray, first: int, step: int) -> np.ndarray:
+    """Places `first`, `first + step`, ... behind each end that lie before the next end."""
+    starts = np.concatenate([[0], ends[:-1]])
+    counts = np.maximum(ends - starts - first + step - 1, 0) // step
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.repeat(starts + first, counts) + number * step
+
+
 def borders(text: bytes) -> np.ndarray:
     """Ends of the pieces."""
     data = np.frombuffer(text, np.uint8)
-    spaces = np.flatnonzero(data == 0x20)
-    spaces = spaces[spaces >= 3]
-    last = data[spaces[:, None] - np.arange(1, 4)].astype(np.uint32)
-    mixed = (last @ np.array([1, 257, 65537], np.uint32)) * np.uint32(2654435761)
-    ends = spaces[(mixed >> np.uint32(16)) % np.uint32(PIECE) == 0] + 1
-    return np.unique(np.concatenate([ends, np.flatnonzero(data == 0x0A) + 1, [len(text)]]))
+    padded = np.concatenate([np.zeros(8, np.uint8), data])
+    spaces = chosen(padded, np.flatnonzero(data == 0x20), 8, PIECE) + 1
+    lines = np.flatnonzero(data == 0x0A) + 1
+    first = lines[0] if len(lines) else len(text)
+    ends = np.unique(np.concatenate([spaces, lines, HEAD[first > HEAD], [len(text)]]))
+    ends = np.union1d(ends, chosen(padded, inside(ends, FAR, 1), 4, ANY))
+    return np.union1d(ends, inside(ends, MOST, MOST))
 
 
 def tree_of(text: str) -> Tree:

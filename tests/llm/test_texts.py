@@ -185,6 +185,25 @@ def test_fingerprint_locates_edits():
     assert fingerprints.Tree.parse(a).text() == a
 
 
+def test_every_text_has_pieces():
+    """Texts of repeated or alike words, without spaces, and short ones keep the pieces before an edit."""
+    rng = random.Random(5)
+    shout = " ".join("".join(rng.choice("ACDEHINSTU") for _ in range(rng.randrange(2, 6))) + "!!" for _ in range(250))
+    solid = "".join(rng.choice("abcdefgh漢é") for _ in range(4000))
+    texts = ["Orre " * 6600, "word " * 400, shout, solid, "x" * 5000, *(shout[:n] for n in range(4, 60))]
+    for text in texts:
+        kept = len(text) - len(text) // 4
+        near = fingerprints.likeness(fingerprints.tree_of(text), fingerprints.tree_of(text[:kept] + "~" * (len(text) - kept)))
+        assert near >= (0.6 if len(text) > 200 else 0.5)
+    for text in ("Orre " * 6600, shout, solid):
+        ends = fingerprints.borders(text.encode())
+        assert np.diff(ends, prepend=0).max() <= fingerprints.MOST and ends[-1] == len(text.encode())
+    for text in (shout, solid):  # borders come back behind an edit at the beginning
+        assert fingerprints.likeness(fingerprints.tree_of(text), fingerprints.tree_of("anew" + text)) > 0.5
+    places = fingerprints.edits(*(fingerprints.tree_of(t).text() for t in (solid, solid[:3000] + "~" + solid[3001:])))
+    assert 0 < len(places) < 10
+
+
 def test_ids_are_those_of_the_library():
     from tokenizers import Tokenizer
 
