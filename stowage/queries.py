@@ -423,8 +423,10 @@ def stream_assemble_chunks(t: Tables) -> DataFrame:
     t.upload_chunk().withColumn("arrived", arrived).write.parquet(folder)
     schema = t.spark.read.parquet(folder).schema
     chunks = t.spark.readStream.schema(schema).parquet(folder)
-    closed = jobs.drain_to_table(jobs.stream_upload_status(chunks), "upload-status")
-    return closed.withColumn("started", F.date_format("started", "yyyy-MM-dd HH:mm:ss"))
+    table = shared_folder(t.spark, "upload-status")
+    jobs.stream_uploads(chunks, f"{table}/result", f"{table}/checkpoint").awaitTermination()
+    uploads = jobs.read_uploads(t.spark, f"{table}/result")
+    return uploads.withColumn("started", F.date_format("started", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _registry() -> dict[str, Callable[[Tables], DataFrame]]:

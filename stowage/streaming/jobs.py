@@ -7,11 +7,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.catalog import stream_catalog
 from ..sources.snapshots import HISTORY_SCHEMA
-from ..session import shared_folder
+from ..session import folder_exists, shared_folder
 
 __all__ = [
-    "drain_to_table", "stream_audit_statistics", "stream_catalog", "stream_upload_status",
-    "stream_usage_history",
+    "drain_to_table", "read_uploads", "stream_audit_statistics", "stream_catalog",
+    "stream_upload_status", "stream_uploads", "stream_usage_history",
 ]
 
 
@@ -40,10 +40,7 @@ def stream_upload_status(
     state, later chunks start a new row, and the old one, still incomplete, is an abandoned
     upload.
     """
-    timed = chunks.withColumn(arrival, F.col(arrival).cast("timestamp"))
-    once = timed.withWatermark(arrival, timeout).dropDuplicatesWithinWatermark(
-        ["file_uid", "chunk_index"]
-    )
+    once = _sent_once(chunks, timeout, arrival)
     inside = F.col("chunk_index") >= 0
     sessions = once.groupBy("file_uid", F.session_window(arrival, timeout)).agg(
         F.count(F.when(inside, 1)).alias("chunks_present"),
@@ -51,19 +48,99 @@ def stream_upload_status(
         F.max("chunk_index").alias("last_index"),
         F.sum(F.when(inside, F.octet_length("data").cast("bigint"))).alias("bytes"),
     )
+    return _progress(sessions.withColumn("started", F.col("session_window.start")))
+
+
+def _sent_once(chunks: DataFrame, timeout: str, arrival: str) -> DataFrame:
+    timed = chunks.withColumn(arrival, F.col(arrival).cast("timestamp"))
+    return timed.withWatermark(arrival, timeout).dropDuplicatesWithinWatermark(
+        ["file_uid", "chunk_index"]
+    )
+
+
+def _progress(sessions: DataFrame) -> DataFrame:
     whole = (F.col("chunks_present") == F.col("total_chunks")) & (
         F.col("last_index") == F.col("total_chunks") - 1
     )
     return sessions.select(
-        "file_uid",
-        F.col("session_window.start").alias("started"),
-        "chunks_present",
-        "total_chunks",
-        "bytes",
-        whole.alias("complete"),
+        "file_uid", "started", "chunks_present", "total_chunks", "bytes", whole.alias("complete")
     )
 
 
+def stream_uploads(
+    chunks: DataFrame, path: str, checkpoint: str, timeout: str = "1 hour",
+    arrival: str = "arrived", once: bool = True,
+) -> StreamingQuery:
+    """Keep a table of all uploads, open ones too, up to date with each micro-batch of chunks.
+
+    Rows are those of `stream_upload_status`, by (file_uid, started). Each batch merges its chunks
+    into the open uploads and writes them to the one of two folders that the batch before did not
+    write; uploads the watermark has closed move to a folder of their own and are not read
+    again. A repeated batch replaces what it wrote. `read_uploads` reads the table.
+    """
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        inside = F.col("chunk_index") >= 0
+        rows = batch.select(
+            "file_uid",
+            F.col(arrival).alias("started"),
+            F.lit(timeout).alias("gap"),
+            inside.cast("bigint").alias("chunks_present"),
+            "total_chunks",
+            F.col("chunk_index").alias("last_index"),
+            F.when(inside, F.octet_length("data").cast("bigint")).alias("bytes"),
+        )
+        mark = None
+        if batch_id:
+            before = batch.sparkSession.read.parquet(f"{path}/open/{(batch_id - 1) % 2}")
+            # The last chunk so far ended an hour (or what the timeout is) before its upload does;
+            # later batches may still hold chunks that the watermark of the batch before let in.
+            pause = F.lit(timeout).cast("interval")
+            mark, some = before.agg(
+                F.unix_micros(F.max("ended") - pause - pause), F.max("closed")
+            ).first()
+            if some:
+                before.where("closed").drop("batch").write.mode("overwrite").parquet(
+                    f"{path}/closed/batch={batch_id - 1}"
+                )
+            length = F.unix_micros("ended") - F.unix_micros("started")
+            still = before.where(~F.col("closed"))
+            still = still.withColumn("gap", F.concat(length.cast("string"), F.lit(" microseconds")))
+            rows = rows.unionByName(still.select(rows.columns))
+        merged = rows.groupBy("file_uid", F.session_window("started", F.col("gap"))).agg(
+            F.coalesce(F.sum("chunks_present"), F.lit(0)).alias("chunks_present"),
+            F.max("total_chunks").alias("total_chunks"),
+            F.max("last_index").alias("last_index"),
+            F.sum("bytes").alias("bytes"),
+        )
+        merged.select(
+            "file_uid",
+            F.col("session_window.start").alias("started"),
+            F.col("session_window.end").alias("ended"),
+            "chunks_present", "total_chunks", "last_index", "bytes",
+            F.coalesce(F.unix_micros("session_window.end") <= F.lit(mark).cast("bigint"), F.lit(False))
+            .alias("closed"),
+            F.lit(batch_id).cast("bigint").alias("batch"),
+        ).write.mode("overwrite").parquet(f"{path}/open/{batch_id % 2}")
+
+    writer = _sent_once(chunks, timeout, arrival).writeStream.outputMode("update")
+    writer = writer.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def read_uploads(spark: SparkSession, path: str) -> DataFrame:
+    """The uploads as the last whole batch of `stream_uploads` left them."""
+    versions = [f"{path}/open/{i}" for i in (0, 1) if folder_exists(spark, f"{path}/open/{i}/_SUCCESS")]
+    rows = spark.read.parquet(*versions)
+    last = rows.agg(F.max("batch")).first()[0]
+    rows = rows.where(F.col("batch") == F.lit(last).cast("bigint"))
+    if last and folder_exists(spark, f"{path}/closed"):
+        schema = rows.schema
+        closed = spark.read.schema(schema).parquet(f"{path}/closed")
+        rows = rows.unionByName(closed.where(F.col("batch") < last))
+    return _progress(rows)
+
+
 def stream_usage_history(
     catalog: DataFrame, path: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:

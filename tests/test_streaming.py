@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from stowage.operators.content import upload_status
@@ -72,6 +73,50 @@ def test_abandoned_uploads_are_closed(spark, folder):
     assert got["left"] is False and got["done"] is True and "more" not in got
 
 
+def test_open_and_closed_uploads_are_rows(spark, folder):
+    schema = "file_uid string, chunk_index bigint, total_chunks bigint, data string, arrived string"
+
+    def run(*rows):
+        rows = [(u, i, n, "ab", f"2024-01-01 {at}") for u, i, n, at in rows]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/chunks")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/chunks")
+        jobs.stream_uploads(stream, f"{folder}/out", f"{folder}/checkpoint", "10 minutes").awaitTermination()
+        got = jobs.read_uploads(spark, f"{folder}/out").collect()
+        assert len({(r.file_uid, r.started) for r in got}) == len(got)
+        return sorted((r.file_uid, str(r.started)[11:16], r.chunks_present, r["bytes"], r.complete) for r in got)
+
+    first = run(("done", 0, 1, "00:00:00"), ("left", 0, 2, "00:00:00"), ("slow", 1, 2, "00:05:00"))
+    assert first == [("done", "00:00", 1, 2, True), ("left", "00:00", 1, 2, False), ("slow", "00:05", 1, 2, False)]
+    # an earlier chunk of another batch joins its upload, one sent again counts once
+    second = run(("slow", 0, 2, "00:01:00"), ("slow", 1, 2, "00:06:00"), ("next", 0, 2, "00:08:00"))
+    assert ("slow", "00:01", 2, 4, True) in second and len(second) == 4
+    third = run(("left", 1, 2, "03:00:00"))
+    assert third == sorted([*second, ("left", "03:00", 1, 2, False)])
+    fourth = run(("more", 0, 1, "05:00:00"))
+    fifth = run(("more", -1, 1, "05:00:01"))
+    assert fourth == fifth == sorted([*third, ("more", "05:00", 1, 2, True)])
+    # closed uploads have left the table that the batches merge into
+    last = max(spark.read.parquet(f"{folder}/out/open/{i}").agg(F.max("batch")).first()[0] for i in (0, 1))
+    left = {r.file_uid for r in spark.read.parquet(f"{folder}/out/open/{last % 2}").where("not closed").collect()}
+    assert left == {"more"}
+
+
+def test_registered_uploads_are_all_there(spark):
+    from stowage.datasets import Tables
+    from stowage import queries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    chunks = Tables(spark, folder).upload_chunk()
+    rests = (F.col("file_uid") % 5 == 0) & (F.col("chunk_index") >= 1)
+    want = chunks.groupBy("file_uid", rests.alias("rests")).agg(F.count(F.lit(1)).alias("n"), F.max("total_chunks").alias("total"))
+    got = queries.registered()["stream_assemble_chunks"](spark, folder)
+    assert sorted((r.file_uid, r.chunks_present, r.total_chunks) for r in got.collect()) == sorted(
+        (r.file_uid, r.n, r.total) for r in want.collect()
+    )
+
+
 def test_catalog_stream_and_history(spark, folder):
     os.makedirs(f"{folder}/store/a")
     for name, size in (("_x", 3), ("a/y", 4), ("a/.none", 0)):
