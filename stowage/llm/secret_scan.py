@@ -216,7 +216,7 @@ def secret_spans(docs: DataFrame, text_column: str = "text", rate: float = 0.01)
     """The input with a column `secrets`: array of (start, kind, end), by start, then kind number.
 
     Kinds are numbered as in `KINDS`. The first three are the known shapes; `random` are runs the
-    battery discovers at a false-discovery rate of `rate` and that no known shape overlaps. A null
+    battery discovers at a false-discovery rate of `rate` and that known shapes do not cover whole. A null
     or empty text has none. Rows, columns and repeated rows stay as they are; an input
     column named `secrets` is replaced.
     """
@@ -227,13 +227,23 @@ def secret_spans(docs: DataFrame, text_column: str = "text", rate: float = 0.01)
     def of_kind(spans: Column, kind: int) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"], F.lit(kind).alias("kind"), s["end"]))
 
-    base = F.concat(*[of_kind(match_spans(text, *shape), k) for k, shape in enumerate(SHAPES.values())])
+    base = F.array_sort(
+        F.concat(*[of_kind(match_spans(text, *shape), k) for k, shape in enumerate(SHAPES.values())])
+    )
+
+    def covered(shaped: Column, run: Column) -> Column:
+        """Whether spans in order of their start leave no character of a run."""
+        reached = F.aggregate(
+            shaped, run["start"],
+            lambda at, s: F.when(s["start"] <= at, F.greatest(at, s["end"])).otherwise(at),
+        )
+        return reached >= run["end"]
 
     def discovered(shaped: Column, runs: Column, cut: Column) -> Column:
         clear = F.filter(
             runs,
             lambda r: (r["test"]["depth"] >= F.coalesce(F.try_element_at(cut, r["test"]["stratum"]), F.lit(DEEPEST + 1)))
-            & ~F.exists(shaped, lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"])),
+            & ~covered(shaped, r),
         )
         return of_kind(clear, len(SHAPES))
 
