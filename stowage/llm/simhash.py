@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stowage.llm.graphs import components
 from stowage.session import materialize
@@ -53,7 +53,9 @@ def text_fingerprint(text: str, words: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def simhash_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def simhash_fingerprints(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *carried: Column
+) -> DataFrame:
     """Id and `fp` (the 64 bits as a signed number) of each row; null texts count as empty."""
 
     @F.pandas_udf("bigint")
@@ -63,7 +65,7 @@ def simhash_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column
             yield pd.Series(found.view(np.int64))
 
     return docs.select(
-        F.col(id_column), fingerprint(F.coalesce(F.col(text_column), F.lit(""))).alias("fp")
+        F.col(id_column), fingerprint(F.coalesce(F.col(text_column), F.lit(""))).alias("fp"), *carried
     )
 
 
@@ -205,16 +207,18 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield compared(keys, values)
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *carried: Column
+) -> DataFrame:
     """Each row with its fingerprint (16 hexadecimal digits) and the smallest id of its component.
 
     Components join fingerprints at most RADIUS bits apart, over any number of steps. Copies are one
     fingerprint and never compared. Rows without words share fingerprint 0; null ids get a
-    component but never name one, so a component of null ids only is null.
+    component but never name one, so a component of null ids only is null. `carried` columns go along.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    of_docs = materialize(simhash_fingerprints(docs, id_column, text_column), "simhash")
+    of_docs = materialize(simhash_fingerprints(docs, id_column, text_column, *carried), "simhash")
     classes = materialize(of_docs.groupBy("fp").agg(F.min(id_column).alias("first")), "simhash")
     keyed = filed(classes.select("fp")).repartition(parts, "key").sortWithinPartitions("key", "fp")
     labels = components(keyed.mapInArrow(_links, "a bigint, b bigint"))
@@ -225,7 +229,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         "fp", F.coalesce("component_id", "first").alias("component_id")
     )
     return of_docs.join(named, "fp").select(
-        id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+        *of_docs.columns[2:],
     )
 
 
@@ -234,11 +239,16 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     Of rows equal in id and text one stays. Rows of a null id stay, once per text.
     """
-    found = near_duplicates(docs, id_column, text_column)
-    gone = found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
+    text_hash = F.xxhash64(text_column)
+    found = near_duplicates(docs, id_column, text_column, text_hash.alias("_gone_hash"))
+    gone = found.where(F.col(id_column) != F.col("component_id")).select(
+        F.col(id_column).alias("_gone_id"), "_gone_hash"
+    ).distinct()
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
-        F.col(id_column).alias("_id"), F.xxhash64(text_column).alias("_hash"),
+        F.col(id_column).alias("_id"), text_hash.alias("_hash"),
     )
-    kept = rows.join(gone, F.col("_id") == F.col(id_column), "left_anti")
+    # An id may have several texts; only those of its rows that a smaller id stands for go.
+    same = (F.col("_id") == F.col("_gone_id")) & (F.col("_hash") == F.col("_gone_hash"))
+    kept = rows.join(gone, same, "left_anti")
     return kept.dropDuplicates(["_id", "_hash"]).select("_doc.*")

@@ -125,6 +125,12 @@ def test_near_duplicates(spark, monkeypatch):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_an_id_with_two_texts_loses_only_the_copy(spark):
+    rows = [(1, "some words that come first"), (2, "some words that come first"), (2, "nothing like the others here at all")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [rows[0], rows[2]]
+
+
 @pytest.mark.parametrize("edges", [
     [], [(2, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], [(99, i) for i in range(30)],
     [(i * 7 % 50, i * 11 % 50) for i in range(45)],
