@@ -222,8 +222,9 @@ def describe_files(
 ) -> DataFrame:
     """(file, ordinal, name, Hive type, error) of every column of every file.
 
-    Parquet and Avro files, told by their extension as external tables are, are described
-    from their headers by the executors; one that cannot be read gives a row with `error`.
+    Parquet and Avro files are described from their headers by the executors, whatever their
+    names; any file that cannot be read as one gives a row with `error`. Only Spark's own
+    markers, stream logs and checksums are left out.
     CSV needs the data, so each given path is one inference job.
     """
     if fmt == "csv":
@@ -249,8 +250,9 @@ def describe_files(
                 frame = pd.DataFrame(described(file), columns=columns)
                 yield frame.astype({"ordinal": "Int32"})
 
-    ending = paths.extension(paths.file_name(F.col("path")))
-    return path_table(spark, path).where(ending == fmt).select("path").mapInPandas(read, DESCRIPTION)
+    name = paths.file_name(F.col("path"))
+    own = (name == "_SUCCESS") | name.rlike(r"^\..*\.crc$") | F.col("path").contains("/_spark_metadata/")
+    return path_table(spark, path).where(~own).select("path").mapInPandas(read, DESCRIPTION)
 
 
 def format_of(path: str) -> str:

@@ -195,3 +195,15 @@ def test_every_given_table_is_described(spark):
     got = contract.queries()["infer_parquet_schema"](spark, contract.SMOKE_DIR).collect()
     assert {(r.table_name, r.ordinal): (r["name"], r.type, r.error) for r in got} == want
     assert len(got) == len(want) and want[("embeddings", 1)][1].startswith("array<")
+
+
+def test_files_of_any_name_are_described(spark, folder):
+    spark.range(3).coalesce(1).write.parquet(f"{folder}/p")
+    part = next(f for f in os.listdir(f"{folder}/p") if f.endswith(".parquet"))
+    for name in ("000000_0", "UP.PARQUET"):
+        with open(f"{folder}/p/{part}", "rb") as given, open(f"{folder}/p/{name}", "wb") as out:
+            out.write(given.read())
+    write(f"{folder}/p/notes.txt", "hello")
+    rows = {r.file.rsplit("/", 1)[1]: (r.name, r.error is None) for r in S.describe_files(spark, f"{folder}/p", "parquet").collect()}
+    assert rows == {part: ("id", True), "000000_0": ("id", True), "UP.PARQUET": ("id", True), "notes.txt": (None, False)}
+    assert S.describe_files(spark, f"{folder}/p/000000_0", "parquet").count() == 1
