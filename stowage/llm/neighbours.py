@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -132,13 +133,14 @@ def fit_router(sample: np.ndarray, parts: int = PARTITIONS, seed: int = 5) -> Ro
 
 
 def usable_vectors(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(id, vector) as doubles of the rows that take part, one per id."""
+    """(id, vector) as doubles of the rows that take part, one per id and width."""
     vector = F.col(vector_column).cast("array<double>")
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0)
     return (
         vectors.where(F.col(id_column).isNotNull() & whole)
-        .groupBy(F.col(id_column).cast("bigint").alias("id")).agg(F.min(vector).alias("vector"))
+        .groupBy(F.col(id_column).cast("bigint").alias("id"), F.size(vector).alias("width"))
+        .agg(F.min(vector).alias("vector")).drop("width")
     )
 
 
@@ -148,18 +150,24 @@ def search(
 ) -> DataFrame:
     """The k nearest rows found for each row whose id is divisible by `every`, by Euclidean distance.
 
-    Null, zero and non-finite vectors take no part, nor do vectors of another width than most have (of
-    equally common widths the smaller one). Rows that share an id count once, by their smallest
-    vector. Ties go to smaller ids. A query with fewer than k + 1 rows in its partitions gets more of them.
+    Null, zero and non-finite vectors take no part. Each width is searched by itself, with a router of
+    its own; an id of several widths is a query in each. Rows of a width that share an id count
+    once, by their smallest vector. Ties go to smaller ids. A query with fewer than k + 1 rows in its partitions gets more of them.
     """
     spark = vectors.sparkSession
     rows = materialize(usable_vectors(vectors, id_column, vector_column), "vectors")
-    widths = rows.groupBy(F.size("vector").alias("width")).count()
-    common = widths.orderBy(F.desc("count"), "width").first()
+    asked = F.max((F.col("id") % every == 0).cast("int"))
+    widths = rows.groupBy(F.size("vector").alias("width")).agg(asked.alias("asked")).where("asked = 1")
+    found = [
+        _search_width(rows.where(F.size("vector") == r["width"]), every, k)
+        for r in widths.orderBy("width").collect()
+    ]
     empty = "query_id bigint, rank int, vec_id bigint, score double"
-    if common is None:
-        return spark.createDataFrame([], empty)
-    rows = rows.where(F.size("vector") == common["width"])
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], empty)
+
+
+def _search_width(rows: DataFrame, every: int, k: int) -> DataFrame:
+    """The search among vectors of one width."""
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()
     # Copies of a vector say nothing about where its neighbours lie.
     router = fit_router(np.unique(np.array([r["vector"] for r in sample]), axis=0))

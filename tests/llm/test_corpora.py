@@ -281,6 +281,13 @@ def test_odd_vectors(spark):
     assert neighbours.search(vectors.limit(0)).count() == 0
 
 
+def test_each_width_is_searched(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(98, 103)] + [(i, [float(i), 1.0, 1.0]) for i in (200, 201, 203)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(vectors, k=2).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == [(100, 1, 99, 1.0), (100, 2, 101, 1.0), (200, 1, 201, 1.0), (200, 2, 203, 3.0)]
+
+
 def test_ties_beyond_k_go_to_the_smallest_ids(spark):
     rows = [(i, [1.0, float(i % 2)]) for i in range(400)]
     got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
