@@ -59,3 +59,18 @@ def components(edges: DataFrame) -> DataFrame:
     # A root is below every node it was linked to, and stands for itself.
     own = labels.select(F.col("label").alias("node"), "label").distinct()
     return labels.unionByName(own)
+
+
+def lookup(rows: DataFrame, names: DataFrame, keys: list[str], copies: str) -> DataFrame:
+    """The rows left-joined to the stored `names` on keys of which some have a large share of the rows.
+
+    Keys with more than a ten-thousandth of the rows (and 1,000) are at most 10,000; their names go to every
+    task. The others are joined by a shuffle in which no key is large.
+    """
+    total = names.agg(F.sum(copies)).first()[0] or 0
+    many = F.col(copies) > max(1000, total // 10_000)
+    crowded = names.where(many).drop(copies).withColumn("_named", F.lit(True))
+    first = rows.join(F.broadcast(crowded), keys, "left")
+    found = first.where("_named").drop("_named")
+    rest = first.where("_named IS NULL").select(rows.columns).join(names.where(~many).drop(copies), keys, "left")
+    return found.unionByName(rest.select(found.columns))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stowage.llm import (
-    fingerprints, langid, mixing, neighbours, packing, quality, secret_scan, simhash, token_counts, warc,
+    collocations, filter_audit, fingerprints, jaccard, langid, mixing, neighbours, packing, quality, secret_scan, simhash, token_counts, warc,
 )
 from stowage.session import ship_package
 
@@ -66,9 +66,22 @@ def op10_languages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit_filters(spark, f"{folder}/documents.parquet", table(spark, folder, "labels"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES = (
     op1_token_counts, op2_secret_scan, op3_quality, op4_fingerprints, op5_warc,
     op6_mix, op7_simhash, op8_neighbours, op9_packing, op10_languages,
+    op11_jaccard, op12_filter_audit, op13_collocations,
 )
 
 
@@ -77,4 +90,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def texts() -> dict[str, str]:
-    return {"op5_warc": warc.ORACLE}
+    return {
+        "op5_warc": warc.ORACLE, "op11_jaccard": jaccard.ORACLE, "op12_filter_audit": filter_audit.ORACLE,
+        "op13_collocations": collocations.ORACLE,
+    }

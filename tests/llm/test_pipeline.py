@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_registration():
     names = __spark_entry__.queries()
     assert set(queries.registered()) < set(names) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.registered()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.registered()) == list(range(1, 14))
 
 
 def test_stages(spark):
