@@ -39,8 +39,6 @@ FOLLOWING = bytes(range(0x80, 0xC0))
 TEXTS_PER_KEY = 256
 #: Combined rows a task holds before it sends them on.
 HELD = 200_000
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def failed_filters(text: bytes) -> int:
@@ -159,8 +157,9 @@ def audit_stream(
     """Keep the changes of the counters below `path`, a folder per micro-batch of the stream `docs`.
 
     `keys` is the number of state rows; it has to stay the same for a checkpoint. A repeated batch replaces its folder.
+    State is kept by the session's state store: Spark's default holds it in the executors' memory, about 100 bytes
+    a text; the RocksDB store holds it on disk, at some megabytes for each of the shuffle partitions.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     rows = docs.select(
         F.col(f"`{id_column}`").cast("bigint").alias("id"),
@@ -183,15 +182,10 @@ def audit_stream(
         sums.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = changes.writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", checkpoint)
-    before = spark.conf.get(STORE)
-    spark.conf.set(STORE, ROCKS)  # state lies on disk, not in the memory of the executors
-    try:
-        query = (writer.trigger(availableNow=True) if once else writer).start()
-        if once:
-            query.awaitTermination()
-        return query
-    finally:
-        spark.conf.set(STORE, before)
+    query = (writer.trigger(availableNow=True) if once else writer).start()
+    if once:
+        query.awaitTermination()
+    return query
 
 
 def counters(spark: SparkSession, path: str) -> DataFrame:
