@@ -68,14 +68,15 @@ def language_salt(language: str) -> np.uint64:
 class Block:
     """Some whole texts: their bytes, words and windows."""
 
-    def __init__(self, texts: list[str], languages: list[str], shards: list[int]):
-        parts = [t.encode().lower() for t in texts]
+    def __init__(self, texts: list[bytes], languages: list[str], shards: list[int]):
+        parts = [t.lower() for t in texts]  # bytes: lower-cases A to Z only
         self.data = b"\n".join(parts)
         begins = np.r_[0, np.cumsum([len(p) + 1 for p in parts])[:-1]]
         self.words = hashed_words(self.data, _BETWEEN)
         self.document = np.searchsorted(begins, self.words.begin, "right") - 1
         self.languages = languages
-        of = np.array([language_salt(x) for x in languages], np.uint64)
+        salts = {x: language_salt(x) for x in set(languages)}
+        of = np.array([salts[x] for x in languages], np.uint64)
         ends = np.flatnonzero(_ENDS[np.frombuffer(self.data, np.uint8)])
         self.piece = np.searchsorted(ends, self.words.begin)
         self.salts, self.shards = of[self.document], np.array(shards, np.uint64)[self.document]
@@ -95,7 +96,8 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     texts: list[tuple] = []
     held = 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+        columns = [batch.column(0).cast(pa.binary()), *batch.columns[1:]]
+        for row in zip(*(c.to_pylist() for c in columns)):
             texts.append(row)
             held += len(row[0])
             if held >= BLOCK:
@@ -140,6 +142,35 @@ COUNTED = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 COUNTED_DDL = "key bigint, n bigint"
 
 
+class Phrases:
+    """Occurrences of phrases by their hash; the text of a phrase is read once."""
+
+    def __init__(self) -> None:
+        self.empty()
+
+    def empty(self) -> None:
+        self.key, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.n, self.names = np.zeros(0, np.int64), []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, name) -> None:
+        """Distinct sorted keys; `name(i)` is the row of keys[i]."""
+        at = np.searchsorted(self.key, keys)
+        known = at < len(self.key)
+        known[known] = self.key[at[known]] == keys[known]
+        self.n[self.place[at[known]]] += counts[known]
+        new = np.flatnonzero(~known)
+        places = np.arange(len(new)) + len(self.names)
+        self.names += map(name, new.tolist())
+        self.n = np.r_[self.n, counts[new]]
+        self.key, self.place = np.insert(self.key, at[new], keys[new]), np.insert(self.place, at[new], places)
+
+    def taken(self) -> pa.RecordBatch:
+        columns = [*zip(*self.names)] or [[]] * 3
+        columns = [pa.array(c, f.type) for c, f in zip(columns, PHRASES)] + [pa.array(self.n)]
+        self.empty()
+        return pa.RecordBatch.from_arrays(columns, schema=PHRASES)
+
+
 class Filter:
     """A Bloom filter over 64-bit keys, as the words of its bits."""
 
@@ -173,9 +204,9 @@ def filter_of(keys: DataFrame) -> Broadcast:
 
     found = keys.select("key").mapInArrow(word_bits, "word bigint, bits bigint").groupBy("word").agg(
         F.bit_or("bits").alias("bits")
-    ).toPandas()
+    ).toArrow()
     words = np.zeros(bits // 64, np.uint64)
-    words[found["word"].to_numpy()] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return spark.sparkContext.broadcast(words)
 
 
@@ -219,30 +250,27 @@ def _count(candidates: Broadcast):
     """Occurrences of the candidates by their text, and of all words of a language as k = 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passing = Filter(candidates.value)
-        held: dict[tuple, int] = {}
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*((*key, n) for key, n in held.items()))) or [[]] * len(PHRASES)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PHRASES)], schema=PHRASES)
-
+        passing, held = Filter(candidates.value), Phrases()
         for block in blocks(batches):
-            for number, n in enumerate(np.bincount(block.document, minlength=len(block.languages)).tolist()):
-                key = (block.languages[number], 0, "")
-                held[key] = held.get(key, 0) + n
+            of_languages = np.bincount(block.document, minlength=len(block.languages))
+            for language in sorted(set(block.languages)):
+                n = sum(of_languages[i] for i, x in enumerate(block.languages) if x == language)
+                if n:
+                    held.add(np.array([language_salt(language)]), np.array([n]), lambda _, x=language: (x, 0, ""))
             for window in block.windows():
                 for k in (1, 2, 3):
                     keys = window.hashes[k] & ~np.uint64(3)
                     some = np.flatnonzero(passing.passes(keys))
-                    _, first, counts = np.unique(keys[some], return_index=True, return_counts=True)
+                    found, first, counts = np.unique(keys[some], return_index=True, return_counts=True)
                     at = window.at[k][some[first]] + window.low
-                    for i, document, n in zip(at.tolist(), block.document[at].tolist(), counts.tolist()):
-                        key = (block.languages[document], k, block.phrase(i, k))
-                        held[key] = held.get(key, 0) + n
-                    if len(held) >= HELD_PHRASES:
-                        yield out()
-        yield out()
+
+                    def name(i: int) -> tuple[str, int, str]:
+                        return block.languages[block.document[at[i]]], k, block.phrase(at[i], k)
+
+                    held.add(found, counts, name)
+                if len(held.names) >= HELD_PHRASES:
+                    yield held.taken()
+        yield held.taken()
 
     return count
 

@@ -84,7 +84,7 @@ def test_small_limits_give_the_same_sums(monkeypatch):
 
 def test_windows_and_blocks(monkeypatch):
     """Windows of few words give the phrases of one large window."""
-    texts, languages = ["a b c, d e f g. h", "i", "", "j k  l\tm"], ["en", "en", "de", "de"]
+    texts, languages = [b"a b c, d e f g. h", b"i", b"", b"j k  l\tm"], ["en", "en", "de", "de"]
     block = co.Block(texts, languages, [0, 1, 2, 0])
 
     def found():
