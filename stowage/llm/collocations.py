@@ -28,7 +28,9 @@ SHARDS = 3
 ENDS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 UNKNOWN = "und"
 #: Bytes of texts looked at together, words of one window, and keys and phrases a task holds.
-BLOCK, WINDOW, HELD_KEYS, HELD_PHRASES = 1 << 21, 1 << 19, 3 << 20, 1 << 19
+BLOCK, WINDOW, HELD_KEYS, HELD_PHRASES = 1 << 21, 1 << 19, 3 << 20, 1 << 21
+#: Parts of a language whose best phrases are picked first, so that no task ranks those of all tasks.
+TOP_PARTS = 16
 FILTER_BITS = 1 << 28
 PROBES = (np.uint64(BASE), np.uint64(0xD6E8FEB86659FD93))
 
@@ -86,9 +88,17 @@ class Block:
             high = min(low + WINDOW, len(self.words))
             yield Span(self.words, self.piece, self.salts, self.shards, low, high)
 
-    def phrase(self, at: int, k: int) -> str:
-        ends = zip(self.words.begin[at : at + k].tolist(), self.words.end[at : at + k].tolist())
-        return b" ".join(self.data[b:e] for b, e in ends).decode()
+    def phrases(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the phrases of k words that begin at the given words, one after the other, and their lengths."""
+        words = at[:, None] + np.arange(k)
+        begin, length = self.words.begin[words], self.words.end[words] - self.words.begin[words]
+        length[:, :-1] += 1  # and the blank after each word but the last
+        flat = length.ravel()
+        end = np.cumsum(flat)
+        places = np.arange(flat.sum()) + np.repeat(begin.ravel() - (end - flat), flat)
+        out = np.frombuffer(self.data, np.uint8)[places]
+        out[end.reshape(-1, k)[:, :-1] - 1] = 0x20
+        return out, length.sum(1)
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -146,27 +156,40 @@ class Phrases:
     """Occurrences of phrases by their hash; the text of a phrase is read once."""
 
     def __init__(self) -> None:
+        self.languages: dict[str, int] = {}
         self.empty()
 
     def empty(self) -> None:
         self.key, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.n, self.names = np.zeros(0, np.int64), []
+        # Of each phrase, in the order they came: occurrences, and in parts language, words, bytes and length.
+        self.n, self.parts = np.zeros(0, np.int64), []
 
-    def add(self, keys: np.ndarray, counts: np.ndarray, name) -> None:
-        """Distinct sorted keys; `name(i)` is the row of keys[i]."""
+    def number(self, language: str) -> int:
+        return self.languages.setdefault(language, len(self.languages))
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, read) -> None:
+        """Distinct sorted keys; `read` gives (languages, words, bytes, lengths) of the keys at given places."""
         at = np.searchsorted(self.key, keys)
         known = at < len(self.key)
         known[known] = self.key[at[known]] == keys[known]
         self.n[self.place[at[known]]] += counts[known]
         new = np.flatnonzero(~known)
-        places = np.arange(len(new)) + len(self.names)
-        self.names += map(name, new.tolist())
-        self.n = np.r_[self.n, counts[new]]
-        self.key, self.place = np.insert(self.key, at[new], keys[new]), np.insert(self.place, at[new], places)
+        if len(new):
+            places = np.arange(len(new)) + len(self.n)
+            self.n = np.r_[self.n, counts[new]]
+            self.key, self.place = np.insert(self.key, at[new], keys[new]), np.insert(self.place, at[new], places)
+            self.parts.append(read(new))
 
     def taken(self) -> pa.RecordBatch:
-        columns = [*zip(*self.names)] or [[]] * 3
-        columns = [pa.array(c, f.type) for c, f in zip(columns, PHRASES)] + [pa.array(self.n)]
+        none = [np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint8), np.zeros(0, np.int64)]
+        language, k, text, length = (np.concatenate(c) for c in zip(none, *self.parts))
+        ends = np.r_[0, np.cumsum(length)].astype(np.int32)
+        names = pa.DictionaryArray.from_arrays(pa.array(language, pa.int32()), pa.array(list(self.languages), pa.string()))
+        columns = [
+            names.cast(pa.string()), pa.array(k, pa.int32()),
+            pa.StringArray.from_buffers(len(length), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(text))),
+            pa.array(self.n),
+        ]
         self.empty()
         return pa.RecordBatch.from_arrays(columns, schema=PHRASES)
 
@@ -252,11 +275,14 @@ def _count(candidates: Broadcast):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passing, held = Filter(candidates.value), Phrases()
         for block in blocks(batches):
-            of_languages = np.bincount(block.document, minlength=len(block.languages))
-            for language in sorted(set(block.languages)):
-                n = sum(of_languages[i] for i, x in enumerate(block.languages) if x == language)
-                if n:
-                    held.add(np.array([language_salt(language)]), np.array([n]), lambda _, x=language: (x, 0, ""))
+            numbers = np.array([held.number(x) for x in block.languages], np.int32)
+            of_languages = np.bincount(numbers[block.document], minlength=len(held.languages))
+            for language, number in held.languages.items():
+                if of_languages[number]:
+                    held.add(
+                        np.array([language_salt(language)]), of_languages[[number]],
+                        lambda _, x=number: (np.array([x], np.int32), np.zeros(1, np.int32), np.zeros(0, np.uint8), np.zeros(1, int)),
+                    )
             for window in block.windows():
                 for k in (1, 2, 3):
                     keys = window.hashes[k] & ~np.uint64(3)
@@ -264,11 +290,12 @@ def _count(candidates: Broadcast):
                     found, first, counts = np.unique(keys[some], return_index=True, return_counts=True)
                     at = window.at[k][some[first]] + window.low
 
-                    def name(i: int) -> tuple[str, int, str]:
-                        return block.languages[block.document[at[i]]], k, block.phrase(at[i], k)
+                    def read(new: np.ndarray) -> tuple:
+                        text, length = block.phrases(at[new], k)
+                        return numbers[block.document[at[new]]], np.full(len(new), k, np.int32), text, length
 
-                    held.add(found, counts, name)
-                if len(held.names) >= HELD_PHRASES:
+                    held.add(found, counts, read)
+                if len(held.n) >= HELD_PHRASES:
                     yield held.taken()
         yield held.taken()
 
@@ -350,8 +377,11 @@ def collocations(
         F.max("a").alias("_longer")
     )
     kept = rows.join(longer, ["lang", "phrase"], "left").where("_longer IS NULL OR k = 3 OR 100 * _longer < 50 * a")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    ranked = kept.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(TOP_PARTS)))
+    for by in (["lang", "_part"], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        ranked = ranked.where(F.col("rank") <= top)
     words = counts.where("k = 0").select("lang", F.col("n"))
     return ranked.join(words, "lang").select(
         "lang", F.col("rank").cast("bigint"), "phrase", "a", "l", "r", "n", "score"

@@ -93,7 +93,8 @@ def test_windows_and_blocks(monkeypatch):
         }
 
     whole = found()
-    assert [block.phrase(i, 3) for i, _ in whole[3]] == ["a b c", "d e f", "e f g", "j k l", "k l m"]
+    text, lengths = block.phrases(np.array([i for i, _ in whole[3]]), 3)
+    assert text.tobytes() == b"a b c" b"d e f" b"e f g" b"j k l" b"k l m" and lengths.tolist() == [5] * 5
     for size in (1, 2, 5):
         monkeypatch.setattr(co, "WINDOW", size)
         assert found() == whole
