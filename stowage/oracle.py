@@ -392,6 +392,7 @@ def texts() -> dict[str, str]:
             strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders""",
         "external_table_csv": "SELECT * FROM customer",
         "infer_parquet_schema": _described(),
+        "infer_csv_schema": _described_csv(("region", "nation", "supplier", "customer", "part", "orders", "lineitem")),
         "schema_to_hive": """SELECT * FROM (VALUES (0, 'l_orderkey', 'bigint'),
             (1, 'line', 'struct<l_linenumber:int,l_quantity:double,rates:array<double>>'),
             (2, 'shipped', 'map<string,timestamp_ntz>')) AS t(ordinal, name, type)""",
@@ -751,7 +752,7 @@ def texts() -> dict[str, str]:
               - INTERVAL 720 MINUTE GROUP BY 1""", "drive_item"),
         "expiry_plan": _expiry_plan(),
         # streams
-        # append mode: windows and uploads that the watermark has closed
+        # append mode: windows that the watermark has closed; uploads are all rows, open ones too
         "stream_audit_statistics": with_tables(
             """, n AS (SELECT MAX(created) - INTERVAL 10 MINUTE AS mark FROM action_audit)
             SELECT strftime(date_trunc('hour', created), '%Y-%m-%d %H:%M:%S') AS started, action, status,
@@ -761,14 +762,13 @@ def texts() -> dict[str, str]:
             """, a AS (SELECT *, TIMESTAMP '2024-01-01' + to_seconds(CAST((file_uid % 48) * 3600 + chunk_index
                 + CASE WHEN file_uid % 5 = 0 AND chunk_index >= 1 THEN 10800 ELSE 0 END AS BIGINT)) AS arrived
               FROM upload_chunk),
-            n AS (SELECT MAX(arrived) - INTERVAL 1 HOUR AS mark FROM a),
             s AS (SELECT file_uid, file_uid % 5 = 0 AND chunk_index >= 1 AS resumed, MIN(arrived) AS started,
-                MAX(arrived) + INTERVAL 1 HOUR AS ended, COUNT(*) AS chunks_present,
+                COUNT(*) AS chunks_present,
                 MAX(total_chunks) AS total_chunks, MAX(chunk_index) AS last_index,
                 CAST(SUM(octet_length(encode(data))) AS BIGINT) AS bytes FROM a GROUP BY 1, 2)
             SELECT file_uid, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, chunks_present, total_chunks,
               bytes, chunks_present = total_chunks AND last_index = total_chunks - 1 AS complete
-            FROM s, n WHERE ended <= mark""", "upload_chunk"),
+            FROM s""", "upload_chunk"),
     }
     out["stored_usage"] = out["usage_rollup"]
     return out
@@ -783,14 +783,34 @@ TABLES["listing_sized"] = (("drive_item", "folder"), """
 
 def _described() -> str:
     """Columns of the given tables by the types DuckDB reads, in Hive's names."""
-    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string"}
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "FLOAT": "float"}
     named = " ".join(f"WHEN '{kind}' THEN '{hive}'" for kind, hive in kinds.items())
-    return f"""SELECT table_name, column_index - 1 AS ordinal, column_name AS name,
-          CASE WHEN starts_with(data_type, 'TIMESTAMP') THEN 'timestamp_ntz'
-            ELSE CASE data_type {named} ELSE lower(data_type) END END AS type,
+    return f"""SELECT table_name, ordinal, name,
+          CASE WHEN starts_with(kind, 'TIMESTAMP') THEN 'timestamp_ntz'
+            WHEN is_list THEN 'array<' || CASE kind {named} ELSE lower(kind) END || '>'
+            ELSE CASE kind {named} ELSE lower(kind) END END AS type,
           CAST(NULL AS VARCHAR) AS error
-        FROM duckdb_columns() WHERE NOT internal
-          AND table_name IN ('nation', 'customer', 'orders', 'lineitem', 'events')"""
+        FROM (SELECT table_name, column_index - 1 AS ordinal, column_name AS name, ends_with(data_type, '[]') AS is_list,
+            replace(data_type, '[]', '') AS kind FROM duckdb_columns() WHERE NOT internal)"""
+
+
+def _described_csv(tables: tuple[str, ...]) -> str:
+    """The narrowest type that fits the text of all values of each column."""
+    values = " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, name, v FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM {t})"
+        " ON COLUMNS(*) INTO NAME name VALUE v)" for t in tables
+    )
+    whole = "regexp_full_match(v, '[+-]?[0-9]+') AND TRY_CAST(v AS {0}) IS NOT NULL"
+    return f"""SELECT c.table_name, c.column_index - 1 AS ordinal, c.column_name AS name,
+          CASE WHEN bool_and({whole.format('INTEGER')}) THEN 'int' WHEN bool_and({whole.format('BIGINT')}) THEN 'bigint'
+            WHEN bool_and(TRY_CAST(v AS DOUBLE) IS NOT NULL) THEN 'double'
+            WHEN bool_and(lower(v) IN ('true', 'false')) THEN 'boolean'
+            WHEN bool_and(length(v) = 10 AND TRY_CAST(v AS DATE) IS NOT NULL) AND any_value(c.data_type) NOT LIKE 'TIMESTAMP%' THEN 'date'
+            WHEN bool_and(TRY_CAST(v AS TIMESTAMP) IS NOT NULL) THEN 'timestamp' ELSE 'string' END AS type,
+          CAST(NULL AS VARCHAR) AS error
+        FROM duckdb_columns() c LEFT JOIN ({values}) u ON u.table_name = c.table_name AND u.name = c.column_name
+        WHERE NOT c.internal AND c.table_name IN ({', '.join(f"'{t}'" for t in tables)})
+        GROUP BY ALL"""
 
 
 def _delete_plan() -> str:

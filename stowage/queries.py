@@ -11,7 +11,7 @@ from .functions import levels, paths, scalars
 from .operators import access, audit, content, drives, grid, lookup, query, usage
 from .plans import archive, expiry, removal, transfer
 from .session import materialize, shared_folder, ship_package
-from .sources import catalog, files, lines, schemas, snapshots, stores
+from .sources import catalog, csv_schemas, files, lines, schemas, snapshots, stores
 from .streaming import jobs
 
 USER = "ann"
@@ -205,10 +205,18 @@ def schema_to_hive(t: Tables) -> DataFrame:
     return described.select("ordinal", "name", "type").distinct()
 
 
+CSV_TABLES = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem")
+
+
 def infer_csv_schema(t: Tables) -> DataFrame:
+    """Columns of the given tables written as CSV files, a folder a table, described in one job."""
     folder = shared_folder(t.spark, "csv")
-    t.raw("customer").write.option("header", "true").csv(folder)
-    return schemas.describe_files(t.spark, folder, "csv").select("ordinal", "name", "type")
+    for name in CSV_TABLES:
+        t.raw(name).write.options(header="true", escape='"').csv(f"{folder}/{name}")
+    written = stores.path_table(t.spark, folder).where(F.col("path").endswith(".csv"))
+    table = F.regexp_extract("file", "/([a-z]+)/[^/]*$", 1)
+    described = csv_schemas.described_columns(csv_schemas.csv_columns(written), table)
+    return described.withColumnRenamed("file", "table_name")
 
 
 def infer_parquet_schema(t: Tables) -> DataFrame:

@@ -8,21 +8,11 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import (
-    BooleanType,
-    DataType,
-    DateType,
-    DoubleType,
-    IntegerType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-    TimestampType,
-)
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..functions import paths
+from .csv_schemas import csv_columns, described_columns
 from .stores import open_input, path_table, resolve
 
 FORMATS = ("avro", "csv", "parquet")
@@ -36,55 +26,44 @@ def hive_columns(schema: StructType) -> list[tuple[int, str, str]]:
 
 # --- CSV --------------------------------------------------------------------
 
-# Narrowest first, as Spark's own inference tries them.
-CSV_TYPES = (IntegerType(), LongType(), DoubleType(), BooleanType(), DateType(), TimestampType())
 
+def _own_file(path: Column) -> Column:
+    """Spark's own markers, stream logs and checksums."""
+    name = paths.file_name(path)
+    return (name == "_SUCCESS") | name.rlike(r"^\..*\.crc$") | path.contains("/_spark_metadata/")
 
-def _narrowest(df: DataFrame, names: list[str]) -> list[DataType]:
-    """The narrowest type all values of each text column can be cast to."""
-    fits = [
-        F.bool_and(F.col(f"`{n}`").isNull() | F.col(f"`{n}`").try_cast(kind).isNotNull())
-        for n in names
-        for kind in CSV_TYPES
-    ]
-    row = df.agg(*fits).first()
-    tries = len(CSV_TYPES)
-    return [
-        next((k for k, fit in zip(CSV_TYPES, row[i * tries:(i + 1) * tries]) if fit), StringType())
-        for i in range(len(names))
-    ]
 
+def _data_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return path_table(spark, path).where(~_own_file(F.col("path")))
 
-def csv_schema(spark: SparkSession, path: str, sep: str = ",", all_strings: bool = False) -> StructType:
-    """Header names with inferred types; columns without a name are called ``col<N>``.
 
-    Lines may have more fields than the header; those fields count as columns.
+def csv_schema(spark: SparkSession, path: str | list[str], sep: str = ",", all_strings: bool = False) -> StructType:
+    """Header names with the types that fit the values of all files; columns without a name are called ``col<N>``.
+
+    Lines may have more fields than the header; those fields count as columns. A file that cannot be read fails.
     """
-    options = {"sep": sep, "header": "true"}
-    typed = spark.read.options(inferSchema="true", **options).csv(path).schema
-    unquoted = F.regexp_replace("value", '"[^"]*"', "")
-    separators = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit("")))
-    widest = spark.read.text(path).agg(F.max(separators).alias("n")).first()["n"]
-    width = max(len(typed), (widest // len(sep) if widest is not None else -1) + 1)
-    names = [f"col{i + 1}" for i in range(width)]
-    for i, found in enumerate(typed.fields):
-        if found.name != f"_c{i}":
-            names[i] = found.name
-    strings = StructType([StructField(n, StringType()) for n in names])
-    if all_strings:
-        return strings
-    surplus = names[len(typed):]
-    kinds = [f.dataType for f in typed.fields]
-    if surplus:
-        wide = spark.read.options(enforceSchema="true", **options).schema(strings).csv(path)
-        kinds += _narrowest(wide, surplus)
-    return StructType([StructField(n, k) for n, k in zip(names, kinds)])
-
-
-def read_csv(spark: SparkSession, path: str, sep: str = ",", all_strings: bool = False) -> DataFrame:
+    found = described_columns(csv_columns(_data_files(spark, path), sep), F.lit("")).orderBy("ordinal").collect()
+    problem = next((r for r in found if r["error"] is not None), None)
+    if problem:
+        raise ValueError(f"{problem['file']}: {problem['error']}")
+    kinds = (r["type"] if not all_strings else "string" for r in found)
+    return StructType([StructField(r["name"], _type_named(kind)) for r, kind in zip(found, kinds)])
+
+
+def _type_named(name: str) -> DataType:
+    return StructType.fromDDL(f"c {name}").fields[0].dataType
+
+
+#: Quotes inside quoted fields are doubled, as the description reads them.
+CSV_READING = {"header": "true", "enforceSchema": "true", "escape": '"'}
+
+
+def read_csv(
+    spark: SparkSession, path: str, sep: str = ",", all_strings: bool = False, multi_line: bool = False
+) -> DataFrame:
+    """The rows under `csv_schema`; `multi_line` for quoted line breaks, which keep Spark from splitting files."""
     schema = csv_schema(spark, path, sep, all_strings)
-    options = {"sep": sep, "header": "true", "enforceSchema": "true"}
-    return spark.read.options(**options).schema(schema).csv(path)
+    return spark.read.options(sep=sep, multiLine=multi_line, **CSV_READING).schema(schema).csv(path)
 
 
 # --- Parquet ----------------------------------------------------------------
@@ -225,14 +204,10 @@ def describe_files(
     Parquet and Avro files are described from their headers by the executors, whatever their
     names; any file that cannot be read as one gives a row with `error`. Only Spark's own
     markers, stream logs and checksums are left out.
-    CSV needs the data, so each given path is one inference job.
+    CSV files are described from their values, all files in one job.
     """
     if fmt == "csv":
-        given = [path] if isinstance(path, str) else path
-        rows = [
-            (p, *column, None) for p in given for column in hive_columns(csv_schema(spark, p, sep))
-        ]
-        return spark.createDataFrame(rows, DESCRIPTION)
+        return described_columns(csv_columns(_data_files(spark, path), sep))
     if fmt not in FORMATS:
         raise ValueError(f"cannot describe {fmt} files, only {', '.join(FORMATS)}")
     of_file = {"parquet": _parquet_rows, "avro": _avro_rows}[fmt]
@@ -250,9 +225,7 @@ def describe_files(
                 frame = pd.DataFrame(described(file), columns=columns)
                 yield frame.astype({"ordinal": "Int32"})
 
-    name = paths.file_name(F.col("path"))
-    own = (name == "_SUCCESS") | name.rlike(r"^\..*\.crc$") | F.col("path").contains("/_spark_metadata/")
-    return path_table(spark, path).where(~own).select("path").mapInPandas(read, DESCRIPTION)
+    return _data_files(spark, path).select("path").mapInPandas(read, DESCRIPTION)
 
 
 def format_of(path: str) -> str:
@@ -308,7 +281,7 @@ def register_external(
             f"`{f.name}` {f.dataType.simpleString()}"
             for f in csv_schema(spark, path, sep, all_strings).fields
         )
-        options = f"header 'true', enforceSchema 'true', sep {_quoted(sep)}"
+        options = f"header 'true', enforceSchema 'true', escape '\"', sep {_quoted(sep)}"
         spark.sql(f"CREATE TABLE {name} ({columns}) USING csv OPTIONS ({options}) LOCATION {location}")
     else:
         if is_file:

@@ -1,12 +1,15 @@
+import csv
 import datetime as dt
 import decimal
+import gzip
+import io
 import json
 import os
 
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from stowage.sources import schemas as S
+from stowage.sources import csv_schemas as C, schemas as S
 
 
 def described(df):
@@ -37,6 +40,80 @@ def test_csv_surplus_columns(spark, folder):
     assert rows == [(1, "x", "p,q", 7, dt.date(2024, 1, 1)), (2, "y", "z", 8, None)]
 
 
+def plain_columns(data, sep=","):
+    """Header and values per column by reading the whole text at once."""
+    records = [r for r in csv.reader(io.StringIO(data, newline=""), delimiter=sep) if r]
+    width = max(map(len, records))
+    return records[0], [[r[i] for r in records[1:] if i < len(r) and r[i]] for i in range(width)]
+
+
+ODD = (
+    'id,"text, with ""signs""",at,"two\nlines",n\r\n'
+    + "".join(
+        f'{i},"line {i}\nand ""more"" of it,\r\n\n{"x" * (i % 23)}",2024-01-{i % 28 + 1:02},5" disc {i},{i * 10**9}\n'
+        for i in range(60)
+    )
+    + '61,plain,2024-02-01T10:00:00,"",,surplus,"7"\n\n62,"end'
+)
+
+
+@pytest.mark.parametrize("block", [7, 16, 40, 101, 1 << 20])
+def test_csv_records_across_blocks(spark, folder, block):
+    """Quotes with line breaks in them, wherever the blocks cut, give what reading the whole text gives."""
+    for name, text in {"odd": ODD, "mark": "\ufeffa,b\n1,2\n", "short": "only,a\n", "cr": "a\r1\r2\r"}.items():
+        with open(f"{folder}/{name}.csv", "w", newline="") as out:
+            out.write(text)
+    open(f"{folder}/empty.csv", "w").close()
+    with gzip.open(f"{folder}/packed.csv.gz", "wt", newline="") as out:
+        out.write(ODD)
+    files = spark.createDataFrame(
+        [(f"{folder}/{f}", os.path.getsize(f"{folder}/{f}")) for f in os.listdir(folder)] + [(f"{folder}/missing.csv", 9)],
+        "path string, length long")
+    found = {os.path.basename(r["file"]): r for r in C.csv_columns(files, block=block).collect()}
+    assert found.pop("missing.csv")["error"] and "empty.csv" not in found
+    header, values = plain_columns(ODD)
+    for name in ("odd.csv", "packed.csv.gz"):
+        row = found.pop(name)
+        assert (row["header"], row["error"]) == (header, None)
+        assert row["fits"] == [C.fitting(v) if v else C.ALL for v in values]
+        assert row["seen"] == [bool(v) for v in values]
+    assert {k: (r["header"], r["fits"], r["seen"]) for k, r in found.items()} == {
+        "mark.csv": (["a", "b"], [7, 7], [True, True]), "short.csv": (["only", "a"], [], []), "cr.csv": (["a"], [7], [True]),
+    }
+
+
+def test_csv_files_of_one_job(spark, folder):
+    write(f"{folder}/t/a.csv", "x,x,\n1,true,3000000000\n")
+    write(f"{folder}/t/b.csv", "x,x,\n1.5,,4\n")
+    os.mkdir(f"{folder}/t/sub")
+    write(f"{folder}/t/sub/c.csv", "y\n2024-13-01\n")
+    rows = [(os.path.basename(r["file"]), *r[1:4]) for r in S.describe_files(spark, f"{folder}/t", "csv").collect()]
+    assert sorted(rows) == [
+        ("a.csv", 0, "x0", "int"), ("a.csv", 1, "x1", "boolean"), ("a.csv", 2, "col3", "bigint"),
+        ("b.csv", 0, "x0", "double"), ("b.csv", 1, "x1", "string"), ("b.csv", 2, "col3", "int"), ("c.csv", 0, "y", "string"),
+    ]
+    both = S.csv_schema(spark, [f"{folder}/t/a.csv", f"{folder}/t/b.csv"])
+    assert both.simpleString() == "struct<x0:double,x1:boolean,col3:bigint>"
+
+
+def test_csv_open_quote(spark, folder, monkeypatch):
+    monkeypatch.setattr(C, "MAX_RECORD", 50)
+    row = C.OfFile("nowhere", ",")
+    row.take({"error": None, "inside": False, "start": 0, "size": 100, "first_end": 0, "last_begin": 10, "after": True,
+              "header": ["a"], "fits": [], "seen": []})
+    assert "left open" in row.row()[-1]
+
+
+@pytest.mark.parametrize("values,type_", [
+    (["1", "-2", "+3"], "int"), (["2147483648"], "bigint"), (["9" * 19], "double"), (["1", "2.5", ".5e3", "NaN"], "double"),
+    (["TRUE", "false"], "boolean"), (["2024-02-29"], "date"), (["2023-02-29"], None), (["2024-01-01", "2024-01-01 10:00:00Z"], "timestamp"),
+    (["1", "true"], None), ([" 1"], None), (["1,5"], None),
+])
+def test_narrowest_type(values, type_):
+    bits = C.fitting(values)
+    assert next((t for i, t in enumerate(C.TYPES) if bits >> i & 1), None) == type_
+
+
 def test_csv_separator(spark, folder):
     path = write(f"{folder}/d/pipe.csv", "a|b\n1|2.5\n")
     assert described(S.describe_files(spark, path, "csv", "|")) == [(0, "a", "int"), (1, "b", "double")]
@@ -44,20 +121,20 @@ def test_csv_separator(spark, folder):
 
 PERSON = T.StructType(
     [
-        T.StructField("name", T.StringType()), T.StructField("idB", T.ByteType()),
-        T.StructField("ssn", T.LongType()), T.StructField("weight", T.FloatType()),
-        T.StructField("code1", T.DoubleType()), T.StructField("aBigDec", T.DecimalType(38, 10)),
-        T.StructField("areaCodeS", T.ShortType()), T.StructField("phoneI", T.IntegerType()),
+        T.StructField("name", T.StringType()), T.StructField("grade", T.ByteType()),
+        T.StructField("number", T.LongType()), T.StructField("weight", T.FloatType()),
+        T.StructField("ratio", T.DoubleType()), T.StructField("share", T.DecimalType(38, 10)),
+        T.StructField("prefix", T.ShortType()), T.StructField("extension", T.IntegerType()),
         T.StructField("born", T.DateType()), T.StructField("seen", T.TimestampType()),
         T.StructField("raw", T.BinaryType()), T.StructField("ok", T.BooleanType()),
-        T.StructField("miscTraits", T.MapType(T.StringType(), T.IntegerType())),
-        T.StructField("randomNumbers", T.ArrayType(T.IntegerType())),
+        T.StructField("marks", T.MapType(T.StringType(), T.IntegerType())),
+        T.StructField("draws", T.ArrayType(T.IntegerType())),
         T.StructField(
-            "numericData",
+            "digits",
             T.StructType(
                 [
-                    T.StructField("phones", T.ArrayType(T.StructType([T.StructField("areaCodeS", T.ShortType())]))),
-                    T.StructField("twoMoreIds", T.ArrayType(T.LongType())),
+                    T.StructField("phones", T.ArrayType(T.StructType([T.StructField("prefix", T.ShortType())]))),
+                    T.StructField("others", T.ArrayType(T.LongType())),
                 ]
             ),
         ),
@@ -74,7 +151,7 @@ def test_parquet_types_are_sparks_own(spark, folder):
     files = [f for f in os.listdir(f"{folder}/p") if f.endswith(".parquet")]
     assert described(S.describe_files(spark, f"{folder}/p/{files[0]}", "parquet")) == want
     nested = dict((n, t) for _, n, t in want)
-    assert nested["numericData"] == "struct<phones:array<struct<areaCodeS:smallint>>,twoMoreIds:array<bigint>>"
+    assert nested["digits"] == "struct<phones:array<struct<prefix:smallint>>,others:array<bigint>>"
 
 
 def zigzag(n):
@@ -90,7 +167,7 @@ def zigzag(n):
 AVRO = {
     "type": "record", "name": "Person", "fields": [
         {"name": "name", "type": ["null", "string"]}, {"name": "id", "type": "int"},
-        {"name": "ssn", "type": "long"}, {"name": "weight", "type": "float"},
+        {"name": "number", "type": "long"}, {"name": "weight", "type": "float"},
         {"name": "day", "type": {"type": "int", "logicalType": "date"}},
         {"name": "at", "type": {"type": "long", "logicalType": "timestamp-millis"}},
         {"name": "price", "type": {"type": "bytes", "logicalType": "decimal", "precision": 9, "scale": 2}},
