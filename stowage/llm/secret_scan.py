@@ -60,43 +60,132 @@ HALVES = (("[0-4]+", "0"), ("[5-9]+", "5"), ("(?i)[aeiou]+", "a"), ("(?i)[b-df-h
 #: p-values are held as whole tenths of a decade, rounded towards 1.
 DEEPEST = 400
 SPAN = "array<struct<start:int,end:int>>"
+TESTED = "array<struct<start:int,end:int,test:struct<stratum:string,depth:int>>>"
+#: Values of one block of a running sum, and code points of one slice of a text that is cut up.
+BLOCK, SLICE = 256, 4096
 
 
-def match_spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
-    """Start and end (code points, end exclusive) of each match, leftmost and non-overlapping.
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """Each value combined with all before it. Lists are only appended to within blocks of BLOCK values
+    and over the blocks, so the work does not grow with the square of the number of values."""
+    def begin(kind: str) -> Column:
+        return F.struct(zero.alias("all"), F.array().cast(f"array<{kind}>").alias("each"))
+
+    def inside(state: Column, value: Column) -> Column:
+        return let(
+            combine(state["all"], value),
+            lambda now: F.struct(now.alias("all"), F.concat(state["each"], F.array(now)).alias("each")),
+        )
+
+    def before(state: Column, block: Column) -> Column:
+        return F.struct(
+            combine(state["all"], block["all"]).alias("all"), F.concat(state["each"], F.array(state["all"])).alias("each")
+        )
 
-    The matches and the text between them alternate, so their lengths add up to the
-    positions. Matches whose `group` is shorter than `least` are dropped afterwards.
+    def joined(blocks: Column) -> Column:
+        offsets = F.aggregate(blocks, begin("int"), before, lambda state: state["each"])
+        return F.flatten(F.zip_with(
+            blocks, offsets, lambda block, offset: F.transform(block["each"], lambda value: combine(offset, value))
+        ))
+
+    def cut(values: Column) -> Column:
+        last = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda i: F.aggregate(F.slice(values, i * BLOCK + 1, F.lit(BLOCK)), begin("int"), inside),
+        )
+
+    return let(let(values, cut), joined)
+
+
+def matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """Start, end (code points, end exclusive), text and length of a group of each match, leftmost and non-overlapping.
+
+    The matches and the text between them alternate, so their lengths add up to the positions.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    def placed(parts: Column) -> Column:
+        steps = F.transform(parts, lambda p: p["gap"] + F.char_length(p["match"]))
+        ends = running(steps, lambda a, b: a + b, F.lit(0))
+        return F.zip_with(
+            parts, ends,
+            lambda p, end: F.struct(
+                (end - F.char_length(p["match"])).alias("start"), end.alias("end"), p["match"].alias("match"),
+                p["group"].alias("group"),
+            ),
+        )
+
     parts = F.arrays_zip(
-        F.transform(between, F.char_length).alias("gap"),
-        F.transform(found, F.char_length).alias("match"),
+        F.transform(between, F.char_length).alias("gap"), found.alias("match"),
         F.transform(measured, F.char_length).alias("group"),
     )
-    empty = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("spans"))
-    empty = empty.withField("spans", F.array().cast(SPAN))
-
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + part["gap"]
-        end = start + F.coalesce(part["match"], F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"))
-        kept = part["match"].isNotNull() & (part["group"] >= least)
-        return F.struct(
-            end.alias("at"),
-            F.when(kept, F.concat(state["spans"], F.array(span)))
-            .otherwise(state["spans"]).alias("spans"),
-        )
+    # There is one more piece between the matches than matches.
+    return let(F.filter(parts, lambda p: p["match"].isNotNull()), placed)
+
 
-    spans = F.aggregate(parts, empty, step, lambda state: state["spans"])
+def match_spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
+    """Start and end of each match of which `group` is at least `least` long."""
+    kept = F.filter(matches(text, pattern, group), lambda m: m["group"] >= least)
+    spans = F.transform(kept, lambda m: F.struct(m["start"], m["end"]))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is computed once, however often `use` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def merged_spans(spans: Column) -> Column:
+    """Spans in order of their start with those that touch or overlap as one, as (start, end)."""
+
+    def closed(parts: Column) -> Column:
+        # A span opens one if no end before reaches it, and closes it if its reach ends before the next.
+        reach = F.transform(parts, lambda p: p["reach"])
+        before = F.concat(F.array(F.lit(-1)), F.slice(reach, 1, F.greatest(F.size(reach) - 1, F.lit(0))))
+        after = F.slice(F.transform(parts, lambda p: p["start"]), 2, F.size(parts))
+        opening = F.filter(
+            F.zip_with(parts, before, lambda p, r: F.when(p["start"] > r, p["start"])), lambda s: s.isNotNull()
+        )
+        closing = F.filter(
+            F.zip_with(parts, after, lambda p, s: F.when(s.isNull() | (s > p["reach"]), p["reach"])), lambda e: e.isNotNull()
+        )
+        return F.zip_with(opening, closing, lambda s, e: F.struct(s.alias("start"), e.alias("end")))
+
+    def reached(some: Column) -> Column:
+        ends = F.transform(some, lambda s: s["end"])
+        return F.zip_with(
+            some, running(ends, F.greatest, F.lit(0)),
+            lambda s, reach: F.struct(s["start"].alias("start"), reach.alias("reach")),
+        )
+
+    merged = let(let(spans, reached), closed)
+    return F.when(F.size(spans) > 0, merged).otherwise(F.array().cast(SPAN))
+
+
+def uncovered(runs: Column, spans: Column) -> Column:
+    """The runs, in order of their start, that the spans (in order of theirs) leave a character of."""
+
+    def marked(both: Column) -> Column:
+        # The last merged span that begins no later than a run is the only one that can cover it.
+        reach = running(F.transform(both, lambda b: b["reach"]), F.greatest, F.lit(-1))
+        kept = F.zip_with(both, reach, lambda b, end: F.when(b["run"]["end"] > end, b["run"]))
+        return F.filter(kept, lambda run: run.isNotNull())
+
+    def together(of: Column) -> Column:
+        covers = F.transform(of["spans"], lambda s: F.struct(
+            s["start"].alias("start"), F.lit(0).alias("later"), s["end"].alias("reach"),
+            F.when(F.lit(False), F.get(of["runs"], F.lit(0))).alias("run"),
+        ))
+        tested = F.transform(of["runs"], lambda r: F.struct(
+            r["start"].alias("start"), F.lit(1).alias("later"), F.lit(-1).alias("reach"), r.alias("run"),
+        ))
+        return F.array_sort(F.concat(covers, tested))
+
+    both = F.struct(runs.alias("runs"), merged_spans(spans).alias("spans"))
+    return F.when(F.size(runs) > 0, let(let(both, together), marked)).otherwise(runs)
 
 
 def depth_of(score: Column) -> Column:
@@ -185,12 +274,11 @@ def battery(run: Column) -> Column:
 
 def run_spans(text: Column) -> Column:
     """Candidates with their place, stratum and depth."""
-    return F.transform(
-        match_spans(text, RUN),
-        lambda s: s.withField(
-            "test", let(F.substring(text, s["start"] + 1, s["end"] - s["start"]), battery)
-        ),
+    tested = F.transform(
+        matches(text, RUN),
+        lambda m: F.struct(m["start"], m["end"], let(m["match"], battery).alias("test")),
     )
+    return F.when(text.rlike(RUN), tested).otherwise(F.array().cast(TESTED))
 
 
 def discovery_cuts(candidates: DataFrame, rate: float) -> DataFrame:
@@ -231,21 +319,12 @@ def secret_spans(docs: DataFrame, text_column: str = "text", rate: float = 0.01)
         F.concat(*[of_kind(match_spans(text, *shape), k) for k, shape in enumerate(SHAPES.values())])
     )
 
-    def covered(shaped: Column, run: Column) -> Column:
-        """Whether spans in order of their start leave no character of a run."""
-        reached = F.aggregate(
-            shaped, run["start"],
-            lambda at, s: F.when(s["start"] <= at, F.greatest(at, s["end"])).otherwise(at),
-        )
-        return reached >= run["end"]
-
     def discovered(shaped: Column, runs: Column, cut: Column) -> Column:
-        clear = F.filter(
+        deep = F.filter(
             runs,
-            lambda r: (r["test"]["depth"] >= F.coalesce(F.try_element_at(cut, r["test"]["stratum"]), F.lit(DEEPEST + 1)))
-            & ~covered(shaped, r),
+            lambda r: r["test"]["depth"] >= F.coalesce(F.try_element_at(cut, r["test"]["stratum"]), F.lit(DEEPEST + 1)),
         )
-        return of_kind(clear, len(SHAPES))
+        return of_kind(let(deep, lambda some: uncovered(some, shaped)), len(SHAPES))
 
     names = [c for c in docs.columns if c != "secrets"]
     own = {"_base": base, "_runs": run_spans(text), "_cuts": cuts}
@@ -297,22 +376,30 @@ def redact_secrets(
     """The input with each found span (overlapping ones as one) replaced by `mark`."""
     found = secret_spans(docs, text_column, rate)
     text = F.col(f"`{text_column}`")
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(state: Column, span: Column) -> Column:
-        between = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        apart = span["start"] >= state["at"]
-        # Spans that touch or overlap the one before only move its end.
-        fresh = apart & ((span["start"] > state["at"]) | (state["at"] == 0))
-        return F.struct(
-            F.when(fresh, F.concat(state["out"], between, F.lit(mark))).otherwise(state["out"]).alias("out"),
-            F.greatest(state["at"], span["end"]).alias("at"),
-        )
 
-    clean = F.aggregate(
-        F.col("secrets"), begin, step,
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))),
+    def kept(of: Column) -> Column:
+        """The text between the spans, each piece put together from the slices it lies in."""
+        begins = F.concat(F.array(F.lit(0)), F.transform(of["spans"], lambda s: s["end"]))
+        ends = F.concat(F.transform(of["spans"], lambda s: s["start"]), F.array(of["length"]))
+
+        def piece(begin: Column, end: Column) -> Column:
+            first, last = F.floor(begin / SLICE).cast("int"), F.floor((end - 1) / SLICE).cast("int")
+            some = F.transform(
+                F.sequence(first, F.greatest(first, last)),
+                lambda i: F.substring(
+                    F.get(of["slices"], i), F.greatest(begin - i * SLICE, F.lit(0)) + 1,
+                    F.least(end - i * SLICE, F.lit(SLICE)) - F.greatest(begin - i * SLICE, F.lit(0)),
+                ),
+            )
+            return F.when(begin < end, F.array_join(some, "")).otherwise("")
+
+        return F.array_join(F.zip_with(begins, ends, piece), mark)
+
+    parts = F.struct(
+        merged_spans(F.col("secrets")).alias("spans"), F.char_length(text).alias("length"),
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SLICE}}}"), F.lit(0)).alias("slices"),
     )
+    clean = let(parts, kept)
     return found.select(
         *[
             F.when(F.size("secrets") > 0, clean).otherwise(text).alias(c)
