@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -17,6 +18,8 @@ NO_PAIR = np.int32(2**31 - 1)
 REMEMBERED = 400_000
 #: Chunks merged in one set of arrays.
 AT_ONCE = 65_536
+#: Symbols from which a chunk is merged by itself, touching only the places whose pairs changed.
+LONG = 1024
 
 
 class PieceModel:
@@ -81,6 +84,7 @@ class PieceModel:
             np.logical_or.at(self.careful, part[self.ranks <= own[part]], True)
         self.careful &= own != NO_PAIR
         self.size = size
+        self.rows = {key: row for row, key in enumerate(self.keys.tolist())}
 
     def _cuts(self, pieces: dict[str, float]) -> None:
         """Places no piece reaches across: the merges on either side are independent."""
@@ -176,17 +180,111 @@ class PieceModel:
             pair[near] = self.lookup(symbol[near], symbol[near + 1])
         return total
 
+    def merge_long(self, chunk: str) -> int:
+        """Tokens of one long chunk.
+
+        Pairs wait in buckets by rank. A round takes the lowest bucket, merges all its pairs from the left
+        and looks again only at the pairs beside them, so a chunk costs what its merges cost.
+        """
+        points = np.frombuffer(chunk.encode("utf-32-le"), np.uint32)
+        symbol = self.of_character[points].astype(np.int64)
+        n = len(symbol)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        pair = np.full(n + 1, -1, np.int64)  # of each symbol with the next; the last place stands for none
+        pair[: n - 1] = self.lookup(symbol[:-1], symbol[1:])
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[pair[at] >= 0]
+            if len(at):
+                rank = self.ranks[pair[at]]
+                order = np.argsort(rank, kind="stable")
+                at, rank = at[order], rank[order]
+                cuts = np.flatnonzero(np.diff(rank)) + 1
+                for number, some in zip(rank[np.r_[0, cuts]].tolist(), np.split(at, cuts)):
+                    if number not in waiting:
+                        waiting[number] = []
+                        heapq.heappush(ranks, number)
+                    waiting[number].append(some)
+
+        alive = np.ones(n, bool)
+        wait(np.arange(n - 1))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[(pair[at] >= 0) & (self.ranks[pair[at]] == rank)]
+            if not len(at):
+                continue
+            if self.careful[self.merged[pair[at]]].any():
+                wait(self._one_by_one(rank, at, symbol, after, before, pair, alive))
+                continue
+            # Of pairs that overlap, the first, third, ... of each run of neighbours merge.
+            starts = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])
+            since = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))
+            at = at[since % 2 == 0]
+            right = after[at]
+            symbol[at] = self.merged[pair[at]]
+            alive[right], pair[right] = False, -1
+            after[at] = after[right]
+            inner = at[after[at] < n]
+            before[after[inner]] = inner
+            again = np.unique(np.r_[at, before[at]])
+            again = again[again >= 0]
+            last = again[after[again] >= n]
+            again = again[after[again] < n]
+            pair[last] = -1
+            pair[again] = self.lookup(symbol[again], symbol[after[again]])
+            wait(again)
+        left = symbol[alive]
+        width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF).astype(np.int64)
+        return int(self.cost[left[left >= 0]].sum() + width[self.of_character[points] < 0].sum())
+
+    def _one_by_one(self, rank: int, at: np.ndarray, symbol, after, before, pair, alive) -> np.ndarray:
+        """Merge the pairs of one rank from the left, and at once any of a better or equal rank that this forms.
+
+        Returns the places whose pairs of worse ranks have to wait again.
+        """
+        n, later = len(symbol), []
+        due = [(rank, int(i)) for i in at]  # sorted, so a heap
+        while due:
+            now, i = heapq.heappop(due)
+            row = int(pair[i])
+            if row < 0 or self.ranks[row] != now:
+                continue
+            right = int(after[i])
+            symbol[i] = self.merged[row]
+            alive[right], pair[right] = False, -1
+            far = int(after[right])
+            after[i] = far
+            if far < n:
+                before[far] = i
+            for j in (int(before[i]), i):
+                if j < 0:
+                    continue
+                k = int(after[j])
+                found = self.rows.get(int(symbol[j]) * self.size + int(symbol[k]), -1) if k < n and symbol[j] >= 0 and symbol[k] >= 0 else -1
+                pair[j] = found
+                if found >= 0:
+                    if self.ranks[found] <= rank:
+                        heapq.heappush(due, (int(self.ranks[found]), j))
+                    else:
+                        later.append(j)
+        return np.unique(np.array(later, np.int64))
+
     def count(self, texts: list[str], known: dict[str, int]) -> list[int]:
         """Tokens of each text; `known` remembers chunks from earlier calls."""
         cut = [self.chunks(text) for text in texts]
         new: dict[str, None] = {}
         for chunks in cut:
-            new.update(dict.fromkeys(c for c in set(chunks) if c not in known))
+            new.update(dict.fromkeys(c for c in set(chunks) if len(c) < LONG and c not in known))
         fresh = list(new)
         for i in range(0, len(fresh), AT_ONCE):
             some = fresh[i : i + AT_ONCE]
             known.update(zip(some, self.merge(some).tolist()))
-        out = [sum(map(known.__getitem__, chunks)) for chunks in cut]
+        out = [
+            sum(known[c] if len(c) < LONG else self.merge_long(c) for c in chunks) for chunks in cut
+        ]
         if len(known) > REMEMBERED:
             known.clear()
         return out
