@@ -1,9 +1,10 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source is a queue of its documents in hash order, up to three times round. A document's virtual
-finish time is what its source has sent by its end over the source's target; the mix takes
-documents by finish time until the words of all sources are used up, and so serves every
-source in proportion to its target.
+finish time is what its source has sent by its end over the source's target, so a mix in order of finish time
+serves every source in proportion to its target, and its budget, the sum of the targets, lasts to the time 1. What
+ends by then is taken. Of the documents that run across it, one a source, those that leave their source nearer its
+target are taken in order of finish time while the budget is not used up.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stowage.llm.ranges import running_sum
+from stowage.operators.scale import running_total
 from stowage.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,8 +20,8 @@ WEIGHTS = (1, 2, 3)
 PASSES = 3
 #: Rows of one part of a source while its sizes are added up.
 PART_ROWS = 50_000
-#: Finish times are narrowed to one of BUCKETS intervals until at most FEW documents are left.
-BUCKETS, FEW = 1024, 1024
+#: Rows made at once of equal rows that were counted.
+REPEATED = 10_000
 
 
 def size_of(text: Column) -> Column:
@@ -82,100 +84,87 @@ def source_targets(sizes: DataFrame) -> tuple[DataFrame, int]:
     return sources.withColumn("target", target), budget
 
 
-def last_taken(queue: DataFrame, budget: int) -> tuple[float, int]:
-    """Finish time and source number of the last document the mix takes.
+def crossing_documents(sent: DataFrame, budget: int) -> DataFrame:
+    """A row per source with the document that runs across its target: where it stands, how many of its
+    equals are taken, how many there are, and the whole rounds before.
 
-    `queue` has a row per document and pass with finish time, source number and size. The interval
-    that holds the end of the budget is cut into BUCKETS until it holds few documents; only
-    sums per bucket and those few reach the driver.
+    `sent` has a row per source and place: number, source_size, target, size, rows (equal ones) and the
+    words `before`. Equal documents follow each other in the queue.
     """
-    low, high = 0.0, queue.agg(F.max("finish")).first()[0]
-    if high is None:
-        return 0.0, -1
-    high = high * (1 + 1e-9) + 1e-9
-    taken, inside = 0, None
-    while True:
-        width = (high - low) / BUCKETS
-        here = queue.where((F.col("finish") >= low) & (F.col("finish") < high))
-        bucket = F.least(F.floor((F.col("finish") - low) / width), F.lit(BUCKETS - 1))
-        sums = sorted(map(tuple, here.groupBy(bucket).agg(F.sum("size"), F.count(F.lit(1))).collect()))
-        for number, words, count in sums:
-            if taken + words > budget:
-                break
-            taken += words
-        else:
-            return float("inf"), 0  # the budget is never used up
-        same = inside == count  # the rounding of floats cannot part them further
-        low, high, inside = low + number * width, low + (number + 1) * width, count
-        if number == BUCKETS - 1:
-            high = here.agg(F.max("finish")).first()[0] * (1 + 1e-9) + 1e-9
-        if count <= FEW or same:
-            break
-    # Borders of the last interval may round either way, so all before it are summed afresh.
-    taken = queue.where(F.col("finish") < low).agg(F.sum("size")).first()[0] or 0
-    edge, last = low, (low, -1)
-    rows = queue.where((F.col("finish") >= edge) & (F.col("finish") < high))
-    for finish, number, size in rows.orderBy("finish", "number").select("finish", "number", "size").toLocalIterator():
-        if taken + size > budget:
-            break
-        taken += size
-        last = (finish, number)
-    return last
+    rounds = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(PASSES)).cast("int")
+    rest = F.col("target") - F.col("rounds") * F.col("source_size")
+    across = (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("rows") * F.col("size"))
+    whole = F.floor((F.col("rest") - F.col("before")) / F.col("size"))
+    ends = sent.withColumn("rounds", rounds).withColumn("rest", rest).where(across & (F.col("rounds") < PASSES))
+    ends = ends.withColumn("whole", whole).withColumn(
+        "missing", F.col("rest") - F.col("before") - F.col("whole") * F.col("size")
+    )
+    finish = (F.col("target") - F.col("missing") + F.col("size")) / F.col("target")
+    ends = materialize(ends.withColumn("finish", finish).withColumn("one", F.lit(0)), "ends")
+    left = ends.agg(F.sum("missing")).first()[0] or 0.0  # all that ends by the time 1 is within the budget
+    nearer = ends.where(F.col("size") - F.col("missing") < F.col("missing"))
+    queue = running_total(nearer, ["one"], ["finish", "number"], F.col("size"), "upto")
+    taken = queue.where(F.col("upto") - F.col("size") < left).select("number", F.lit(1).alias("more"))
+    return ends.join(taken, "number", "left").select(
+        "number", "part", "place", "rows",
+        (F.col("whole") + F.coalesce("more", F.lit(0))).cast("bigint").alias("ahead"),
+    )
 
 
 def mix_plan(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     source_column: str = "source", seed: int = 11,
 ) -> tuple[DataFrame, DataFrame, int]:
-    """Measured documents, a row per source that says how far its queue is taken, and the parts.
+    """Measured documents (equal ones as one row with their number), a row per source that says how far its
+    queue is taken, and the parts.
 
     A source's row has its size, target, whole `rounds` and the (part, place) up to which one more
-    round goes; part -1 takes no more. Its size is that of a table of sources, not of documents.
+    round goes, with how many of the rows at that place; part -1 takes no more. Its size is that of a table of
+    sources, not of documents.
     """
-    spark = docs.sparkSession
     measured = materialize(
         docs.select(
             F.col(id_column).alias("id"), F.col(source_column).alias("source"),
             size_of(F.col(text_column)).alias("size"),
             place_of(id_column, text_column, seed).alias("place"),
-        ),
+        ).groupBy("id", "source", "size", "place").agg(F.count(F.lit(1)).alias("rows")),
         "sizes",
     )
     parts = 1 + measured.count() // PART_ROWS
-    sources, budget = source_targets(measured)
+    sources, budget = source_targets(measured.withColumn("size", F.col("size") * F.col("rows")))
     sources = materialize(sources, "targets")
     placed = measured.join(
         sources.select("source", "number", "source_size", "target"),
         measured["source"].eqNullSafe(sources["source"]),
-    ).select("number", "source_size", "target", "size", "place", part_of(F.col("place"), parts).alias("part"))
-    sent = materialize(
-        running_sum(placed.where("target > 0 AND size > 0"), "number", "part", ["place"], F.col("size"), "before"),
-        "queue",
-    )
-    queue = sent.withColumn("pass", F.explode(F.array(*map(F.lit, range(PASSES))))).withColumn(
-        "finish",
-        (F.col("pass") * F.col("source_size") + F.col("before") + F.col("size")) / F.col("target"),
+    ).where("target > 0 AND size > 0").groupBy("number", "source_size", "target", "place").agg(
+        F.max("size").alias("size"), F.sum("rows").alias("rows")
     )
-    finish, number = last_taken(queue.select("finish", "number", "size"), budget)
-    taken = (F.col("finish") < finish) | ((F.col("finish") == finish) & (F.col("number") <= number))
-    ends = queue.where(taken).groupBy("number").agg(
-        F.max(F.struct("pass", "part", "place")).alias("end")
+    sent = running_sum(
+        placed.withColumn("part", part_of(F.col("place"), parts)), "number", "part", ["place"],
+        F.col("size") * F.col("rows"), "before",
     )
+    ends = crossing_documents(materialize(sent, "queue"), budget)
+    rounds = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(PASSES)))
     plan = sources.join(ends, "number", "left").select(
-        "source", "source_size", "target",
-        F.coalesce("end.pass", F.lit(0)).alias("rounds"),
-        F.coalesce("end.part", F.lit(-1)).alias("end_part"),
-        F.coalesce("end.place", F.lit(0)).alias("end_place"),
+        "number", "source", "source_size", "target",
+        F.coalesce(rounds, F.lit(0)).cast("int").alias("rounds"),
+        F.coalesce("part", F.lit(-1)).alias("end_part"),
+        F.coalesce("place", F.lit(0)).alias("end_place"),
+        F.coalesce("ahead", F.lit(0)).alias("end_ahead"),
+        F.coalesce("rows", F.lit(0)).alias("end_rows"),
     )
     return measured, materialize(plan, "mix"), parts
 
 
-def copies_of(place: Column, parts: int) -> Column:
-    """How often the mix takes a document of its source's plan row."""
+def at_end(place: Column, parts: int) -> Column:
+    return (part_of(place, parts) == F.col("end_part")) & (place == F.col("end_place"))
+
+
+def copies_of(place: Column, parts: int, number: Column) -> Column:
+    """How often the mix takes a document of its source's plan row; `number` counts its equals from 0."""
     part = part_of(place, parts)
-    one_more = (part < F.col("end_part")) | (
-        (part == F.col("end_part")) & (place <= F.col("end_place"))
-    )
+    before = (part < F.col("end_part")) | ((part == F.col("end_part")) & (place < F.col("end_place")))
+    one_more = before | (at_end(place, parts) & (number < F.col("end_ahead")))
     return F.col("rounds") + F.when(one_more, 1).otherwise(0)
 
 
@@ -183,12 +172,15 @@ def mix_sources(docs: DataFrame, seed: int = 11) -> DataFrame:
     """doc_id, size, source_size, target and taken words of every row.
 
     Null texts have no words; documents without words are taken zero words. A null source is a source of
-    its own, the last one. Rows equal in id and text share a place and are taken alike.
+    its own, the last one. Rows equal in id and text follow each other in the queue, and the cut may fall between them.
     """
     measured, plan, parts = mix_plan(docs, seed=seed)
-    return measured.join(plan, measured["source"].eqNullSafe(plan["source"])).select(
+    some = F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / REPEATED)))
+    runs = measured.join(plan, measured["source"].eqNullSafe(plan["source"])).withColumn("_run", some)
+    each = F.sequence(F.col("_run") * REPEATED, F.least(F.col("rows"), (F.col("_run") + 1) * REPEATED) - 1)
+    return runs.withColumn("_number", F.explode(each)).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target",
-        (F.col("size") * copies_of(F.col("place"), parts)).alias("taken"),
+        (F.col("size") * copies_of(F.col("place"), parts, F.col("_number"))).alias("taken"),
     )
 
 
@@ -197,7 +189,8 @@ def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
 
     Only the plan row of its source is joined to a document, so texts are not shuffled
     unless there are too many sources to send to every task. Documents without words
-    are kept once: they use none of the budget.
+    are kept once: they use none of the budget. Which of the rows equal in id, text and source goes a round
+    more where the cut falls between them is not said.
     """
     _, plan, parts = mix_plan(docs, seed=seed)
     rows = docs.select(
@@ -205,10 +198,14 @@ def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
         F.col("source").alias("_source"),
         (size_of(F.col("text")) == 0).alias("_empty"),
         place_of("doc_id", "text", seed).alias("_place"),
-    )
-    copies = F.when(F.col("_empty"), 1).otherwise(copies_of(F.col("_place"), parts))
+    ).join(plan, F.col("_source").eqNullSafe(F.col("source")))
+    cut = at_end(F.col("_place"), parts) & (F.col("end_rows") > 1) & ~F.col("_empty")
+    equal = materialize(rows.where(cut).withColumn("_slot", F.spark_partition_id()), "equal")
+    equal = running_sum(equal, "number", "_slot", [F.xxhash64("_doc")], F.lit(1), "_number").drop("_slot")
+    rows = rows.where(~cut).withColumn("_number", F.lit(0).cast("bigint")).unionByName(equal)
+    copies = F.when(F.col("_empty"), 1).otherwise(copies_of(F.col("_place"), parts, F.col("_number")))
     return (
-        rows.join(plan, F.col("_source").eqNullSafe(F.col("source"))).withColumn("_copies", copies)
+        rows.withColumn("_copies", copies)
         .where("_copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .select("_doc.*")
     )

@@ -167,7 +167,6 @@ def plain_targets(sizes):
 
 def test_mixture(spark, monkeypatch):
     monkeypatch.setattr(mixing, "PART_ROWS", 20)
-    monkeypatch.setattr(mixing, "FEW", 4)
     rows = [(9000, None, "src0"), (9001, "", None), (9002, "one two", None), (None, "no id", "tiny"),
             (9003, "same text", "twice"), (9003, "same text", "twice"), (9004, "long " * 5_000, "src1")]
     docs = documents(spark).select("doc_id", "text", "source").union(
@@ -190,10 +189,9 @@ def test_mixture(spark, monkeypatch):
         assert row["target"] == pytest.approx(targets[source])
         assert row["size"] == 0 and row["taken"] == 0 or row["taken"] in [row["size"] * i for i in range(4)]
         taken[source] += row["taken"]
-    most = max(largest.values())
     for source in sizes:
-        assert abs(taken[source] - targets[source]) <= most
-    assert sum(taken.values()) <= sum(sizes.values())
+        assert abs(taken[source] - targets[source]) <= largest[source]
+    assert sum(taken.values()) <= sum(sizes.values()) + max(largest.values())
     repeated, copies = mixing.mixed(docs), defaultdict(int)
     for row in got:  # documents without words stay once
         copies[row["doc_id"]] += row["taken"] // row["size"] if row["size"] else 1
@@ -204,6 +202,63 @@ def test_mixture(spark, monkeypatch):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def plain_mix(rows, docs_order):
+    """Words taken per source: the queue of each source one document after the other, then the crossing ones."""
+    sizes = defaultdict(int)
+    for _, _, source, n in rows:
+        sizes[source] += n
+    targets, taken, crossing = plain_targets(sizes), defaultdict(int), []
+    for source in sizes:
+        queue = sorted((docs_order[number, text], n) for number, text, s, n in rows if s == source and n)
+        for _, n in queue * 3:
+            if taken[source] + n > targets[source]:
+                crossing.append(((taken[source] + n) / targets[source], source, n))
+                break
+            taken[source] += n
+    left = sum(targets.values()) - sum(taken.values())
+    order = {s: i for i, s in enumerate(sorted(sizes))}
+    for _, source, n in sorted(crossing, key=lambda c: (c[0], order[c[1]])):
+        missing = targets[source] - taken[source]
+        if n - missing < missing and left > 0:
+            taken[source] += n
+            left -= n
+    return taken, targets
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixture_cut(spark, seed):
+    """The words of each source against serving the queues one document at a time."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for source in "abcdefg"[: 3 + 2 * seed]:
+        for _ in range(rng.integers(1, 30)):
+            n = int(rng.choice([0, 1, 3, 20, 200]))
+            text = " ".join(["w"] * n)
+            rows += [(int(rng.integers(0, 5)), text, source, n)] * int(rng.choice([1, 1, 7]))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string")
+    places = {
+        (r[0], r[1]): r[2] for r in docs.select("doc_id", "text", mixing.place_of("doc_id", "text", 11)).collect()
+    }
+    want, targets = plain_mix(rows, places)
+    taken = defaultdict(int)
+    got = mixing.mixed(docs).groupBy("source").agg(F.sum(mixing.size_of(F.col("text"))).alias("n")).collect()
+    taken.update({r["source"]: r["n"] for r in got})
+    assert {s: taken[s] for s in want if want[s]} == {s: n for s, n in want.items() if n}
+    assert mixing.mix_sources(docs).agg(F.sum("taken")).first()[0] == sum(want.values())
+
+
+def test_mixture_of_repeated_rows_and_one_large(spark):
+    copies = [(1, "a b c", "x")] * 300 + [(2, "d e f", "y")] * 300
+    docs = spark.createDataFrame(copies, "doc_id long, text string, source string")
+    taken = {r["doc_id"]: r["n"] for r in mixing.mix_sources(docs).groupBy("doc_id").agg(F.sum("taken").alias("n")).collect()}
+    assert taken == {1: 600, 2: 1200}
+    assert {r["source"]: r["count"] for r in mixing.mixed(docs).groupBy("source").count().collect()} == {"x": 200, "y": 400}
+    large = [(1, "w " * 1000, "x")] + [(i, "w w w", "y") for i in range(2, 202)] + [(i, "w " * 9, "z") for i in range(300, 440)]
+    docs = spark.createDataFrame(large, "doc_id long, text string, source string")
+    row = mixing.mix_sources(docs).where("doc_id = 1").first()
+    assert row["target"] < 1000 and row["taken"] == (1000 if row["target"] > 500 else 0)
+
+
 def test_packing_counts():
     rng = np.random.default_rng(2)
     for top in (1024, 300, 20):
