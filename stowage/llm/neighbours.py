@@ -14,19 +14,21 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stowage.session import materialize
 
-#: Bound of the sample the index is fitted on.
-SAMPLE_ROWS = 4096
-PARTITIONS = 32
+#: Partitions of a small table; they double while one holds more than PART_ROWS rows, up to MOST_PARTITIONS.
+PARTITIONS, MOST_PARTITIONS, PART_ROWS = 32, 512, 16_384
+#: Rows of the sample the index is fitted on, at least and per partition (so 16,384 at most).
+SAMPLE_ROWS, SAMPLE_PER_PARTITION = 4096, 32
 GRAPH_NEIGHBOURS = 10
 HIDDEN = 96
 #: Share of true neighbours the probed partitions hold on the part of the sample not trained on.
 RECALL = 0.95
-#: Rows and queries of one block.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
+#: Rows of one block; queries are compared with it as they come.
+BLOCK_ROWS = 8192
 
 
 def nearest_in(rows: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
@@ -73,10 +75,11 @@ class Router:
     bias1: np.ndarray
     second: np.ndarray
     bias2: np.ndarray
+    unit: float = 1.0
     probes: int = 1
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = (x - self.centre) / self.scale
+        x = np.clip((x * self.unit - self.centre) / self.scale, -1e6, 1e6)
         hidden = np.maximum(x @ self.first + self.bias1, 0)
         z = hidden @ self.second + self.bias2
         p = np.exp(z - z.max(1, keepdims=True))
@@ -87,16 +90,24 @@ class Router:
         return np.argsort(-self.forward(x)[2], axis=1, kind="stable")
 
 
+def unit_of(*blocks: np.ndarray) -> float:
+    """A power of two that brings the largest component near 1, so that squares stay finite."""
+    largest = max((np.abs(b).max() for b in blocks if b.size), default=0.0)
+    return float(2.0 ** -np.clip(np.floor(np.log2(largest)), -1000, 1000)) if largest > 0 else 1.0
+
+
 def fit_router(sample: np.ndarray, parts: int = PARTITIONS, seed: int = 5) -> Router:
     """Partition the sample's graph, train the network on four fifths, set the probes on the rest."""
     n, width = sample.shape
     rng = np.random.default_rng(seed)
     while parts > 1 and n < 8 * parts:
         parts //= 2
+    unit = unit_of(sample)
+    given, sample = sample, sample * unit
     router = Router(
         sample.mean(0), sample.std(0) + 1e-12,
         rng.standard_normal((width, HIDDEN)) * (2 / width) ** 0.5, np.zeros(HIDDEN),
-        rng.standard_normal((HIDDEN, parts)) * HIDDEN**-0.5, np.zeros(parts),
+        rng.standard_normal((HIDDEN, parts)) * HIDDEN**-0.5, np.zeros(parts), unit,
     )
     if parts == 1:
         return router
@@ -115,7 +126,7 @@ def fit_router(sample: np.ndarray, parts: int = PARTITIONS, seed: int = 5) -> Ro
     step = 0
     for _ in range(25):
         for some in np.array_split(rng.permutation(train), max(1, len(train) // 128)):
-            x, hidden, p = router.forward(sample[some])
+            x, hidden, p = router.forward(given[some])
             dz = (p - wanted[some]) / len(some)
             dh = dz @ router.second.T * (hidden > 0)
             step += 1
@@ -123,7 +134,7 @@ def fit_router(sample: np.ndarray, parts: int = PARTITIONS, seed: int = 5) -> Ro
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 w -= 0.003 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    ranked = router.ranked(sample)
+    ranked = router.ranked(given)
     filed = ranked[:, 0]
     place = np.argsort(ranked[held], axis=1)  # where each partition stands for a query
     needed = np.take_along_axis(place, filed[near[held]], 1)
@@ -168,9 +179,13 @@ def search(
 
 def _search_width(rows: DataFrame, every: int, k: int) -> DataFrame:
     """The search among vectors of one width."""
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()
+    parts, many = PARTITIONS, rows.count()
+    while parts < MOST_PARTITIONS and many > parts * PART_ROWS:
+        parts *= 2
+    some = max(SAMPLE_ROWS, parts * SAMPLE_PER_PARTITION)
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(some).collect()
     # Copies of a vector say nothing about where its neighbours lie.
-    router = fit_router(np.unique(np.array([r["vector"] for r in sample]), axis=0))
+    router = fit_router(np.unique(np.array([r["vector"] for r in sample]), axis=0), parts)
 
     @F.pandas_udf("array<int>")
     def route(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -201,26 +216,18 @@ def _search_width(rows: DataFrame, every: int, k: int) -> DataFrame:
     probes = queries.select(
         "id", "vector", F.explode(F.slice("route", F.lit(1), enough)).alias("part")
     )
-    chunks = 1 + (queries.count() * router.probes) // (len(counts) * BLOCK_QUERIES)
+    # Each row lies in one block of its partition; a query goes to all blocks of the partitions it probes.
     left = filed.select(
         "part", F.pmod(F.xxhash64("id"), F.get(blocks, F.col("part"))).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "id", "vector",
+        F.lit(0).alias("asks"), "id", "vector",
     )
     right = probes.where(F.get(sizes, F.col("part")) > 0).select(
         "part", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("part")) - 1)).alias("block"),
-        F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id", "vector",
-    )
-    keys = ["part", "block", "chunk"]
-
-    def compare(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = nearest_exact(rows, queries, k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype(
-            {"query_id": "int64", "vec_id": "int64", "score": "float64"}
-        )
-
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        compare, "query_id bigint, vec_id bigint, score double"
+        F.lit(1).alias("asks"), "id", "vector",
     )
+    keys = ["part", "block"]
+    dealt = left.unionByName(right).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    near = dealt.sortWithinPartitions(*keys, "asks").mapInArrow(_compare(k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
         near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -228,28 +235,69 @@ def _search_width(rows: DataFrame, every: int, k: int) -> DataFrame:
     )
 
 
-def nearest_exact(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> list[tuple[int, int, float]]:
-    """The k nearest of a block for each query of a block; distances are differences squared and summed.
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def _compare(k: int):
+    """Rows (part, block, asks, id, vector), a block's own rows first: only those are held, its queries stream by."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, block, asks, number = (batch.column(i).to_numpy() for i in range(4))
+            x = batch.column(4).flatten().to_numpy().reshape(len(number), -1)
+            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(block) != 0) | (np.diff(asks) != 0)) + 1
+            for low, high in zip(np.r_[0, cuts], np.r_[cuts, len(number)]):
+                if (part[low], block[low]) != now:
+                    now, ids, vectors = (part[low], block[low]), [], []
+                if not asks[low]:
+                    ids.append(number[low:high])
+                    vectors.append(x[low:high])
+                elif ids:
+                    ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+                    found = nearest_exact(ids[0], vectors[0], number[low:high], x[low:high], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], schema=FOUND)
 
-    A product of matrices finds all rows that are no farther than the k-th, with room for its
-    rounding, however many tie; only those are measured exactly.
+    return compare
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to a vector; squares that leave the range of doubles are scaled first."""
+    apart = x - q
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        out = np.sqrt((apart * apart).sum(1))
+        largest = np.abs(apart).max(1)
+        odd = np.flatnonzero((~np.isfinite(out) | (out < 1e-140)) & (largest > 0) & np.isfinite(largest))
+        for i in odd:
+            out[i] = largest[i] * np.sqrt(((apart[i] / largest[i]) ** 2).sum())
+    return out
+
+
+def nearest_exact(
+    ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k nearest rows of a block for each query, the row of its own id left out.
+
+    A product of matrices, of vectors scaled to a largest component near 1, finds all rows that are no
+    farther than the k-th, with room for its rounding, however many tie; only those are measured exactly.
     """
-    if not len(rows) or not len(queries):
-        return []
-    x, ids = np.stack(rows["vector"].to_list()), rows["id"].to_numpy()
-    norms = (x * x).sum(1)
-    out = []
-    for low in range(0, len(queries), 256):
-        some = queries.iloc[low : low + 256]
-        q = np.stack(some["vector"].to_list())
-        far = norms + (q * q).sum(1)[:, None] - 2 * q @ x.T
-        own = some["id"].to_numpy()
-        far[own[:, None] == ids] = np.inf
+    unit = unit_of(x, q)
+    small = x * unit
+    norms = (small * small).sum(1)
+    out: list[tuple] = []
+    for low in range(0, len(own), 256):
+        some, numbers = q[low : low + 256], own[low : low + 256]
+        scaled = some * unit
+        squares = (scaled * scaled).sum(1)
+        far = norms + squares[:, None] - 2 * scaled @ small.T
+        far[numbers[:, None] == ids] = np.inf
         last = np.partition(far, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-        room = 1e-9 * (norms.max() + (q * q).sum(1))
-        for i, number in enumerate(own):
+        room = 1e-9 * (norms.max() + squares)
+        for i, number in enumerate(numbers.tolist()):
             near = np.flatnonzero((far[i] <= last[i] + room[i]) & np.isfinite(far[i]))
-            exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
-            for j in np.lexsort((ids[near], exact))[:k]:
-                out.append((int(number), int(ids[near[j]]), float(exact[j])))
-    return out
+            exact = distances(x[near], some[i])
+            best = np.lexsort((ids[near], exact))[:k]
+            out.append((np.full(len(best), number), ids[near][best], exact[best]))
+    return tuple(np.concatenate(c) for c in zip(*out))
