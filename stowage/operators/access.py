@@ -3,10 +3,9 @@
 A drive's rules grant a path when any include rule matches it and no exclude
 rule does, so rules are evaluated as two sets and not in order. The rules that apply to one
 user are folded into one row per drive; while those rows were measured to be small they are
-broadcast, which leaves the items where they are. Beyond that each rule is filed under the
-folder its text literally begins with, and a path is held only against the rules filed
-under the folders above it: the distinct folders of the items are joined with the rules by
-(drive, folder), and the items with what came out by (drive, own folder).
+broadcast, which leaves the items where they are. Beyond that each rule is filed under a piece that its text requires of
+a path, a folder or a whole word; the distinct paths are joined with the rules by (drive, piece), and a pattern is
+tried on what came out only.
 """
 
 from __future__ import annotations
@@ -109,67 +108,78 @@ def literal_folder(rule_text: Column) -> Column:
     return F.when(rule_text.contains("|"), F.lit("")).otherwise(told)
 
 
-def _own_folder(path: Column) -> Column:
-    """The path up to its last slash; a folder is its own."""
-    return F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)))
-
-
-def _folder_chains(items: DataFrame) -> DataFrame:
-    """The distinct folders of the items, each with every folder it lies in and the empty one."""
-    folders = items.select("drive_id", _own_folder(F.col("path")).alias("_folder")).distinct()
-    return folders.select("*", F.explode(paths.beginnings(F.col("_folder"))).alias("_under"))
-
-
-def _filed(rules: DataFrame, wanted: list[str]) -> DataFrame:
-    """One row per drive and folder with, for each level, its include and exclude patterns.
-
-    `_above` marks the folders that the text of a readable include rule begins with.
+# Texts of which no word is told: alternatives, inline options, quotes, repeated groups, odd character classes.
+NOT_TOLD = r"\||\(\?|\\[QEx0ucp]|\)[*+?{]|&&|\[\^?\]|\[[^\]]*\["
+# What a pattern's text is read as, in this order: a character that ends words but is told, or anything at all.
+_READ = (
+    (r"[()]", ""),
+    (r"\\([^A-Za-z0-9])|\[([^A-Za-z0-9\\^])\]", "\u0001"),
+    (r"\\[A-Za-z0-9]|\[[^\]]*\]", "\u0000"),
+    (r"(?s).(?:[*+?]|\{[0-9,]*\})[+?]?", "\u0000"),
+    (r"\A\^|\$\z", ""),
+    (r"[.^$]", "\u0000"),
+)
+_WORD = r"(?<![A-Za-z0-9\u0000])[A-Za-z0-9]+(?![A-Za-z0-9\u0000])"
+#: Tasks that share the paths and rules of one piece.
+SALTS = 16
+
+
+def required_piece(rule_text: Column) -> Column:
+    """A piece that every path has which the rule matches: a folder it lies in (ending in a slash) or a whole
+    word of letters and digits, whichever is longer; empty when the text tells neither."""
+    read = rule_text
+    for pattern, instead in _READ:
+        read = F.regexp_replace(read, F.lit(pattern), F.lit(instead))
+    words = F.regexp_extract_all(read, F.lit(_WORD), F.lit(0))
+    word = F.aggregate(words, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    folder = literal_folder(rule_text)
+    told = F.when(F.length(word) > F.length(folder), word).otherwise(folder)
+    return F.when(rule_text.rlike(NOT_TOLD), folder).otherwise(told)
+
+
+def path_pieces(path: Column) -> Column:
+    """The pieces a rule may require of a path: its folders, its words, and the empty one."""
+    words = F.split(path, "[^A-Za-z0-9]+", -1)
+    return F.array_distinct(F.concat(F.array(F.lit("")), paths.beginnings(path), words))
+
+
+def _candidates(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each path with the columns of the rules that match it, looked up by the piece they require.
+
+    Paths are dealt into SALTS by their hash and rules go to all of them, so a piece that most paths
+    have is shared by several tasks.
     """
-    text, include = F.col("rule_text"), ~F.col("exclude")
-    filed = rules.select(
-        "drive_id", literal_folder(text).alias("_under"), "rule_text", "exclude", "access_level",
-        F.lit(False).alias("_is_above"),
+    salt = F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")
+    keyed = items.select("drive_id", "path").distinct().select(
+        "drive_id", "path", salt.alias("_salt"), F.explode(path_pieces(F.col("path"))).alias("_piece")
+    )
+    index = rules.select(
+        "*", required_piece(F.col("rule_text")).alias("_piece"), _full(F.col("rule_text")).alias("_pattern"),
+        F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"),
     )
+    matched = F.call_function("regexp_instr", F.col("path"), F.col("_pattern")) > 0
+    return keyed.join(index, ["drive_id", "_piece", "_salt"]).where(matched)
+
+
+def _verdicts(items: DataFrame, rules: DataFrame, wanted: list[str]) -> DataFrame:
+    """(drive_id, path) that some rule speaks of, with `_in_<level>` and `_ex_<level>`."""
+    sides = {"in": ~F.col("exclude"), "ex": F.col("exclude")}
+    flags = {
+        f"_{side}_{level}": levels.grants(F.col("access_level"), level) & on
+        for level in wanted for side, on in sides.items()
+    }
+    told = _candidates(items, rules).select("drive_id", "path", *[f.alias(n) for n, f in flags.items()])
     if "R" in wanted:
-        readable = rules.where(include & levels.grants(F.col("access_level"), "R"))
-        above = readable.select("drive_id", F.explode(paths.beginnings(text)).alias("_under"))
-        filed = filed.unionByName(
-            above.distinct().withColumn("_is_above", F.lit(True)), allowMissingColumns=True
+        readable = rules.where(~F.col("exclude") & levels.grants(F.col("access_level"), "R"))
+        above = readable.select("drive_id", F.explode(paths.beginnings(F.col("rule_text"))).alias("path"))
+        told = told.unionByName(
+            above.where("path <> ''").distinct().select("drive_id", "path", *[F.lit(n == "_in_R").alias(n) for n in flags])
         )
-    joinable = ~text.rlike(NOT_JOINABLE)
-    grouped = F.concat(F.lit("(?:"), text, F.lit(")"))
-    columns = [F.bool_or("_is_above").alias("_above")]
-    for level in wanted:
-        counts = levels.grants(F.col("access_level"), level)
-        for side, on_side in (("in", include), ("ex", F.col("exclude"))):
-            keep = counts & on_side
-            # one alternation for the plain patterns, so that one regex per folder is compiled
-            columns += [
-                F.collect_list(F.when(keep & joinable, grouped)).alias(f"_{side}_re_{level}"),
-                F.collect_list(F.when(keep & ~joinable, _full(text))).alias(f"_{side}_odd_{level}"),
-            ]
-    return filed.groupBy("drive_id", "_under").agg(*columns)
-
-
-def _rules_of_folders(items: DataFrame, rules: DataFrame, wanted: list[str]) -> DataFrame:
-    """The patterns that can match in each folder of the items."""
-    joined = _folder_chains(items).join(_filed(rules, wanted), ["drive_id", "_under"])
-    itself = F.col("_under") == F.col("_folder")
-    columns = [F.bool_or(F.col("_above") & itself).alias("_above")]
-    for name in (f"_{side}_{kind}_{level}" for level in wanted for side in ("in", "ex") for kind in ("re", "odd")):
-        merged = F.flatten(F.collect_list(name))
-        if "_re_" in name:
-            merged = F.when(F.size(merged) > 0, _full(F.array_join(merged, "|")))
-        columns.append(merged.alias(name))
-    return joined.groupBy("drive_id", "_folder").agg(*columns)
+    return told.groupBy("drive_id", "path").agg(*[F.bool_or(n).alias(n) for n in flags])
 
 
-def _folder_test(path: Column, level: str) -> Column:
-    """The same test over the patterns of the path's folder."""
-    allowed = _hit(path, "in", level)
-    if level == "R":
-        allowed = allowed | (F.coalesce("_above", F.lit(False)) & path.endswith("/"))
-    return allowed & ~_hit(path, "ex", level)
+def _verdict_test(path: Column, level: str) -> Column:
+    return F.col(f"_in_{level}") & ~F.col(f"_ex_{level}")
 
 
 def _compiling(rules: DataFrame) -> DataFrame:
@@ -194,9 +204,7 @@ def with_held(
     if _fits_folding(folded):
         joined, test = items.join(F.broadcast(folded), "drive_id", "left"), _folded_test
     else:
-        keyed = items.withColumn("_folder", _own_folder(F.col("path")))
-        found = _rules_of_folders(items, mine, wanted)
-        joined, test = keyed.join(found, ["drive_id", "_folder"], "left"), _folder_test
+        joined, test = items.join(_verdicts(items, mine, wanted), ["drive_id", "path"], "left"), _verdict_test
     tests = [
         F.coalesce(test(F.col("path"), level), F.lit(False)).alias(f"_held_{level}")
         for level in wanted
@@ -209,22 +217,10 @@ def matching_rules(items: DataFrame, rules: DataFrame) -> DataFrame:
 
     Items that no rule matches have no row.
     """
-    filed = _compiling(rules).select(
-        "drive_id", literal_folder(F.col("rule_text")).alias("_under"),
-        F.struct("rule_id", _full(F.col("rule_text")).alias("pattern")).alias("_rule"),
-    )
-    of_folder = (
-        _folder_chains(items).join(filed, ["drive_id", "_under"])
-        .groupBy("drive_id", "_folder").agg(F.sort_array(F.collect_list("_rule")).alias("_rules"))
-    )
-    path = F.col("path")
-    hits = F.filter("_rules", lambda rule: F.rlike(path, rule["pattern"]))
-    return (
-        items.select("drive_id", "path", _own_folder(path).alias("_folder"))
-        .join(of_folder, ["drive_id", "_folder"])
-        .select("drive_id", "path", F.transform(hits, lambda rule: rule["rule_id"]).alias("rule_ids"))
-        .where(F.size("rule_ids") > 0)
+    found = _candidates(items, _compiling(rules)).groupBy("drive_id", "path").agg(
+        F.sort_array(F.collect_list("rule_id")).alias("rule_ids")
     )
+    return items.select("drive_id", "path").join(found, ["drive_id", "path"])
 
 
 def folders_above_rules(folders: DataFrame, rules: DataFrame) -> DataFrame:

@@ -115,6 +115,46 @@ def test_literal_folders(spark):
     assert [r.f for r in rows.collect()] == ["A/", "N/O/", "", "a/", "a/", "", "/a/b/", "a/", "", "a/"]
 
 
+PATTERNS = [
+    "A/.*", "A/F/.*", ".*[.]x17", ".*x17.*", r".*\\.csv", "ab?c", "ab+c/.*", "(ab)c", "(ab)*c", "(ab|c)d", "a|b", "(?i)abc", r"\\Qa.b\\E",
+    "[ab]c", "[.]c", "[^.]c", "a{2}b", "a{0,3}", "^ab$", "ab.cd", "a-b_c", "é/ab", "a/b/?", "a/b/*c", r"a\\db", "ab[.]?cd", "[a&&[b]]c", "a.*+b",
+    "x+?y", ".*", "", "a b", r"\\/ab", r"x\\x41b", "[]a]b", r"\\bab\\b", "ab$|c", "o[0-9]+[.]csv", "(a(b))c", "ab{1}", "(ab){2}",
+]
+
+
+def test_required_pieces_lose_no_match(spark):
+    """Whatever a pattern matches has the piece it is filed under."""
+    parts = ["a", "b", "c", "d", "ab", "abc", "cd", "x", "y", "x17", "A", "F", "/", "/", ".", ".csv", "-", "_", " ", "é", "12", "o", "$", "abab"]
+    chance = random.Random(8)
+    texts = sorted({"".join(chance.choices(parts, k=chance.randint(0, 7))) for _ in range(4000)} | {
+        "A/F/x.x17", "x17", "abc", "ababc", "aab", "ab.cd", "a-b_c", "é/ab", "a.b", "a1b", "ab", "xAb", "abd", "o12.csv", "ABC"})
+    paths = spark.createDataFrame([(t,) for t in texts], "path string").select("path", A.path_pieces(F.col("path")).alias("pieces"))
+    # written as Java reads them; the same to Python but for those Python cannot compile
+    given = [p.replace("\\\\", "\\") for p in PATTERNS]
+    df = spark.createDataFrame([(p,) for p in given], "t string").where("t <> '[]a]b'")
+    pairs = F.broadcast(df.select("t", A.required_piece(F.col("t")).alias("piece"))).crossJoin(paths)
+    lost = pairs.where(F.rlike("path", A._full(F.col("t"))) & ~F.array_contains("pieces", F.col("piece")))
+    assert [tuple(r) for r in lost.collect()] == []
+    piece = {r.t: r.piece for r in df.select("t", A.required_piece(F.col("t")).alias("piece")).collect()}
+    assert {t: piece[t] for t in ("A/.*", "A/F/.*", ".*[.]x17", ".*x17.*", "(ab)c", "ab?c", "a b", "o[0-9]+[.]csv", ".*")} == {
+        "A/.*": "A/", "A/F/.*": "A/F/", ".*[.]x17": "x17", ".*x17.*": "", "(ab)c": "abc", "ab?c": "", "a b": "a",
+        "o[0-9]+[.]csv": "csv", ".*": ""}
+
+
+def test_many_unanchored_rules_on_one_drive(spark):
+    """Tens of thousands of patterns without a folder: no row holds all of them, few are tried on a path."""
+    given = spark.range(50_000).select(
+        F.lit(1).alias("drive_id"), F.col("id").cast("int").alias("rule_id"),
+        F.concat(F.lit(".*[.]x"), F.col("id").cast("string")).alias("rule_text"), (F.col("id") % 2 == 1).alias("exclude"),
+        F.lit("R").alias("access_level"), F.lit("").alias("users"), F.lit("").alias("role_name"),
+    )
+    df = spark.range(20_000).select(F.lit(1).alias("drive_id"), F.concat(F.lit("A/F/o.x"), F.col("id").cast("string")).alias("path"))
+    assert A._candidates(df, given).count() == 20_000
+    assert A.access_filter(df, given, "u").count() == 10_000
+    ids = {r.path: r.rule_ids for r in A.matching_rules(df, given).collect()}
+    assert len(ids) == 20_000 and ids["A/F/o.x77"] == [77]
+
+
 def test_many_rules_on_one_drive(spark):
     text = F.concat(F.lit("d"), F.col("id").cast("string"), F.lit("/.*"))
     given = spark.range(50_000).select(
