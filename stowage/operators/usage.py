@@ -13,8 +13,6 @@ from .scale import broadcast_if_small, running_position
 COMPLETED_MARKER = "///COMPLETED///"
 RUN_SLACK = "INTERVAL 60 SECONDS"
 
-# How the partitions of a stored run are named; sorts like the run's time.
-
 
 def is_marker() -> Column:
     return F.col("path") == COMPLETED_MARKER

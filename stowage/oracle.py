@@ -709,10 +709,14 @@ def texts() -> dict[str, str]:
               LEFT JOIN existing e ON e.drive_id = dest_drive_id AND e.bare = rtrim(dest_path, '/')),
             turns AS (SELECT * EXCLUDE (why), CASE WHEN why IS NULL AND ROW_NUMBER() OVER (
                 PARTITION BY why IS NULL, dest_drive_id, trim(dest_path, '/') ORDER BY spec_id) > 1
-                THEN 'destination exists' ELSE why END AS why FROM checked)
-            SELECT s.spec_id, s.source_drive_id AS drive_id, i.item_path AS old_path,
-              i.item_dest AS new_path, 'rename' AS decision, CAST(NULL AS VARCHAR) AS reason
-            FROM turns s JOIN spec_item i ON i.spec_id = s.spec_id WHERE s.why IS NULL
+                THEN 'destination exists' ELSE why END AS why FROM checked),
+            reached AS (SELECT s.spec_id, s.source_drive_id AS drive_id, i.item_path AS old_path, i.item_dest AS new_path,
+                s.spec_id = MIN(s.spec_id) OVER (PARTITION BY s.source_drive_id, i.item_path) AS own
+              FROM turns s JOIN spec_item i ON i.spec_id = s.spec_id WHERE s.why IS NULL)
+            SELECT spec_id, drive_id, old_path, new_path, 'rename' AS decision, CAST(NULL AS VARCHAR) AS reason
+            FROM reached WHERE own
+            UNION ALL SELECT spec_id, source_drive_id, source_path, dest_path, 'reject', 'source not found' FROM turns
+            WHERE why IS NULL AND spec_id NOT IN (SELECT spec_id FROM reached WHERE own)
             UNION ALL SELECT spec_id, source_drive_id, source_path, dest_path, 'reject', why FROM turns
             WHERE why IS NOT NULL""", "spec_access", "drive", "existing", "spec_item"),
         "delete_plan": _delete_plan(),

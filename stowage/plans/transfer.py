@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import paths
 from ..operators.drives import storage_classes
@@ -226,7 +226,8 @@ def rename_plan(
     """New key for every key below the old one; one row per refused spec.
 
     Needs Read on the source and Create on the destination, the same drive, and
-    a destination that does not exist yet and that no earlier spec takes.
+    a destination that does not exist yet and that no earlier spec takes. An item is renamed
+    once, by the first spec that covers it; a spec that is left without any finds no source.
     """
     typed = _with_drive_types(specs, drives, fits_broadcast(drives))
     held = with_access(typed, rules, user, roles, "source_drive_id", "source_path", ["R"], "source")
@@ -257,8 +258,12 @@ def rename_plan(
     valid = placed.where(F.col("spec_id") == F.col("_taker")).select(*specs.columns)
     small = fits_broadcast(valid)
     moved = paths.move_below(F.col("item_path"), F.col("source_path"), F.col("dest_path"))
+    # an item that several specs cover is gone for all but the first
+    first = F.min("spec_id").over(Window.partitionBy("source_drive_id", "item_path"))
     covered = materialize(
-        expand(valid, items, "source_drive_id", "source_path", small), "rename-items"
+        expand(valid, items, "source_drive_id", "source_path", small)
+        .withColumn("_first", first).where(F.col("spec_id") == F.col("_first")).drop("_first"),
+        "rename-items",
     )
     renamed = covered.select(
         "spec_id",

@@ -136,10 +136,20 @@ def test_rename(spark, world):
     assert got == {
         1: {("a/", "z/"), ("a/one", "z/one"), ("a/b/", "z/b/"), ("a/b/two", "z/b/two"), ("a/b/three", "z/b/three")},
         2: {"destination exists"}, 3: {"across drives"}, 4: {"no permission"}, 5: {"source not found"},
-        6: {("a/one", "a/uno")}, 7: {"destination exists"},
+        6: {"source not found"}, 7: {"destination exists"},  # the first spec has taken a/one along
     }
 
 
+def test_an_item_is_renamed_once(spark, world):
+    specs = spark.createDataFrame(
+        [(3, 1, "a/", 1, "z/", False), (1, 1, "a/b/", 1, "x/", False), (2, 1, "a/b/", 1, "y/", False)], SPEC)
+    rows = transfer.rename_plan(specs, world["items"], world["drives"], world["rules"], "ann").collect()
+    assert sorted((r.spec_id, r.old_path, r.reason or r.new_path) for r in rows) == [
+        (1, "a/b/", "x/"), (1, "a/b/three", "x/three"), (1, "a/b/two", "x/two"), (2, "a/b/", "source not found"),
+        (3, "a/", "z/"), (3, "a/one", "z/one"),
+    ]
+
+
 def test_delete(spark, world):
     asked = spark.createDataFrame([(1, 1, "a/"), (2, 1, "secret/s"), (3, 1, "gone"), (4, 1, "a.zip"), (5, 1, "a")],
                                   "request_id int, drive_id int, path string")
