@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stowage.llm.graphs import components
+from stowage.llm.graphs import components, lookup
 from stowage.session import materialize
 
 SEED = 42
@@ -219,16 +219,18 @@ def near_duplicates(
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     of_docs = materialize(simhash_fingerprints(docs, id_column, text_column, *carried), "simhash")
-    classes = materialize(of_docs.groupBy("fp").agg(F.min(id_column).alias("first")), "simhash")
+    classes = materialize(
+        of_docs.groupBy("fp").agg(F.min(id_column).alias("first"), F.count(F.lit(1)).alias("copies")), "simhash"
+    )
     keyed = filed(classes.select("fp")).repartition(parts, "key").sortWithinPartitions("key", "fp")
     labels = components(keyed.mapInArrow(_links, "a bigint, b bigint"))
     linked = labels.select(F.col("node").alias("fp"), "label").join(classes, "fp")
     smallest = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     of_class = linked.join(smallest, "label").select("fp", "component_id")
     named = classes.join(of_class, "fp", "left").select(
-        "fp", F.coalesce("component_id", "first").alias("component_id")
+        "fp", "copies", F.coalesce("component_id", "first").alias("component_id")
     )
-    return of_docs.join(named, "fp").select(
+    return lookup(of_docs, materialize(named, "simhash"), ["fp"], "copies").select(
         id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         *of_docs.columns[2:],
     )
