@@ -29,8 +29,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 ASSIGN = (
     r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+#: These two match to the end of a run of their characters, so a run that is too short holds no match at
+#: all: the least length stands in the pattern, and the many short runs in words are not listed.
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
 SHAPES = {"assign": (ASSIGN, 2, 6), "access": (ACCESS, 0, 20), "hex": (HEX, 0, 24)}
 KINDS = [*SHAPES, "random"]
 

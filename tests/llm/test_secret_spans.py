@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 from stowage.llm import secret_scan as ss
 
 
+#: The known shapes as they are asked for: pattern, measured group, least length.
+ASKED = [
+    (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    (r"AKIA[A-Z0-9]+", 0, 20),
+    (r"[0-9a-f]+", 0, 24),
+]
+
+
+def plain_base(text):
+    return sorted(
+        (m.start(), kind, m.end()) for kind, (pattern, group, least) in enumerate(ASKED)
+        for m in re.finditer(pattern, text) if len(m.group(group)) >= least
+    )
+
+
 def spans_of(rng, many):
     found = [(s, s + rng.randint(1, 12)) for s in (rng.randint(0, 60) for _ in range(many))]
     return sorted(found)
@@ -58,10 +73,7 @@ def test_scan_and_redaction(spark, monkeypatch, slice_, block):
     rows = {r["doc_id"]: r for r in ss.secret_spans(docs).collect()}
     clean = {r["doc_id"]: r["text"] for r in ss.redact_secrets(docs).collect()}
     for i, text in enumerate(texts):
-        base = sorted(
-            (m.start(), kind, m.end()) for kind, (pattern, group, least) in enumerate(ss.SHAPES.values())
-            for m in re.finditer(pattern, text) if len(m.group(group)) >= least
-        )
+        base = plain_base(text)
         found = [tuple(s) for s in rows[i]["secrets"]]
         assert [s for s in found if s[1] < len(ss.SHAPES)] == base
         out, at = "", 0
@@ -70,6 +82,16 @@ def test_scan_and_redaction(spark, monkeypatch, slice_, block):
         assert clean[i] == out + text[at:]
 
 
+def test_runs_around_the_least_length(spark):
+    rng = random.Random(5)
+    parts = ["AKIA", "A", "KIA", "AKIAKIA", "Z9" * 5, "Q" * 16, "a", "0f" * 11, "0f" * 12, "passwd=", "token:", "abcde", " ", "g", "é"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(1_000)]
+    texts += ["AKIA" + "B" * n for n in (0, 15, 16, 17)] + ["e" * n for n in (23, 24, 25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in ss.secret_spans(docs).collect():
+        assert [tuple(s) for s in row["secrets"] if s[1] < len(ASKED)] == plain_base(row["text"])
+
+
 def test_very_many_secrets_in_one_text(spark):
     """The work grows with the number of secrets, not with its square."""
     rng = random.Random(4)
