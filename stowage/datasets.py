@@ -164,6 +164,10 @@ class Tables:
             .alias("path"),
             F.when(F.col("user_id") % 26 != 25, (F.col("user_id") % 26).cast("int"))
             .alias("drive_id"),
+            F.when(F.col("event_type") == "purchase", F.concat(F.lit("R/F/u"), _text("user_id"), F.lit("/")))
+            .alias("dest_path"),
+            F.when(F.col("event_type") == "purchase", (F.col("event_id") % 5).cast("int"))
+            .alias("dest_drive_id"),
             F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("string"))
             .when(F.col("event_id") % 7 == 1, "")
             .otherwise(F.concat("event_type", F.lit(" "), "props"))

@@ -15,6 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import levels, paths, scalars
+from .query import query_items
 from .scale import fits_broadcast
 
 # Above this many bytes of folded patterns an alternation is also slow to match.
@@ -239,17 +240,13 @@ def access_filter(
     return with_held(items, rules, user, roles, [level]).where(F.col(flag)).drop(flag)
 
 
-def with_access_levels(
-    items: DataFrame, rules: DataFrame, user: str, roles: Iterable[str] = ()
-) -> DataFrame:
-    """Items with the names of all levels held.
+HELD = ["D", "M", "C", "R", "A", "U"]
 
-    The highest of Delete, Modify, Create and Read brings the lower ones along;
-    Archive and Restore stand alone.
-    """
-    wanted = ["D", "M", "C", "R", "A", "U"]
-    flagged = with_held(items, rules, user, roles, wanted)
-    held = {level: F.col(f"_held_{level}") for level in wanted}
+
+def _level_names() -> Column:
+    """Names of the levels in the `_held_` columns: the highest of Delete, Modify, Create and Read
+    brings the lower ones along; Archive and Restore stand alone."""
+    held = {level: F.col(f"_held_{level}") for level in HELD}
 
     def names(codes: str) -> Column:
         return F.array(*[F.lit(levels.LEVEL_NAMES[c]) for c in codes])
@@ -264,6 +261,31 @@ def with_access_levels(
     alone = [
         F.when(held[c], names(c)).otherwise(F.array().cast("array<string>")) for c in "AU"
     ]
-    return flagged.select(
-        *[F.col(c) for c in items.columns], F.concat(ladder, *alone).alias("access_levels")
-    )
+    return F.concat(ladder, *alone)
+
+
+def with_access_levels(
+    items: DataFrame, rules: DataFrame, user: str, roles: Iterable[str] = ()
+) -> DataFrame:
+    """Items with the names of all levels held.
+
+    The highest of Delete, Modify, Create and Read brings the lower ones along;
+    Archive and Restore stand alone.
+    """
+    flagged = with_held(items, rules, user, roles, HELD)
+    return flagged.select(*[F.col(c) for c in items.columns], _level_names().alias("access_levels"))
+
+
+def catalog_query(
+    items: DataFrame, rules: DataFrame, user: str, roles: Iterable[str] = (), **wanted: object
+) -> DataFrame:
+    """What a user sees of the catalog: the items `query_items` finds (start, recursive, pattern, ...)
+    that the user may read, with the names of all levels held on them.
+
+    The query's tests reach the scan, so rules meet the found items only, and one join answers both
+    whether an item may be read and what else may be done with it. An input column named
+    `access_levels` is replaced.
+    """
+    kept = [c for c in items.columns if c != "access_levels"]
+    flagged = with_held(query_items(items, **wanted).select(*kept), rules, user, roles, HELD)
+    return flagged.where(F.col("_held_R")).select(*kept, _level_names().alias("access_levels"))

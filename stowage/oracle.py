@@ -61,6 +61,8 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN event_id % 11 = 0 THEN 'task'
             ELSE 'A/F/o' || CAST(event_id AS VARCHAR) || '.csv' END AS path,
           CASE WHEN user_id % 26 = 25 THEN NULL ELSE CAST(user_id % 26 AS INT) END AS drive_id,
+          CASE WHEN event_type = 'purchase' THEN 'R/F/u' || CAST(user_id AS VARCHAR) || '/' END AS dest_path,
+          CASE WHEN event_type = 'purchase' THEN CAST(event_id % 5 AS INT) END AS dest_drive_id,
           CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN ''
             ELSE event_type || ' ' || props END AS message,
           event_id % 3 = 0 AS use_message,
@@ -493,6 +495,16 @@ def texts() -> dict[str, str]:
             FROM (SELECT i.drive_id, i.path, {', '.join(
                 held(level, 'i.drive_id', 'i.path', 'archive_rule') + ' AS ' + level.lower()
                 for level in 'DMCRAU')} FROM listing i)""", "listing", "archive_rule"),
+        "catalog_query": with_tables(
+            f"""SELECT drive_id, path, concat_ws(',',
+              CASE WHEN d THEN '{LEVELS_TEXT['D']}' WHEN m THEN '{LEVELS_TEXT['M']}'
+                WHEN c THEN '{LEVELS_TEXT['C']}' WHEN r THEN 'Read' END,
+              CASE WHEN a THEN 'Archive' END, CASE WHEN u THEN 'Restore' END) AS access_levels
+            FROM (SELECT i.drive_id, i.path, {', '.join(
+                held(level, 'i.drive_id', 'i.path', 'archive_rule') + ' AS ' + level.lower()
+                for level in 'DMCRAU')} FROM listing i
+              WHERE starts_with(i.path, 'A/') AND i.path <> 'A/' AND NOT regexp_full_match(i.path, '(.*/)?[.]placeholder/?')
+                AND regexp_full_match(i.path, '.*[05](/|[.].*)?')) WHERE r""", "listing", "archive_rule"),
         "readable_drives": with_tables(
             """SELECT drive_id, display_name FROM drive WHERE drive_id IN (SELECT drive_id
             FROM drive_security_rule WHERE NOT exclude AND access_level IN ('R', 'C', 'M', 'D')
@@ -614,8 +626,10 @@ def texts() -> dict[str, str]:
             """SELECT a.action_audit_id, a.action, d.display_name, d.drive_type FROM action_audit a
             LEFT JOIN drive d ON d.drive_id = a.drive_id""", "action_audit", "drive"),
         "latest_pending": with_tables(
-            """SELECT action_audit_id, username, action, status FROM action_audit
-            QUALIFY ROW_NUMBER() OVER (PARTITION BY username, action, drive_id, status
+            """SELECT action_audit_id, username, action, path, drive_id, dest_path, dest_drive_id, status
+            FROM action_audit
+            QUALIFY ROW_NUMBER() OVER (PARTITION BY username, action, path, drive_id, dest_path,
+              dest_drive_id, status
               ORDER BY created DESC, action_audit_id DESC) = 1""", "action_audit"),
         "latest_status": with_tables(
             """SELECT username, action_audit_id, status FROM action_audit

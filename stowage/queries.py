@@ -303,6 +303,13 @@ def access_levels(t: Tables) -> DataFrame:
     return held.withColumn("access_levels", F.array_join("access_levels", ","))
 
 
+def catalog_query(t: Tables) -> DataFrame:
+    seen = access.catalog_query(
+        t.listing(), t.archive_rule(), USER, ROLES, start="A/", recursive=True, pattern=".*[05](/|[.].*)?"
+    )
+    return seen.select("drive_id", "path", F.array_join("access_levels", ",").alias("access_levels"))
+
+
 def rule_match(t: Tables) -> DataFrame:
     matched = access.matching_rules(t.drive_item(), t.drive_security_rule())
     return matched.withColumn("rule_ids", F.array_join("rule_ids", ","))
@@ -516,6 +523,7 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
             "drive_id", "rule_id"
         ),
         "access_levels": access_levels,
+        "catalog_query": catalog_query,
         "readable_drives": lambda t: drives.readable_drives(t.drive(), rules(t), "cid").select(
             "drive_id", "display_name"
         ),
@@ -562,9 +570,9 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "history_range": lambda t: usage.usage_history(
             t.drive_usage_history(), "1993-01-01", "1998-06-30"
         ).select("drive_id", _day("created", "day"), "bytes"),
-        "latest_pending": lambda t: audit.latest_matching(
-            t.action_audit(), ["username", "action", "drive_id", "status"]
-        ).select("action_audit_id", "username", "action", "status"),
+        "latest_pending": lambda t: audit.latest_matching(t.action_audit()).select(
+            "action_audit_id", *audit.MATCH_KEYS
+        ),
         "latest_status": latest_status,
         "transfer_progress": lambda t: audit.transfer_progress(
             t.drive_item().select("drive_id", "path"), "drive_id"

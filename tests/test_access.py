@@ -186,3 +186,29 @@ def test_a_broken_pattern_fails_and_grants_nothing(spark, monkeypatch, folded):
     monkeypatch.setattr(A, "_fits_folding", lambda _: folded)
     with pytest.raises(Exception, match="a\\)\\(b|REGEX|PATTERN|regexp"):
         A.access_filter(items(spark, "ab"), rules(spark, ("a)(b", False, "R")), "u").collect()
+
+
+def test_catalog_query(spark):
+    """Found by the query, readable, and with the levels held; reading is a rule of its own."""
+    files = items(spark, "a/", "a/x.csv", "a/y.txt", "a/b/z.csv", "a/secret.csv", "a/.placeholder", "b/x.csv", None)
+    given = rules(
+        spark, ("a/.*", False, "C"), ("a/x[.]csv", False, "D"), ("a/secret.*", True, "R"), ("a/b/.*", False, "A"),
+        ("b/.*", False, "R", "ann"),
+    )
+
+    def seen(user="ann", **wanted):
+        df = A.catalog_query(files.withColumn("access_levels", F.lit(1)), given, user, **wanted)
+        return {r["path"]: set(r["access_levels"]) for r in df.collect()}
+
+    whole = {"Read", "Create"}
+    assert seen(start="a/") == {"a/x.csv": whole | {"Modify", "Delete"}, "a/y.txt": whole}
+    assert seen(start="/a", recursive=True, pattern=".*csv") == {
+        "a/x.csv": whole | {"Modify", "Delete"}, "a/b/z.csv": whole | {"Archive"}}
+    assert seen(start="b", pattern="x.*", on="name") == {"b/x.csv": {"Read"}}
+    assert seen("bob", start="b") == {}
+    assert seen(start="a", placeholder=True).keys() == {"a/x.csv", "a/y.txt", "a/.placeholder"}
+    assert A.catalog_query(files.limit(0), given, "ann", recursive=True).count() == 0
+    levels = A.with_access_levels(files, given, "ann")
+    readable = A.access_filter(levels, given, "ann")
+    got = A.catalog_query(files, given, "ann", recursive=True, placeholder=True)
+    assert allowed(got.where("path <> ''")) == allowed(readable.where("path <> ''"))
