@@ -106,6 +106,11 @@ def transfer_plan(
     if resolution not in RESOLUTIONS:
         raise ValueError(f"unknown resolution: {resolution}")
     checked = materialize(transfer_validate(specs, drives, rules, user, roles), "transfer-specs")
+    return decide_transfers(checked, items, resolution)
+
+
+def decide_transfers(checked: DataFrame, items: DataFrame, resolution: str) -> DataFrame:
+    """The plan of validated specs (columns of `transfer_validate`), which are read several times."""
     valid = checked.where(F.col("reason").isNull()).drop("reason")
     small = fits_broadcast(valid)
     covered = materialize(_covered(valid, items, small), "transfer-items")
