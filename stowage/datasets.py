@@ -315,6 +315,38 @@ class Tables:
         )
         return folders.unionByName(files)
 
+    def request_batch(self) -> DataFrame:
+        """Five requests about every folder that build on each other, in order of their ids.
+
+        The folder is moved; a file is copied from its new place; the new place is copied over the folder of
+        the next drive; the first file is moved from the old place; the last one from the new place.
+        """
+        drive, folder = F.col("drive_id"), F.col("folder")
+        next_drive = ((drive + 1) % 25).cast("int")
+        moved = F.concat(F.lit("A/M/"), folder)
+        first, last = paths.file_name(F.col("first_path")), paths.file_name(F.col("last_path"))
+
+        def request(number, source, dest_drive, dest, move):
+            return F.struct(
+                F.concat_ws(":", F.lit(number), "drive_id", "folder").alias("spec_id"),
+                drive.alias("source_drive_id"),
+                source.alias("source_path"),
+                dest_drive.alias("dest_drive_id"),
+                dest.alias("dest_path"),
+                F.lit(move).alias("remove_source"),
+            )
+
+        def below(place, name):
+            return F.concat(F.lit(place), folder, name)
+
+        return self.folder_files().select(F.inline(F.array(
+            request("1", folder, drive, moved, True),
+            request("2", F.concat(moved, first), drive, below("A/C/", first), False),
+            request("3", moved, next_drive, folder, False),
+            request("4", F.col("first_path"), drive, below("A/L/", first), True),
+            request("5", F.concat(moved, last), drive, below("A/K/", last), True),
+        )))
+
     def change_request(self) -> DataFrame:
         """A request for every folder and for the first file of every folder."""
         base = self.folder_files()

@@ -259,6 +259,75 @@ def _transfer_plan(resolution: str) -> str:
         """, "spec_checked", "spec_found", "spec_verdict")
 
 
+TABLES["request_batch"] = (("item_parent",), """
+        SELECT n || ':' || drive_id || ':' || folder AS spec_id, CAST(n AS INT) AS n,
+          drive_id AS source_drive_id,
+          CASE n WHEN '1' THEN folder WHEN '2' THEN 'A/M/' || first_path WHEN '3' THEN 'A/M/' || folder
+            WHEN '4' THEN first_path ELSE 'A/M/' || last_path END AS source_path,
+          CAST(CASE n WHEN '3' THEN (drive_id + 1) % 25 ELSE drive_id END AS INT) AS dest_drive_id,
+          CASE n WHEN '1' THEN 'A/M/' || folder WHEN '2' THEN 'A/C/' || first_path WHEN '3' THEN folder
+            WHEN '4' THEN 'A/L/' || first_path ELSE 'A/K/' || last_path END AS dest_path,
+          n IN ('1', '4', '5') AS remove_source
+        FROM (SELECT drive_id, parent || '/' AS folder, MIN(path) AS first_path, MAX(path) AS last_path
+          FROM item_parent GROUP BY 1, 2), (VALUES ('1'), ('2'), ('3'), ('4'), ('5')) AS v(n)""")
+
+
+def _transfer_sequence() -> str:
+    """Requests of one round leave each other alone; each round sees the items the one before it left."""
+    rounds = []
+    for k, numbers in enumerate(("1", "2, 3", "4, 5"), 1):
+        rounds.append(f"""
+        covered{k} AS MATERIALIZED (
+          SELECT s.*, i.path AS item_path, i.file_size, i.storage_class, FALSE AS in_folder, s.dest_path AS item_dest
+          FROM checked s JOIN items{k - 1} i ON i.drive_id = s.source_drive_id AND i.path = s.source_path
+          WHERE s.n IN ({numbers}) AND s.why IS NULL
+          UNION ALL SELECT s.*, i.path, i.file_size, i.storage_class, TRUE,
+            s.dest_path || split_part(i.path, '/', -1)
+          FROM checked s JOIN items{k - 1} i ON i.drive_id = s.source_drive_id
+            AND regexp_extract(i.path, '^(.*/)[^/]*$', 1) = s.source_path
+          WHERE s.n IN ({numbers}) AND s.why IS NULL),
+        folders{k} AS (SELECT DISTINCT drive_id, regexp_extract(path, '^(.*/)[^/]*$', 1) AS folder FROM items{k - 1}),
+        verdict{k} AS MATERIALIZED (
+          SELECT s.spec_id, CASE WHEN COUNT(c.item_path) = 0 THEN 'source not found'
+              WHEN BOOL_OR(d.drive_type = 'S3' AND c.storage_class = 'GLACIER') THEN 'archived'
+              WHEN BOOL_OR(e.path IS NOT NULL) OR BOOL_OR(c.in_folder AND f.folder IS NOT NULL)
+                THEN 'destination exists' END AS why
+          FROM checked s JOIN drive d ON d.drive_id = s.source_drive_id
+          LEFT JOIN covered{k} c ON c.spec_id = s.spec_id
+          LEFT JOIN items{k - 1} e ON e.drive_id = s.dest_drive_id AND e.path = c.item_dest
+          LEFT JOIN folders{k} f ON f.drive_id = s.dest_drive_id AND f.folder = s.dest_path
+          WHERE s.n IN ({numbers}) AND s.why IS NULL GROUP BY s.spec_id),
+        done{k} AS MATERIALIZED (
+          SELECT c.* FROM covered{k} c JOIN verdict{k} v ON v.spec_id = c.spec_id WHERE v.why IS NULL),
+        items{k} AS MATERIALIZED (
+          SELECT * FROM items{k - 1} i WHERE NOT EXISTS (SELECT 1 FROM done{k} x
+            WHERE x.remove_source AND x.source_drive_id = i.drive_id AND x.item_path = i.path)
+          UNION ALL SELECT dest_drive_id, item_dest, file_size, 'STANDARD' FROM done{k})""")
+    done = " UNION ALL ".join(f"SELECT * FROM done{k}" for k in (1, 2, 3))
+    verdicts = " UNION ALL ".join(f"SELECT * FROM verdict{k}" for k in (1, 2, 3))
+    return with_tables(f"""
+        , checked AS MATERIALIZED (SELECT s.*, CASE WHEN NOT (
+            CASE WHEN remove_source THEN {held('D', 's.source_drive_id', 's.source_path')}
+              ELSE {held('R', 's.source_drive_id', 's.source_path')} END
+            AND {held('C', 's.dest_drive_id', 's.dest_path')}) THEN 'no permission' END AS why
+          FROM request_batch s),
+        items0 AS MATERIALIZED (SELECT drive_id, path, file_size, storage_class FROM drive_item),
+        {','.join(rounds)},
+        done AS ({done}), refused AS (
+          SELECT spec_id, why FROM checked WHERE why IS NOT NULL
+          UNION ALL SELECT spec_id, why FROM ({verdicts}) WHERE why IS NOT NULL)
+        SELECT spec_id, source_drive_id, item_path AS source_path, dest_drive_id, item_dest AS dest_path, file_size,
+          'transfer' AS decision, CASE WHEN file_size = 0 THEN 'empty'
+            WHEN source_drive_id <> dest_drive_id THEN 'chunk'
+            WHEN remove_source AND NOT in_folder THEN 'rename' ELSE 'copy' END AS method,
+          FALSE AS replaces, CAST(NULL AS VARCHAR) AS reason, 1 AS step FROM done
+        UNION ALL SELECT spec_id, source_drive_id, item_path, NULL, NULL, NULL, 'remove', 'delete', FALSE, NULL, 2
+        FROM done WHERE remove_source AND (in_folder OR file_size = 0)
+        UNION ALL SELECT s.spec_id, s.source_drive_id, s.source_path, s.dest_drive_id, s.dest_path, NULL,
+          'reject', NULL, FALSE, r.why, 1 FROM checked s JOIN refused r ON r.spec_id = s.spec_id
+        """, "request_batch", "drive_item", "drive", "drive_security_rule")
+
+
 def with_tables(body: str, *names: str) -> str:
     """`body` with the definitions of the named tables and of all they need in front.
 
@@ -706,6 +775,7 @@ def texts() -> dict[str, str]:
         "transfer_plan": _transfer_plan("cancel"),
         "transfer_plan_overwrite": _transfer_plan("overwrite"),
         "transfer_plan_skip": _transfer_plan("skip"),
+        "transfer_sequence": _transfer_sequence(),
         "items_by_path": with_tables(
             """SELECT spec_id, item_path AS source_path,
               ROW_NUMBER() OVER (PARTITION BY spec_id ORDER BY item_path) AS ordinal FROM spec_covered""",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .datasets import Tables
 from .functions import levels, paths, scalars
 from .operators import access, audit, content, drives, grid, lookup, query, usage
-from .plans import archive, expiry, removal, transfer
+from .plans import archive, expiry, removal, sequence, transfer
 from .session import materialize, shared_folder, ship_package
 from .sources import catalog, csv_schemas, files, lines, schemas, snapshots, stores
 from .streaming import jobs
@@ -357,6 +357,12 @@ def any_transfer(resolution: str) -> Callable[[Tables], DataFrame]:
     )
 
 
+def transfer_sequence(t: Tables) -> DataFrame:
+    return sequence.transfer_sequence(
+        t.request_batch(), t.drive_item(), t.drive(), t.drive_security_rule(), USER, ROLES
+    ).drop("stage")
+
+
 def items_by_path(t: Tables) -> DataFrame:
     specs = transfer.transfer_validate(
         t.transfer_spec(), t.drive(), t.drive_security_rule(), USER, ROLES
@@ -635,6 +641,7 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
         "transfer_plan": any_transfer("cancel"),
         "transfer_plan_overwrite": any_transfer("overwrite"),
         "transfer_plan_skip": any_transfer("skip"),
+        "transfer_sequence": transfer_sequence,
         "rename_plan": lambda t: transfer.rename_plan(
             t.transfer_spec(), t.drive_item(), t.drive(), rules(t), USER, ROLES
         ),

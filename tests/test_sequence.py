@@ -17,11 +17,16 @@ RULE = (
 )
 
 
+WORLDS = 20
+
+
 def world(spark):
+    numbers = range(1, WORLDS * 2 + 1)
     drives = spark.createDataFrame(
-        [(1, "one", "S3"), (2, "two", "Windows")], "drive_id int, display_name string, drive_type string"
+        [(d, f"drive {d}", "S3" if d == 1 else "Windows") for d in numbers],
+        "drive_id int, display_name string, drive_type string",
     )
-    rules = spark.createDataFrame([(d, 1, ".*", False, "D", "", "") for d in (1, 2)], RULE)
+    rules = spark.createDataFrame([(d, 1, ".*", False, "D", "", "") for d in numbers], RULE)
     return drives, rules
 
 
@@ -136,21 +141,33 @@ def test_later_requests_see_what_earlier_ones_did(spark):
     }
 
 
-@pytest.mark.parametrize("resolution, seed", [("cancel", 1), ("cancel", 2), ("skip", 3), ("overwrite", 4)])
-def test_same_tree_as_one_after_another(spark, resolution, seed):
-    pick = random.Random(seed)
+def random_world(pick, drives):
+    """Items and requests on two drives."""
     names = ["a/", "a/b/", "c/", "c/d/", "e/"]
-    items = sorted({(pick.choice([1, 2]), f + pick.choice("xyz")) for f in names for _ in range(4)})
-    items = [(d, p, n + 1, None) for n, (d, p) in enumerate(items)]
+    files = sorted({(pick.choice(drives), f + pick.choice("xyz")) for f in names for _ in range(4)})
+    items = [(d, p, n + 1, None) for n, (d, p) in enumerate(files)]
     places = names + ["a/x", "c/y", "c/d/z", "n/", "n/x"]
-    specs = []
-    for number in range(14):
+    asked = []
+    for _ in range(7):
         source, dest = pick.choice(places), pick.choice(places)
         if source.endswith("/") != dest.endswith("/"):
             dest = dest.strip("/") + ("/" if source.endswith("/") else "")
-        specs.append((number, pick.choice([1, 2]), source, pick.choice([1, 2]), dest, pick.random() < 0.5))
+        asked.append((pick.choice(drives), source, pick.choice(drives), dest, pick.random() < 0.5))
     # a copy into its own folder reads what it writes; a move into a folder above itself likewise
-    specs = [s for s in specs if s[1] != s[3] or not (s[2].startswith(s[4]) or s[4].startswith(s[2]))]
+    return items, [
+        s for s in asked if s[0] != s[2] or not (s[1].startswith(s[3]) or s[3].startswith(s[1]))
+    ]
+
+
+@pytest.mark.parametrize("resolution", ["cancel", "skip", "overwrite"])
+def test_same_tree_as_one_after_another(spark, resolution):
+    pick = random.Random(resolution)
+    worlds = [random_world(pick, (n, n + 1)) for n in range(1, WORLDS * 2, 2)]
+    items = [i for world, _ in worlds for i in world]
+    # the requests of all worlds mixed into one batch
+    specs = [s for _, asked in worlds for s in asked]
+    pick.shuffle(specs)
+    specs = [(n, *s) for n, s in enumerate(specs)]
     rows = run(spark, items, specs, resolution)
     tree, reasons = one_by_one(items, specs, resolution)
     assert {r.spec_id: r.reason for r in rows if r.reason} == reasons
@@ -160,7 +177,7 @@ def test_same_tree_as_one_after_another(spark, resolution, seed):
 def test_odd_batches(spark):
     assert run(spark, ITEMS, []) == []
     assert [r.reason for r in run(spark, [], [(1, 1, "a/", 2, "b/", None)])] == ["source not found"]
-    rows = run(spark, ITEMS, [(1, 9, None, 2, "b/", True), (2, 1, None, 2, "b/", None), (3, 1, "a/", 2, "q/", None)])
+    rows = run(spark, ITEMS, [(1, 99, None, 2, "b/", True), (2, 1, None, 2, "b/", None), (3, 1, "a/", 2, "q/", None)])
     assert {r.spec_id: r.reason for r in rows} == {1: "no source drive", 2: "no source path", 3: None}
     assert {r.decision for r in rows if r.spec_id == 3} == {"transfer"}
     with pytest.raises(ValueError):
