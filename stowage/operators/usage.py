@@ -112,6 +112,33 @@ def usage_rollup(usage: DataFrame) -> DataFrame:
     )
 
 
+def rollup_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Signed bytes and files per folder, the root included, by which run `after` differs from `before`.
+
+    Both hold the files of one run (drive_id, path, bytes); marker rows are left out and null bytes count 0. Files
+    are never matched with each other: every file counts for its parent folder, with its sign, and only folders
+    whose sums changed are exploded into their ancestors. Folders without a change have no row.
+    """
+    signed = [
+        run.where(~is_marker()).select(
+            "drive_id",
+            paths.parent_folder_path(F.col("path")).alias("_parent"),
+            (F.coalesce("bytes", F.lit(0)) * sign).alias("_bytes"),
+            F.lit(sign).alias("_files"),
+        )
+        for run, sign in ((before, -1), (after, 1))
+    ]
+    sums = [F.sum("_bytes").cast("bigint").alias("_bytes"), F.sum("_files").cast("bigint").alias("_files")]
+    changed = F.expr("_bytes <> 0 OR _files <> 0")
+    parents = signed[0].unionByName(signed[1]).groupBy("drive_id", "_parent").agg(*sums).where(changed)
+    chain = paths.self_and_ancestors_of_folder(F.col("_parent"))
+    return (
+        parents.select("drive_id", F.explode(chain).alias("folder"), "_bytes", "_files")
+        .groupBy("drive_id", "folder").agg(*sums).where(changed)
+        .withColumnsRenamed({"_bytes": "bytes", "_files": "files"})
+    )
+
+
 def drive_totals(snapshot: DataFrame) -> DataFrame:
     """Bytes per drive over the rows given, marker rows left out."""
     return (

@@ -654,6 +654,14 @@ def texts() -> dict[str, str]:
                 regexp_extract(path, '^(.*/)[^/]*$', 1)]) AS folder FROM visible)
             SELECT drive_id, folder, CAST(SUM(bytes) AS BIGINT) AS bytes, COUNT(*) AS files
             FROM f GROUP BY 1, 2""", "visible"),
+        "folded_rollup": with_tables(
+            """, f AS (SELECT u.drive_id, bytes, unnest(['/', split_part(path, '/', 1) || '/',
+                split_part(path, '/', 1) || '/' || split_part(path, '/', 2) || '/',
+                regexp_extract(path, '^(.*/)[^/]*$', 1)]) AS folder
+              FROM memory_usage u JOIN cutoff c ON c.drive_id = u.drive_id AND c.last_completed = u.created
+              WHERE path <> '///COMPLETED///')
+            SELECT drive_id, folder, CAST(SUM(bytes) AS BIGINT) AS bytes, COUNT(*) AS files
+            FROM f GROUP BY 1, 2""", "memory_usage", "cutoff"),
         "drive_total": with_tables(
             """SELECT drive_id, CAST(SUM(bytes) AS BIGINT) AS bytes FROM memory_usage
             WHERE path <> '///COMPLETED///' AND created = TIMESTAMP '2024-01-01 00:00:00'

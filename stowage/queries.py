@@ -159,6 +159,21 @@ def stored_usage(t: Tables) -> DataFrame:
     return usage.usage_rollup(snapshots.read_usage(t.spark, folder))
 
 
+def folded_rollup(t: Tables) -> DataFrame:
+    """Stored folder totals after both runs of every drive were folded in, one after the other."""
+    folder = shared_folder(t.spark, "rollup")
+    table = t.memory_usage()
+    closed = table.where(usage.is_marker()).select("drive_id", "created")
+    files = table.where(~usage.is_marker()).join(closed, ["drive_id", "created"], "left_semi")
+    started = ["2024-01-01 00:00:00", "2024-01-01 01:00:00"]
+    first, second = [files.where(F.col("created") == F.lit(s).cast("timestamp")) for s in started]
+    later = closed.where(F.col("created") == F.lit(started[1]).cast("timestamp")).select("drive_id")
+    snapshots.fold_rollup(usage.rollup_changes(first.limit(0), first), started[0], folder)
+    again = first.join(later, "drive_id", "left_semi")
+    snapshots.fold_rollup(usage.rollup_changes(again, second), started[1], folder)
+    return snapshots.read_rollup(t.spark, folder)
+
+
 def write_usage_history(t: Tables) -> DataFrame:
     folder = shared_folder(t.spark, "history")
     snapshot = t.drive_item().select("drive_id", "path", F.col("file_size").alias("bytes"))
@@ -472,6 +487,7 @@ def _registry() -> dict[str, Callable[[Tables], DataFrame]]:
         ).select("drive_id", "path", "location"),
         "write_usage_snapshot": write_usage_snapshot,
         "stored_usage": stored_usage,
+        "folded_rollup": folded_rollup,
         "write_usage_history": write_usage_history,
         "audit_sink": audit_sink,
         # projections, filters, predicates
