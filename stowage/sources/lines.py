@@ -88,38 +88,48 @@ def file_lines(files: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
     """Every line of every file of (path, length) as (path, line_no, line, line_count).
 
     Files are read in blocks. A line belongs to the block it begins in; its number is its
-    place there plus the lines of the file's earlier blocks, so one large file is read and
-    numbered by many tasks and only the counts are shuffled by file.
+    place there plus the lines of the file's earlier blocks. Blocks are counted first and
+    read again with the number of their first line, so one large file is read and numbered
+    by many tasks, and only counts are shuffled and joined, never lines: Spark cannot know
+    how large these are and would broadcast them.
     """
     packed = F.col("path").rlike(r"\.(gz|bz2|zst|lz4)\z")
     starts = F.when(packed, F.array(F.lit(0).cast("bigint"))).otherwise(
         F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(block).cast("bigint"))
     )
     end = F.when(~packed, F.col("_start") + block)
-    units = files.where("length > 0").select("path", "length", F.explode(starts).alias("_start"))
+    units = files.where("length > 0").select("path", F.explode(starts).alias("_start"), "length")
+    units = units.select("path", "_start", end.alias("_end"))
+
+    def within(path: str, start: int, end: float) -> Iterator[tuple[int, bytes]]:
+        return _lines_within(path, int(start), None if pd.isna(end) else int(end))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counted = [sum(1 for _ in within(*unit)) for unit in batch.itertuples(index=False)]
+            yield batch[["path", "_start"]].assign(_n=counted)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, start, end in batch.itertuples(index=False):
-                stop = None if pd.isna(end) else int(end)
-                numbered = enumerate(_lines_within(path, int(start), stop))
+            for path, start, end, before, total in batch.itertuples(index=False):
+                numbered = enumerate(within(path, start, end), int(before))
                 while some := list(islice(numbered, BATCH_LINES)):
                     yield pd.DataFrame({
-                        "path": path, "_start": start, "_place": [i for i, _ in some],
-                        "line": [_text(*found) for _, found in some],
+                        "path": path, "line_no": [i for i, _ in some],
+                        "line": [_text(*found) for _, found in some], "line_count": total,
                     })
 
-    units = spread(units.select("path", "_start", end.alias("_end")), "path", "_start")
-    lines = units.mapInPandas(read, "path string, _start bigint, _place bigint, line string")
-    counts = lines.groupBy("path", "_start").agg(F.count(F.lit(1)).alias("_n"))
+    counted = spread(units, "path", "_start").mapInPandas(count, "path string, _start bigint, _n bigint")
+    counts = counted.groupBy("path", "_start").agg(F.sum("_n").alias("_n"))
     of_file = Window.partitionBy("path")
     earlier = of_file.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "path", "_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_n").over(of_file).alias("line_count"),
     )
-    return lines.join(offsets, ["path", "_start"]).select(
-        "path", (F.col("_before") + F.col("_place")).alias("line_no"), "line", "line_count"
+    numbered = units.join(offsets.hint("merge"), ["path", "_start"])
+    return spread(numbered, "path", "_start").mapInPandas(
+        read, "path string, line_no bigint, line string, line_count bigint"
     )
 
 

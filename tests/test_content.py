@@ -78,6 +78,13 @@ def test_lines_of_files_read_in_blocks(stored, block):
         assert got.get(name, {}) == {i: (line, len(want)) for i, line in enumerate(want)}
 
 
+def test_lines_are_not_joined(stored):
+    """Lines leave the scan and go nowhere else: a join could collect them all in the driver."""
+    plan = L.file_lines(stored[0])._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInPandas")]
+    assert "Join" not in above and "Aggregate" not in above
+
+
 @pytest.mark.parametrize("top,bottom", [(3, 2), (0, 1), (40, 40), (1, 0), (0, 2999)])
 def test_ends_of_files(stored, top, bottom):
     table, bodies = stored
